@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,3 +51,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns whose names an operator is about to add, whatever their case."""
     lower = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """df's schema with the columns of a DDL string after its own."""
+    return T.StructType(df.schema.fields + T._parse_datatype_string(ddl).fields)

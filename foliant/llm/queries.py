@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontaminate, line_dedup
+from foliant.llm import bpe, decontaminate, line_dedup, ppm, token_files
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_ppm": ppm.op5_ppm,
+    "op6_bpe": bpe.op6_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL = {
