@@ -25,7 +25,10 @@ from foliant.llm.common import extended, table, without
 
 #: Fixed values of the byte-level format: how a text is cut into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO = 900_000
+MEMO = 600_000
+COUNTED = 400_000
+#: A lexicon entry occurs at least once in so many bytes of the corpus.
+RARE = 1 << 21
 BATCH_CHARS = 2_000_000
 SLOT_BITS = 19
 NONE = 1 << 40
@@ -325,7 +328,7 @@ def read_spec(path: str | None) -> str:
 
 
 def frequent_pieces(docs: DataFrame, size: int, *, text_col: str = "text") -> list[bytes]:
-    """The ``size`` most frequent pieces of whole texts of all documents, ties by bytes."""
+    """The ``size`` most frequent pieces of whole texts of all documents that occur once in RARE bytes at least, ties by bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -344,12 +347,14 @@ def frequent_pieces(docs: DataFrame, size: int, *, text_col: str = "text") -> li
                     head, *rest = t.split(" ")
                     seen[head] += 1
                     seen.update([" " + c for c in rest])
-                if len(seen) > MEMO:
+                if len(seen) > COUNTED:
                     yield flush()
         yield flush()
 
-    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(count, "piece binary, n long")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
+    least = (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / RARE
+    counts = texts.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "piece").limit(size)  # at most RARE rows are left to sort
     return [bytes(r.piece) for r in top.collect()]
 
 
