@@ -9,7 +9,8 @@ cells if it has no more than ``spare`` first-level partitions with an empty cell
 
 Sets that are equal are one class. Members of a signature are never paired off with each other: each is
 compared with leaders, linked ones join components, and a signature is done when its members are in one
-component or have all been leaders. Every comparison is of whole shingle sets.
+component or have all been leaders. Pairs whose sizes or parity sketches rule a link out go first; every
+link is a comparison of whole shingle sets.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, table
 
 #: Documents that share a signature may be picked from the corpus by a broadcast of their ids up to this number, and by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -50,7 +53,7 @@ class Shingler:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         get = self.known.get
         h = np.array([get(w) or self._word(w) for w in words], np.uint64)
@@ -96,47 +99,69 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, f1, f2): size and 128-bit fingerprint of each row's set."""
+SIGNED = "sig long, id long, n long, f1 long, f2 long, sketch array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            more = [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *more], ["id", "n", "f1", "f2"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long")
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 64 * SKETCH places: two sets differ in no fewer shingles than their sketches in bits."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
+def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """For each row of docs a row with its set's size, 128-bit fingerprint and parity sketch (sig null), and for each that has a set and an id its (sig, id)."""
 
-def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, id) of every row that has a set and an id."""
+    def batch_of(docs_: list[tuple], ids: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        sig = np.concatenate([*sigs, np.zeros(0, np.int64)])
+        each = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
+        many = len(sig)
+        own = list(zip(*docs_, strict=True)) or [()] * 5
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(docs_) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate([*own[4], np.zeros(0, np.int64)])))
+        join = lambda one, rest: pa.concat_arrays([one, rest])
+        long = lambda x: pa.array(x, pa.int64())
+        none = pa.nulls(many, pa.int64())
+        return pa.record_batch(
+            [
+                join(pa.nulls(len(docs_), pa.int64()), pa.array(sig)),
+                join(long(own[0]), pa.array(each)),
+                *(join(long(own[k]), none) for k in (1, 2, 3)),
+                join(sketch, pa.nulls(many, sketch.type)),
+            ],
+            ["sig", "id", "n", "f1", "f2", "sketch"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
+        own: list[tuple] = []
+        ids: list[int] = []
+        sigs: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            ids: list[int] = []
-            sigs: list[np.ndarray] = []
-            size = 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(t.as_py())
-                if len(s):
+                f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+                own.append((i, len(s), f1, f2, parity_sketch(s)))
+                if len(s) and i is not None:
                     ids.append(i)
                     sigs.append(signatures(s, num, den))
                     size += len(sigs[-1])
-                if size > 200_000:
-                    yield _sig_batch(ids, sigs)
-                    ids, sigs, size = [], [], 0
-            if ids:
-                yield _sig_batch(ids, sigs)
+                if size > 200_000 or len(own) >= 2000:
+                    yield batch_of(own, ids, sigs)
+                    own, ids, sigs, size = [], [], [], 0
+        if own:
+            yield batch_of(own, ids, sigs)
 
-    return docs.filter("id IS NOT NULL").mapInArrow(run, "sig long, id long")
+    return docs.mapInArrow(run, SIGNED)
 
 
-def _sig_batch(ids: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
-    each = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
-    return pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(each)], ["sig", "id"])
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether two rows' sizes and sketches (columns n and sketch under the two prefixes) leave room for a link."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    bits = F.lit(0)
+    for k in range(SKETCH):
+        bits = bits + F.bit_count(F.get(f"{a}sketch", F.lit(k)).bitwiseXOR(F.get(f"{b}sketch", F.lit(k))))
+    ratio = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return ratio & (bits * (den + num) <= (na + nb) * (den - num))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -185,26 +210,30 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """(id, n_shingles, component_id) of every row: sets of ``width``-word shingles link when den * shared >= num * union.
 
     Words are cut at ASCII white space, A-Z lower-cased; a text of fewer words is one shingle. A null or
-    empty text has no shingle, links with nothing and is its own component. Rows that repeat an id are
-    one document that links with what any of them links with. A row without an id links with nothing and
-    has a null component. component_id is the smallest id reachable by links. Empty in, empty out.
+    empty text has no shingle, links with nothing and is its own component. Ids are meant to be unique:
+    rows that repeat one are a single document, which holds at least the links of one of its texts. A row
+    without an id links with nothing and has a null component. component_id is the smallest id reachable by links. Empty in, empty out.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    sizes = materialise(_sizes(slim, width), "sizes")
+    signed = materialise(_signed(slim, width, num, den), "signatures")
+    own, sigs = signed.filter("sig IS NULL"), signed.filter("sig IS NOT NULL").select("sig", "id")
+    sizes = own.select("id", "n", "f1", "f2")
     copies = sizes.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = materialise(copies.filter("rep < last").select("f1", "f2", "rep"), "copies")
-    copy_of = materialise(sizes.join(copies, ["f1", "f2"]).filter("id > rep").select("id", "rep"), "copy-of")
+    copy_of = materialise(sizes.join(copies, ["f1", "f2"]).filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")), "copy-of")
 
-    sigs = _signatures(slim, width, num, den)
     shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
     members = sigs.join(materialise(shared, "shared"), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
     members = materialise(members, "members")
     ids = members.select("id").distinct()
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialise(slim.join(picked, "id", "left_semi"), "texts")
+    sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches")
 
     leaders = members.groupBy("sig").agg(F.min("id").alias("a"))
     first = members.join(materialise(leaders, "leaders"), "sig").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
+    x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch")) for c in "ab")
+    first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b")
     labels = materialise(ids.select("id", F.col("id").alias("c")), "components")
     labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links"))
     chosen = 1
@@ -217,9 +246,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         # Members of the smallest components lead: what is left soon belongs to one component.
         weight = now.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("w"))
         ranked = now.join(weight, ["sig", "c"]).withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("w", "id")))
-        ranked = materialise(ranked, "ranked")
-        lead = ranked.filter(F.col("rank") <= chosen).select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("rank").alias("rx"))
-        pairs = ranked.join(lead, "sig").filter("rank > rx AND c <> cx")
+        ranked = materialise(ranked.join(sketches, "id"), "ranked")
+        lead = ranked.filter(F.col("rank") <= chosen)
+        lead = lead.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("rank").alias("rx"), F.col("n").alias("xn"), F.col("sketch").alias("xsketch"))
+        pairs = ranked.join(lead, "sig").filter((F.col("rank") > F.col("rx")) & (F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
         pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         links = materialise(_verify(pairs, texts, width, num, den), "links")
         labels = _relabelled(labels, links)
