@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ASCII_SPACE, ascii_lower, without
+from foliant.llm.common import ASCII_SPACE, ascii_lower, materialise, without
 
 
 def line_key(line: Column) -> Column:
@@ -19,9 +19,10 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
-def _hashed(line: Column, min_chars: int) -> Column:
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def _hashed(lines: Column, min_chars: int) -> Column:
+    """128-bit hashes of lines' keys, null for short ones. Keys are made in an array of their own, so that each is worked out once."""
+    pair = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
+    return F.transform(F.transform(lines, line_key), lambda k: F.when(F.char_length(k) >= min_chars, pair(k)))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -38,16 +39,18 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"))
     lines = slim.select("id", F.xxhash64("t").alias("row"), F.split("t", "\n").alias("lines"))
-    keyed = lines.select("id", "row", F.transform("lines", lambda x: _hashed(x, min_chars)).alias("keys"))
+    keyed = lines.select("id", "row", _hashed(F.col("lines"), min_chars).alias("keys"))
 
-    held = keyed.select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k"))
+    # Outer explodes: a plain one adds a filter on the array's size, for which all keys would be worked out again.
+    held = keyed.select("id", F.explode_outer(F.array_distinct("keys")).alias("k")).filter(F.col("k").isNotNull())
     hot = (
         held.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    at = keyed.select("id", "row", F.posexplode("keys").alias("pos", "k")).filter(F.col("k").isNotNull())
+    hot = materialise(hot, "hot-lines")  # so that the join reads exchanges on both sides, which adaptive execution can split
+    at = keyed.select("id", "row", F.posexplode_outer("keys").alias("pos", "k")).filter(F.col("k").isNotNull())
     at = at.select("id", "row", "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
     dropped = (
         at.join(hot, ["h1", "h2"])
