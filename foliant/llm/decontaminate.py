@@ -19,7 +19,7 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """Words of a text: A-Z lower-cased, runs of digits, a-z and non-ASCII characters; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BREAKS), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BREAKS), "")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,13 +29,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, n) for the terms of ``vocabulary`` that occur, counted over whole texts of all documents."""
-    tokens = docs.select(F.explode(words(F.col(f"`{text_col}`"))).alias("term"))
+    # Outer explodes: a plain one adds a filter on the array's size, for which each text would be cut again.
+    tokens = docs.select(F.explode_outer(words(F.col(f"`{text_col}`"))).alias("term"))
     return tokens.join(vocabulary.select("term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_postings(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index: (term, id, row, pos) for every occurrence of the given terms; row tells rows of one id apart."""
-    tokens = _keyed(docs, id_col, text_col).select("id", "row", F.posexplode(words(F.col("t"))).alias("pos", "term"))
+    tokens = _keyed(docs, id_col, text_col).select("id", "row", F.posexplode_outer(words(F.col("t"))).alias("pos", "term"))
     return tokens.join(terms.select("term").distinct(), "term").select("term", "id", "row", "pos")
 
 
