@@ -91,3 +91,13 @@ def probes_in_order(text: Column, probes: Column) -> Column:
         )
 
     return F.aggregate(probes, start, step, lambda s: s["missing"])
+
+
+def fill(template: Column, **values: Column) -> Column:
+    """A template with each ``{name}`` replaced; an error where a placeholder is left without a value."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    asked = F.regexp_extract_all(template, F.lit(r"\{([A-Za-z_]\w*)\}"), F.lit(1))
+    left = F.array_join(F.array_except(asked, F.array(*map(F.lit, values)).cast("array<string>")), ", ")
+    return F.when(left == "", out).otherwise(F.raise_error(F.concat(F.lit("no value for "), left)).cast("string"))

@@ -435,3 +435,131 @@ def first_stated(spark: SparkSession, d: str) -> DataFrame:
     """The first context's usable value by document (the merge of O-72)."""
     o = read(spark, d, "orders").withColumn("v", F.nullif("o_orderpriority", F.lit("3-MEDIUM")))
     return o.groupBy("o_custkey").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("o_orderkey"))).alias("first_stated"))
+
+
+def _customer_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as headings of an outline, their priority as level."""
+    o = read(spark, d, "orders")
+    idx = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    none = F.lit(None)
+    b = o.select(
+        F.col("o_custkey").cast("string").alias("doc_id"), idx.alias("idx"), F.lit("heading").alias("kind"), F.col("o_orderstatus").alias("text"), F.lit(1).alias("page"), none.cast("string").alias("page_label"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), none.cast("string").alias("marker"), none.cast("int").alias("table_index"),
+    )
+    return structure.sections(b)
+
+
+_HEADS = """WITH h AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderstatus AS title, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS idx, CAST(left(o_orderpriority, 1) AS INTEGER) AS level FROM orders),
+s AS (SELECT a.doc_id, a.title, a.idx, a.level, coalesce((SELECT min(b.idx) FROM h b WHERE b.doc_id = a.doc_id AND b.idx > a.idx AND b.level <= a.level), (SELECT max(c.idx) + 1 FROM h c WHERE c.doc_id = a.doc_id)) AS e FROM h a)
+"""
+
+
+@query(_HEADS + "SELECT doc_id, idx AS heading_idx FROM s WHERE title = 'O' AND NOT EXISTS (SELECT 1 FROM s o WHERE o.title = 'O' AND o.doc_id = s.doc_id AND o.idx < s.idx AND s.idx < o.e)")
+def outermost_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted sections less those inside another one (O-37, O-40)."""
+    return retrieval.wanted_sections(_customer_sections(spark, d), F.col("title") == "O").select("doc_id", "heading_idx")
+
+
+@query(_HEADS + "SELECT p.doc_id, p.idx, max(s.level) AS level, CAST(count(*) AS INTEGER) AS n_around FROM h p JOIN s ON s.doc_id = p.doc_id AND s.idx <= p.idx AND p.idx < s.e GROUP BY 1, 2")
+def innermost_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections around each point of an outline and the deepest one's level (O-34)."""
+    s = _customer_sections(spark, d)
+    points = s.select("doc_id", F.col("heading_idx").alias("idx"))
+    n = structure.enclosing(points, s).groupBy("doc_id", "idx").agg(F.count(F.lit(1)).cast("int").alias("n_around"))
+    return structure.innermost(points, s).select("doc_id", "idx", "level").join(n, ["doc_id", "idx"])
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, text, CAST(turn // 3 + 1 AS INTEGER) AS page FROM conversations),
+    m AS (SELECT conv_id, page, max(turn) AS last FROM c GROUP BY 1, 2)
+    SELECT CAST(c.conv_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS INTEGER) AS idx, c.page, CASE WHEN c.page % 2 = 0 THEN 'S-' || CAST(c.page AS VARCHAR) END AS page_label
+    FROM c"""
+)
+def item_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as a converter's items, with printed page numbers in the footers of even pages (O-04 to O-08)."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") * 2).cast("int").alias("seq"), F.lit("text").alias("label"), "text", (F.floor(F.col("turn") / 3) + 1).cast("int").alias("page"))
+    pages = c.groupBy("doc_id", "page").agg((F.max("seq") + 1).alias("seq"))
+    feet = pages.select("doc_id", "seq", F.lit("page_footer").alias("label"), F.when(F.col("page") % 2 == 0, F.concat(F.lit(" S-"), "page")).otherwise("Confidential").alias("text"), "page")
+    none = F.lit(None)
+    items = c.unionByName(feet).select("*", none.cast("int").alias("level"), none.cast("string").alias("marker"), none.cast("int").alias("table_index"), none.cast("array<array<string>>").alias("rows"))
+    return structure.blocks_from_items(items).select("doc_id", "idx", "page", "page_label")
+
+
+@query(
+    """WITH t AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS INTEGER) AS table_index, CAST(o_orderkey % 30 AS INTEGER) AS page, CASE WHEN o_orderkey % 3 = 0 THEN 'S-1' END AS page_label, o_totalprice FROM orders WHERE o_orderkey % 30 <= 25 AND o_orderkey % 2 = 0)
+    SELECT doc_id, table_index, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_label IS NULL, table_index) AS rank FROM t) WHERE rank <= 3"""
+)
+def top_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The first three class tables of each customer, labelled pages first (O-41, O-42)."""
+    o = read(spark, d, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    row = lambda name: F.array(F.when(even, F.lit(f"Class {name} notes")).otherwise(F.lit("Weighted average")), F.lit("$1,234,567,890"), F.lit("5.0%"))
+    t = o.select(
+        F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").cast("int").alias("table_index"), (F.col("o_orderkey") % 30).cast("int").alias("page"),
+        F.when(F.col("o_orderkey") % 3 == 0, "S-1").alias("page_label"), F.array(row("A-1"), row("B")).alias("rows"),
+    )
+    return retrieval.tranche_tables(t).filter("rank <= 3").select("doc_id", "table_index", "rank")
+
+
+@query(
+    """SELECT doc_id, CAST(seq AS INTEGER) AS seq, what FROM (SELECT l_orderkey AS doc_id, l_partkey AS seq, CASE WHEN l_linenumber % 2 = 0 AND l_quantity < 10 THEN 'fixed coupon without a rate' WHEN l_linenumber % 2 = 1 AND l_quantity > 40 THEN 'floating coupon without an index' END AS what FROM lineitem) WHERE what IS NOT NULL"""
+)
+def incomplete_coupons(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed coupons without a rate and floating ones without an index (O-83)."""
+    li = read(spark, d, "lineitem")
+    fixed = F.col("l_linenumber") % 2 == 0
+    t = li.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").cast("int").alias("seq"), F.lit(1).cast("decimal(20,4)").alias("original_balance"), F.when(fixed, "fixed").otherwise("floating").alias("kind"),
+        F.when(fixed & (F.col("l_quantity") >= 10), F.col("l_tax")).alias("fixed_rate_pct"), F.when(~fixed & (F.col("l_quantity") <= 40), "SOFR").alias("index_name"), F.lit(None).cast("double").alias("margin_pct"), F.lit(None).cast("double").alias("wal_years"),
+    )
+    found = checks.tranche_issues(t).filter("code = 'incomplete_coupon'")
+    return found.select("doc_id", F.regexp_extract("field", r"\[(\d+)\]", 1).cast("int").alias("seq"), F.col("message").alias("what"))
+
+
+@query(
+    """SELECT name, CASE WHEN r IS NOT NULL THEN 'R ' || name ELSE 'L ' || name || ' {x}' END AS template, CASE WHEN r IS NOT NULL THEN '7' ELSE 'local-' || left(sha256('L ' || name || ' {x}'), 8) END AS version,
+        CASE WHEN r IS NOT NULL THEN 'registry' ELSE 'local' END AS source FROM (SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 1 END AS r FROM nation)"""
+)
+def prompt_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts from a registry, else from files, with versions by content (O-19)."""
+    n = read(spark, d, "nation")
+    local = n.select(F.col("n_name").alias("name"), F.concat(F.lit("L "), "n_name", F.lit(" {x}")).alias("template"))
+    remote = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.concat(F.lit("R "), "n_name").alias("template"), F.lit(7).alias("version"))
+    return readers.prompts(local, remote)
+
+
+@query("SELECT c_custkey, 'Dear ' || c_name || ', balance ' || CAST(c_nationkey AS VARCHAR) || '.' AS text FROM customer")
+def prompt_render(spark: SparkSession, d: str) -> DataFrame:
+    """A template filled from columns (O-51)."""
+    t = F.lit("Dear {name}, balance {nation}.")
+    return read(spark, d, "customer").select("c_custkey", textnorm.fill(t, name=F.col("c_name"), nation=F.col("c_nationkey")).alias("text"))
+
+
+@query(
+    """SELECT user_id AS trace_id, event_id AS span_id, CASE WHEN event_type = 'error' OR EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'error' AND c.event_id - 1 = e.event_id) THEN 'ERROR' ELSE 'OK' END AS status FROM events e"""
+)
+def span_status(spark: SparkSession, d: str) -> DataFrame:
+    """Spans with an error, and those whose child has one (O-102, O-105)."""
+    e = read(spark, d, "events")
+    spans = e.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), (F.col("event_id") - 1).alias("parent_id"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return runlog.with_status(spans).select("trace_id", "span_id", "status")
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 2 ELSE 4 END AS n, event_type AS kind FROM events")
+def span_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes without nulls, each under two names (O-103)."""
+    m = runlog.attributes(kind=F.col("event_type"), value=F.col("value"))
+    return read(spark, d, "events").select("event_id", F.size(m).alias("n"), m["kind"].alias("kind"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents) SELECT doc_id, CASE WHEN len(ws) >= 3 THEN 0 ELSE 1 END AS n_missing FROM w"""
+)
+def ordered_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a text's first, and a later, piece occur in it in order (O-67)."""
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    ws = F.split(flat, " ")
+    third = F.array_join(F.slice(ws, 2, F.size(ws)), " ")
+    probes = F.array(F.when(F.size(ws) >= 3, ws[0]).otherwise(F.lit("\x00")), third)
+    found = textnorm.probes_in_order(F.concat(flat, F.lit(" "), third), probes)
+    return read(spark, d, "documents").select("doc_id", F.size(found).alias("n_missing"))
