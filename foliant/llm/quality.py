@@ -173,14 +173,15 @@ def predict(stats: DataFrame, forest: Forest, *, threshold: float = THRESHOLD) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, statistics, score, predicted) for every row of docs, learning from the labels of documents where ``train`` holds.
+    """(id, row, statistics, score, predicted) for every row of docs, row being the text's xxhash64, learning from the labels of documents where ``train`` holds.
 
     Null and empty texts have zero statistics and a score like any other. Labels that are null, or of
     unknown or null ids, are ignored; repeated labels all count. Without usable labels every score is
     0.5; with one kind of label every score is its smoothed share. Rows that repeat an id are scored
     each by its own text. Empty in, empty out.
     """
-    slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("row"), text.alias("_text"))
     stats = materialise(with_statistics(slim, text_col="_text").drop("_text"), "statistics")
     return predict(stats, fit(stats.filter(train), labels, id_col=id_col, label_col=label_col))
 
