@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,53 +121,51 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
     rows = once.join(blocks.select("doc_id", "idx", "kind", "text", "page", "page_label", "marker"), ["doc_id", "idx"])
 
     def fold(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        some = some.astype(object).where(some.notna(), None)
-        some["_order"] = [(g["rank"], g["at"], i) for g, i in zip(some["grp"], some["idx"], strict=True)]
-        some = some.sort_values("_order")
-        done: list[tuple[list[str], list[int]]] = []
+        done: list[tuple[str, list[int]]] = []
         lines: list[str] = []
         used: list[int] = []
-        state = {"size": 0, "label": None}
-
-        def cost(items: list[tuple], label: str | None, filled: bool) -> tuple[int, list[str], str | None]:
-            total, out = 0, []
-            for r in items:
-                own = r.page_label or f"pdf {r.page}"
-                line = f"{'## ' if r.kind == 'heading' else ''}{r.marker + ' ' if r.marker else ''}{r.text or ''}"
-                if own != label:
-                    line, label = f"[page {own}]\n{line}", own
-                total += len(line) + filled
-                filled = True
-                out.append(line)
-            return total, out, label
+        size, shown = 0, None  # characters so far and the page that the last line is on
+
+        def lay(items: list[tuple], page: str | None, first: bool) -> tuple[int, list[str], str | None]:
+            """The lines of items after a line on ``page``, with the characters that they add."""
+            out = []
+            for _, kind, text, number, label, marker in items:
+                own = label or f"pdf {number}"
+                line = f"{'## ' if kind == 'heading' else ''}{marker + ' ' if marker else ''}{text or ''}"
+                out.append(line if own == page else f"[page {own}]\n{line}")
+                page = own
+            return sum(map(len, out)) + len(out) - first, out, page
 
         def flush() -> None:
+            nonlocal size, shown
             if used:
-                done.append((list(lines), list(used)))
+                text = "\n".join(lines)
+                done.append((text if len(text) <= limit else text[: max(0, limit - len(CUT))] + CUT, list(used)))
             lines.clear()
             used.clear()
-            state.update(size=0, label=None)
+            size, shown = 0, None
 
         def add(items: list[tuple]) -> None:
-            n, more, label = cost(items, state["label"], bool(used))
-            state.update(size=state["size"] + n, label=label)
+            nonlocal size, shown
+            n, more, shown = lay(items, shown, not used)
+            size += n
             lines.extend(more)
-            used.extend(int(r.idx) for r in items)
+            used.extend(int(r[0]) for r in items)
 
-        for _, group in some.groupby(some["_order"].map(lambda o: o[:2]), sort=False):
-            items = list(group.itertuples(index=False))
-            if state["size"] + cost(items, state["label"], bool(used))[0] <= limit:
+        columns = [some[c].tolist() for c in ("idx", "kind", "text", "page", "page_label", "marker")]
+        ranked = sorted((((g["rank"], g["at"]), r) for g, r in zip(some["grp"].tolist(), zip(*columns, strict=True), strict=True)), key=lambda x: (x[0], x[1][0]))
+        for _, group in groupby(ranked, key=lambda x: x[0]):
+            items = [r for _, r in group]
+            if size + lay(items, shown, not used)[0] <= limit:
                 add(items)
                 continue
             flush()
             for r in items:
-                if used and state["size"] + cost([r], state["label"], True)[0] > limit:
+                if used and size + lay([r], shown, False)[0] > limit:
                     flush()
                 add([r])
         flush()
-        texts = ["\n".join(t) for t, _ in done]
-        texts = [t if len(t) <= limit else t[: max(0, limit - len(CUT))] + CUT for t in texts]
-        out = [(key[0], k, t, u) for k, (t, (_, u)) in enumerate(zip(texts, done, strict=True))]
+        out = [(key[0], k, text, blocks) for k, (text, blocks) in enumerate(done)]
         return pd.DataFrame(out[:most], columns=["doc_id", "seq", "text", "block_indices"])
 
     return rows.groupBy("doc_id").applyInPandas(fold, CONTEXTS)
