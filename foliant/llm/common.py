@@ -29,14 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. ``written`` gets the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, written: list[str]) -> None:
+    """Free the space of tables that materialise() wrote and nothing reads any more: an empty table takes their place."""
+    for path in written:
+        spark.range(0).write.mode("overwrite").parquet(path)
+    written.clear()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. All-ASCII values take the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, table
+from foliant.llm.common import discard, materialise, table
 
 #: Documents that share a signature may be picked from the corpus by a broadcast of their ids up to this number, and by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
@@ -215,7 +215,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     without an id links with nothing and has a null component. component_id is the smallest id reachable by links. Empty in, empty out.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    signed = materialise(_signed(slim, width, num, den), "signatures")
+    big: list[str] = []  # tables to discard once the result is written
+    signed = materialise(_signed(slim, width, num, den), "signatures", big)
     own, sigs = signed.filter("sig IS NULL"), signed.filter("sig IS NOT NULL").select("sig", "id")
     sizes = own.select("id", "n", "f1", "f2")
     copies = sizes.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
@@ -223,15 +224,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     copy_of = materialise(sizes.join(copies, ["f1", "f2"]).filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")), "copy-of")
 
     shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
-    members = sigs.join(materialise(shared, "shared"), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-    members = materialise(members, "members")
+    members = sigs.join(materialise(shared, "shared", big), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    members = materialise(members, "members", big)
     ids = members.select("id").distinct()
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(slim.join(picked, "id", "left_semi"), "texts")
-    sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches")
+    texts = materialise(slim.join(picked, "id", "left_semi"), "texts", big)
+    sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches", big)
 
     leaders = members.groupBy("sig").agg(F.min("id").alias("a"))
-    first = members.join(materialise(leaders, "leaders"), "sig").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
+    first = members.join(materialise(leaders, "leaders", big), "sig").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
     x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch")) for c in "ab")
     first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b")
     labels = materialise(ids.select("id", F.col("id").alias("c")), "components")
@@ -240,13 +241,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     while True:
         now = members.join(labels, "id")
         open_ = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
-        now = materialise(now.join(materialise(open_, "open"), "sig"), "members")
+        now = materialise(now.join(materialise(open_, "open"), "sig"), "members", big)
         if now.limit(1).count() == 0:
             break
         # Members of the smallest components lead: what is left soon belongs to one component.
         weight = now.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("w"))
         ranked = now.join(weight, ["sig", "c"]).withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("w", "id")))
-        ranked = materialise(ranked.join(sketches, "id"), "ranked")
+        ranked = materialise(ranked.join(sketches, "id"), "ranked", big)
         lead = ranked.filter(F.col("rank") <= chosen)
         lead = lead.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("rank").alias("rx"), F.col("n").alias("xn"), F.col("sketch").alias("xsketch"))
         pairs = ranked.join(lead, "sig").filter((F.col("rank") > F.col("rx")) & (F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
@@ -258,7 +259,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rep = sizes.select("id", "n").join(copy_of, "id", "left").withColumn("node", F.coalesce("rep", "id"))
     out = rep.join(labels.select(F.col("id").alias("node"), "c"), "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "node")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")), "near-copies")
+    discard(docs.sparkSession, big)
+    return out
 
 
 def keep_one(docs: DataFrame, components: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
