@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
-def extended(df: DataFrame, ddl: str) -> T.StructType:
-    """df's schema with the columns of a DDL string after its own."""
-    return T.StructType(df.schema.fields + T._parse_datatype_string(ddl).fields)
+def extended(df: DataFrame, ddl: str, less: tuple[str, ...] = ()) -> T.StructType:
+    """df's schema, less the named columns, with the columns of a DDL string after its own."""
+    return T.StructType([f for f in df.schema.fields if f.name not in less] + T._parse_datatype_string(ddl).fields)
+
+
+def answered(batch: pa.RecordBatch, less: tuple[str, ...], schema: T.StructType, *made: pa.Array) -> pa.RecordBatch:
+    """A batch less the named columns, with the made ones after its own."""
+    own = [c for c, f in zip(batch.columns, batch.schema.names, strict=True) if f not in less]
+    return pa.RecordBatch.from_arrays([*own, *made], [f.name for f in schema.fields])

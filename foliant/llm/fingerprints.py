@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import extended, table, without
+from foliant.llm.common import answered, extended, table, without
 
 WINDOW = 16
 LEAST, NORMAL, MOST = 16, 32, 128
@@ -95,8 +95,8 @@ def likeness_of(a: str, b: str) -> float:
     return min(1.0, shared / min(sum(int(n, 16) for n in f.values()) for f in (x, y)))
 
 
-def fingerprints(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """docs plus, for each text column named, the fingerprint column of the given name.
+def fingerprints(docs: DataFrame, columns: dict[str, str], *, keep_text: bool = True) -> DataFrame:
+    """docs plus, for each text column named, the fingerprint column of the given name; the texts themselves stay unless ``keep_text`` is false.
 
     The whole text counts; null is the empty text, whose fingerprint is empty. Equal texts have equal
     fingerprints. Rows are handled one by one, so repeated rows and null ids pass through; columns that
@@ -104,7 +104,8 @@ def fingerprints(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """
     whole = without(docs, *columns.values())
     places = [whole.columns.index(c) for c in columns]
-    schema = extended(whole, ", ".join(f"`{c}` string" for c in columns.values()))
+    less = () if keep_text else tuple(columns)
+    schema = extended(whole, ", ".join(f"`{c}` string" for c in columns.values()), less)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +117,7 @@ def fingerprints(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
                     n += 1
                 part = batch.slice(at, n)
                 made = [pa.array(digests([x or "" for x in part.column(p).to_pylist()]), pa.string()) for p in places]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [f.name for f in schema.fields])
+                yield answered(part, less, schema, *made)
                 at += n
 
     return whole.mapInArrow(run, schema)
@@ -163,12 +164,13 @@ def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     pairs = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    three = pairs.select("doc_id", "text", edited.alias("edited"), "next_text")
-    made = fingerprints(three, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    n_chars = F.char_length("text").cast("long").alias("n_chars")
+    three = pairs.select("doc_id", n_chars, F.sha2(edited, 256).alias("edited_sha256"), "text", edited.alias("edited"), "next_text")
+    made = fingerprints(three, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}, keep_text=False)
     return made.select(
         "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
