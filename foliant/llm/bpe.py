@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import extended, table, without
+from foliant.llm.common import answered, extended, table, without
 
 #: Fixed values of the byte-level format: how a text is cut into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -365,8 +365,8 @@ def build_encoder(docs: DataFrame, *, tokenizer: str | None = None, lexicon_size
     return Shared(docs.sparkSession, spec, compile_lexicon(words, Merges(spec).merge(words)))
 
 
-def encode(docs: DataFrame, encoder: Shared, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs plus ``ids_col``: the ids of the whole text as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, encoder: Shared, *, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs plus ``ids_col``: the ids of the whole text as little-endian unsigned 32-bit integers; less the text if ``keep_text`` is false.
 
     Null and empty texts have no ids. Special tokens' strings in a text become their ids, and none are
     added. Each row is encoded by itself, so repeated rows and null ids pass through; a column of the
@@ -374,14 +374,15 @@ def encode(docs: DataFrame, encoder: Shared, *, text_col: str = "text", ids_col:
     """
     whole = without(docs, ids_col)
     place = whole.columns.index(text_col)
-    schema = extended(whole, f"`{ids_col}` binary")
+    less = () if keep_text else (text_col,)
+    schema = extended(whole, f"`{ids_col}` binary", less)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(encoder)
         for batch in batches:
             for at, texts in runs(batch.column(place)):
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(enc.encode(texts), pa.binary())], [*part.schema.names, ids_col])
+                yield answered(part, less, schema, pa.array(enc.encode(texts), pa.binary()))
 
     return whole.mapInArrow(run, schema)
 
@@ -406,7 +407,7 @@ def decode(df: DataFrame, encoder: Shared, *, ids_col: str = "ids", text_col: st
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoder = build_encoder(docs)
-    out = decode(encode(docs, encoder).select("doc_id", "ids"), encoder)
+    out = decode(encode(docs, encoder, keep_text=False), encoder)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
