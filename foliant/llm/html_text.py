@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import extended, table, without
+from foliant.llm.common import answered, extended, table, without
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -268,8 +268,8 @@ def main_text(page: str, model: Model) -> str:
     return "\n".join(x.text[0] for x, q in zip(nodes, p, strict=True) if x.text and x.text[0] and q >= 0.5)
 
 
-def extract(pages: DataFrame, model: Model, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages plus ``out_col``: the main text, blocks in page order joined by newline, white space in a block made one space.
+def extract(pages: DataFrame, model: Model, *, html_col: str = "html", out_col: str = "text", keep_html: bool = True) -> DataFrame:
+    """pages plus ``out_col``: the main text, blocks in page order joined by newline, white space in a block made one space; less the html if ``keep_html`` is false.
 
     Null or empty html, and pages without content, give the empty text. Whole pages are read, each row
     by itself, so repeated rows and null ids pass through; a column named ``out_col`` is replaced. Empty
@@ -277,18 +277,19 @@ def extract(pages: DataFrame, model: Model, *, html_col: str = "html", out_col:
     """
     whole = without(pages, out_col)
     place = whole.columns.index(html_col)
-    schema = extended(whole, f"`{out_col}` string")
+    less = () if keep_html else (html_col,)
+    schema = extended(whole, f"`{out_col}` string", less)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py() or "", shared.value) for h in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
+            yield answered(batch, less, schema, pa.array(texts, pa.string()))
 
     return whole.mapInArrow(run, schema)
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = extract(pages, train(labelled_pages(120)))
+    out = extract(pages, train(labelled_pages(120)), keep_html=False)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import extended, fold, table, without
+from foliant.llm.common import answered, extended, fold, table, without
 
 BITS = 16
 SMOOTHING = 0.5
@@ -121,8 +121,8 @@ def _mixture(shared) -> Mixture:
     return _mixtures[tag]
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred, score and languages (array of (lang, share), largest first), from whole texts alone.
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs plus lang_pred, score and languages (array of (lang, share), largest first), from whole texts alone; less the text if ``keep_text`` is false.
 
     A null text or one without a letter is ``und`` with score 0 and no languages; so is every text if the
     model learned none. Ties go to the language that sorts first. Rows are judged one by one, so repeated
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     """
     whole = without(docs, "lang_pred", "score", "languages")
     place = whole.columns.index(text_col)
-    schema = extended(whole, "lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    schema = extended(whole, "lang_pred string, score double, languages array<struct<lang:string,share:double>>", () if keep_text else (text_col,))
     shared = model.shared
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
                 pa.array([g[1] for g in got], pa.float64()),
                 pa.array([[{"lang": a, "share": b} for a, b in g[2]] for g in got], kind),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [f.name for f in schema.fields])
+            yield answered(batch, () if keep_text else (text_col,), schema, *more)
 
     return whole.mapInArrow(run, schema)
 
@@ -152,4 +152,4 @@ def op1_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
     model = fit(docs, ~held_out)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")

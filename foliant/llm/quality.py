@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import extended, fold, materialise, table, without
+from foliant.llm.common import answered, extended, fold, materialise, table, without
 
 #: Labelled rows that training takes at most, those with the smallest hash of id and text.
 SAMPLE = 20_000
@@ -60,18 +60,19 @@ def statistics(text: str) -> np.ndarray:
     return np.concatenate([shares, np.array(more, np.float32)])
 
 
-def with_statistics(docs: DataFrame, *, text_col: str = "text", out_col: str = "statistics") -> DataFrame:
-    """docs plus its whole texts' statistics as an array of floats."""
+def with_statistics(docs: DataFrame, *, text_col: str = "text", out_col: str = "statistics", keep_text: bool = True) -> DataFrame:
+    """docs plus its whole texts' statistics as an array of floats; less the text if ``keep_text`` is false."""
     whole = without(docs, out_col)
     place = whole.columns.index(text_col)
-    schema = extended(whole, f"`{out_col}` array<float>")
+    less = () if keep_text else (text_col,)
+    schema = extended(whole, f"`{out_col}` array<float>", less)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [statistics(t.as_py() or "") for t in batch.column(place)]
             flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.float32), pa.float32())
             cuts = pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, flat)], [f.name for f in schema.fields])
+            yield answered(batch, less, schema, pa.ListArray.from_arrays(cuts, flat))
 
     return whole.mapInArrow(run, schema)
 
@@ -182,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str =
     """
     text = F.col(f"`{text_col}`").cast("string")
     slim = docs.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("row"), text.alias("_text"))
-    stats = materialise(with_statistics(slim, text_col="_text").drop("_text"), "statistics")
+    stats = materialise(with_statistics(slim, text_col="_text", keep_text=False), "statistics")
     return predict(stats, fit(stats.filter(train), labels, id_col=id_col, label_col=label_col))
 
 
