@@ -152,6 +152,10 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
     """Grow the trees from at most ``sample`` rows that have statistics and a non-null label, chosen by hash."""
     marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("_label"))
     rows = stats.join(marked, id_col).select("statistics", "_label", F.xxhash64(F.lit(7), F.col(id_col), F.col("statistics")).alias("_at"))
+    # Only rows that can be among the smallest hashes are sorted, so that what partitions send to the driver does not grow with their number.
+    share = min(1.0, 2 * sample / max(1, marked.count()))
+    if share < 1:
+        rows = rows.filter(F.col("_at") < int(-(2**63) + share * 2**64))
     got = rows.orderBy("_at", "_label").limit(sample).select("statistics", "_label").toArrow()
     x = np.array(got.column(0).to_pylist(), np.float32).reshape(-1, len(NAMES))
     return grow(x, np.array(got.column(1).to_pylist(), np.float64))
