@@ -133,7 +133,16 @@ def brute_ppm(texts, train):
             seen = set(table[j][ctx])
         return out - math.log10(256 - len(table[0].get(b"", ())))
 
-    return [sum(symbol(s, i) for i in range(1, len(s))) for s in map(line, texts)]
+    known = Counter(w for t, on in zip(texts, train, strict=True) if on for w in ppm.tokens(t or ""))
+
+    def whole(t, weight):
+        total, at, s = 0.0, 1, line(t)
+        for w in ppm.tokens(t or ""):
+            span = range(at, at := at + len(w) + (w != ppm.END))
+            total += math.log10((1 - weight) * 10 ** sum(symbol(s, j) for j in span) + weight * known[w] / known.total())
+        return total
+
+    return [math.log10(sum(10 ** whole(t, w) for w in ppm.WORD_WEIGHTS) / len(ppm.WORD_WEIGHTS)) for t in texts]
 
 
 def test_ppm(docs):
