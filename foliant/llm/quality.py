@@ -177,6 +177,28 @@ def predict(stats: DataFrame, forest: Forest, *, threshold: float = THRESHOLD) -
     return whole.mapInArrow(run, schema)
 
 
+def judge(docs: DataFrame, forest: Forest, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs plus score and predicted, in one pass over its whole texts and without a shuffle; columns of those names are replaced."""
+    whole = without(docs, "score", "predicted")
+    place = whole.columns.index(text_col)
+    schema = extended(whole, "score double, predicted int")
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py() or "") for t in batch.column(place)], np.float32).reshape(-1, len(NAMES))
+            s = shared.value.score(x)
+            yield answered(batch, (), schema, pa.array(s), pa.array((s >= threshold).astype(np.int32)))
+
+    return whole.mapInArrow(run, schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
+    """The trees, from the texts and labels of documents where ``train`` holds. Statistics meet the labels, texts are not shuffled."""
+    known = docs.filter(train).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return fit(with_statistics(known, text_col="_text", keep_text=False), labels, id_col=id_col, label_col=label_col)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, row, statistics, score, predicted) for every row of docs, row being the text's xxhash64, learning from the labels of documents where ``train`` holds.
 
