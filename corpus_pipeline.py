@@ -19,10 +19,8 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of four folds in five."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
-    return docs.join(rejected, same, "left_anti").select(*COLUMNS)
+    forest = quality.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return quality.judge(docs.select(*COLUMNS), forest).filter("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
