@@ -27,6 +27,9 @@ from foliant.llm.common import discard, materialise, table
 
 #: Documents that share a signature may be picked from the corpus by a broadcast of their ids up to this number, and by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: What a worker holds at once: words whose hashes it remembers, signatures of a batch that it hands on.
+KNOWN_WORDS = 50_000
+BATCH_SIGNATURES = 50_000
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -53,7 +56,7 @@ class Shingler:
         words = (text or "").encode().lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 150_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         get = self.known.get
         h = np.array([get(w) or self._word(w) for w in words], np.uint64)
@@ -145,11 +148,12 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     ids.append(i)
                     sigs.append(signatures(s, num, den))
                     size += len(sigs[-1])
-                if size > 200_000 or len(own) >= 2000:
+                if size > BATCH_SIGNATURES or len(own) >= 1000:
                     yield batch_of(own, ids, sigs)
                     own, ids, sigs, size = [], [], [], 0
         if own:
             yield batch_of(own, ids, sigs)
+        pa.default_memory_pool().release_unused()  # the worker stays beside the JVM's next stages
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -177,6 +181,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
                     last, left = a, shingles(ta.as_py())
                 good.append(linked(left, shingles(tb.as_py()), num, den))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
