@@ -14,6 +14,10 @@ ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Spark's own setting by which a query's shuffle files go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. ``written`` gets the path."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. ``written`` gets the path.
+
+    Nothing reads the shuffle files of a written table again, so they are dropped with the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     if written is not None:
         written.append(path)
     return spark.read.schema(df.schema).parquet(path)
