@@ -221,16 +221,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     big: list[str] = []  # tables to discard once the result is written
-    signed = materialise(_signed(slim, width, num, den), "signatures", big)
-    own, sigs = signed.filter("sig IS NULL"), signed.filter("sig IS NOT NULL").select("sig", "id")
+    early: list[str] = []  # and once the signatures that documents share are
+    signed = materialise(_signed(slim, width, num, den), "signatures", early)
+    own, sigs = materialise(signed.filter("sig IS NULL").drop("sig"), "sets", big), signed.filter("sig IS NOT NULL").select("sig", "id")
     sizes = own.select("id", "n", "f1", "f2")
     copies = sizes.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     copies = materialise(copies.filter("rep < last").select("f1", "f2", "rep"), "copies")
     copy_of = materialise(sizes.join(copies, ["f1", "f2"]).filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")), "copy-of")
 
     shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
-    members = sigs.join(materialise(shared, "shared", big), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    members = sigs.join(materialise(shared, "shared", early), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
     members = materialise(members, "members", big)
+    discard(docs.sparkSession, early)
     ids = members.select("id").distinct()
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialise(slim.join(picked, "id", "left_semi"), "texts", big)
