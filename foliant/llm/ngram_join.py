@@ -102,15 +102,23 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-SIGNED = "sig long, id long, n long, f1 long, f2 long, sketch array<long>"
+SIGNED = "sig long, id long, n long, f1 long, f2 long, sketch array<long>, fine array<long>"
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each of 64 * SKETCH places: two sets differ in no fewer shingles than their sketches in bits."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def parity_sketch(s: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 64 * words places: two sets differ in no fewer shingles than their sketches in bits."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """A parity sketch with a place for each shingle at least, for sets so large that the common sketch is full; its halves' XOR is the next smaller one. Empty for other sets."""
+    words = SKETCH
+    while 64 * words < len(s):
+        words *= 2
+    return parity_sketch(s, words) if words > SKETCH else np.zeros(0, np.int64)
+
+
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """For each row of docs a row with its set's size, 128-bit fingerprint and parity sketch (sig null), and for each that has a set and an id its (sig, id)."""
 
@@ -118,8 +126,10 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         sig = np.concatenate([*sigs, np.zeros(0, np.int64)])
         each = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
         many = len(sig)
-        own = list(zip(*docs_, strict=True)) or [()] * 5
+        own = list(zip(*docs_, strict=True)) or [()] * 6
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(docs_) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate([*own[4], np.zeros(0, np.int64)])))
+        cuts = np.cumsum([0, *map(len, own[5])])
+        fine = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*own[5], np.zeros(0, np.int64)])))
         join = lambda one, rest: pa.concat_arrays([one, rest])
         long = lambda x: pa.array(x, pa.int64())
         none = pa.nulls(many, pa.int64())
@@ -128,9 +138,9 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 join(pa.nulls(len(docs_), pa.int64()), pa.array(sig)),
                 join(long(own[0]), pa.array(each)),
                 *(join(long(own[k]), none) for k in (1, 2, 3)),
-                join(sketch, pa.nulls(many, sketch.type)),
+                *(join(x, pa.nulls(many, x.type)) for x in (sketch, fine)),
             ],
-            ["sig", "id", "n", "f1", "f2", "sketch"],
+            ["sig", "id", "n", "f1", "f2", "sketch", "fine"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +153,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(t.as_py())
                 f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                own.append((i, len(s), f1, f2, parity_sketch(s)))
+                own.append((i, len(s), f1, f2, parity_sketch(s), fine_sketch(s)))
                 if len(s) and i is not None:
                     ids.append(i)
                     sigs.append(signatures(s, num, den))
@@ -168,6 +178,21 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return ratio & (bits * (den + num) <= (na + nb) * (den - num))
 
 
+def _refined(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs less those of large sets whose fine sketches (id, n, fine) rule a link out; the longer sketch is folded to the shorter one's length."""
+    x, y = (fine.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("fine").alias(f"{c}fine")) for c in "ab")
+    xor = lambda p, q: p.bitwiseXOR(q)
+
+    def folded(one: str, other: str) -> Column:
+        half = (F.size(one) / 2).cast("int")
+        return F.when(F.size(one) > F.size(other), F.zip_with(F.slice(one, 1, half), F.slice(one, half + 1, half), xor)).otherwise(F.col(one))
+
+    far = F.zip_with(folded("afine", "bfine"), folded("bfine", "afine"), lambda p, q: F.bit_count(xor(p, q)))
+    bits = F.aggregate(far, F.lit(0), lambda sum_, k: sum_ + k)  # null if a set has no fine sketch or the lengths are further apart
+    out = bits * (den + num) > (F.col("an") + F.col("bn")) * (den - num)
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(out, F.lit(False))).select("a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the (a, b) pairs that are linked."""
 
@@ -236,12 +261,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ids = members.select("id").distinct()
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialise(slim.join(picked, "id", "left_semi"), "texts", big)
+    fine = materialise(own.filter(F.size("fine") > 0).join(picked, "id", "left_semi").select("id", "n", "fine"), "fine-sketches", big)
     sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches", big)
 
     leaders = members.groupBy("sig").agg(F.min("id").alias("a"))
     first = members.join(materialise(leaders, "leaders", big), "sig").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
     x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch")) for c in "ab")
     first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b")
+    first = materialise(_refined(first, fine, num, den), "pairs", big)
     labels = materialise(ids.select("id", F.col("id").alias("c")), "components")
     labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links"))
     chosen = 1
@@ -259,6 +286,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         lead = lead.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("rank").alias("rx"), F.col("n").alias("xn"), F.col("sketch").alias("xsketch"))
         pairs = ranked.join(lead, "sig").filter((F.col("rank") > F.col("rx")) & (F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
         pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        pairs = materialise(_refined(pairs, fine, num, den), "pairs", big)
         links = materialise(_verify(pairs, texts, width, num, den), "links")
         labels = _relabelled(labels, links)
         members = ranked.filter(F.col("rank") > chosen).select("sig", "id")

@@ -125,6 +125,8 @@ def test_ngram_join(docs, width, num):
     for _ in range(25):
         base = [rng.choice(vocab) for _ in range(rng.choice([2, 5, 9, 15, 40, 90]))]
         texts += [" ".join(edited(rng, base, vocab, rng.choice([0, 0, 1, 2, 4]))) for _ in range(rng.choice([1, 2, 8]))]
+    large = [[rng.choice(vocab) for _ in range(n)] for n in (1500, 2300)]  # sets that have fine sketches, of different lengths
+    texts += [" ".join(edited(rng, base, vocab, n)) for base in large for n in (0, 10, 25, 45, 60, 90)] + [" ".join(large[0] + large[1][:200])]
     texts += ["A  b", "a b", "", None]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
@@ -154,6 +156,8 @@ def test_linked_sets_share_a_signature():
             assert set(ngram_join.signatures(a, 85, 100).tolist()) & set(ngram_join.signatures(b, 85, 100).tolist())
         x, y = (np.unpackbits(ngram_join.parity_sketch(s).view(np.uint8)) for s in (a, b))
         assert int((x != y).sum()) <= len(np.setxor1d(a, b))
+        wide, half = ngram_join.parity_sketch(a, 32), ngram_join.parity_sketch(a, 16)
+        assert (wide[:16] ^ wide[16:] == half).all()
 
 
 def test_pipeline(spark, tmp_path):
