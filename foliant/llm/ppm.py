@@ -1,24 +1,22 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 How often each byte follows each context of up to ORDER bytes is counted over whole texts of all
-training documents. The contexts that hold at least a fixed share of the corpus, and of those the most
-frequent MAX_STATES, form the trie, which is thus bounded whatever the input's size. Escape method C
-with exclusion of the symbols that the longer context has seen gives every context's code lengths; the
-trie is laid out as an automaton whose state is the longest kept context, so that a block of texts is
-coded by table look-ups, many strips of it side by side.
-
-Token counts are summed per word over the corpus and sent back to the blocks of documents that hold the
-word. They give the base score, and they are the model's one context without a bound: a token's
-probability is a blend of what the byte contexts and the share of the whole word in the corpus give it.
-Documents differ in how far known words explain them, so a document's probability is the mean over a few
-weights of the blend.
+training documents, and every context counts, however rare. A byte's code length follows from its window,
+the byte behind its longest context: the counts of the window's suffixes, by escape method C with exclusion
+of the symbols that the longer context has seen. Windows that agree in their last two bytes of context share
+all counts of two bytes or more, so the code lengths are worked out in groups of these; the counts of shorter
+contexts, at most 2^16, go to every group.
+
+Windows and words are gathered per block of documents and summed over the corpus in one written table. Each
+block is sent what its own texts hold: its windows' code lengths and its words' counts. The counts give the
+base score, and a token's probability is a blend of what the byte contexts and the share of the whole word in
+the corpus give it. Documents differ in how far known words explain them, so a document's probability is the
+mean over a few weights of the blend.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +26,11 @@ from pyspark.sql import functions as F
 from foliant.llm.common import fold, materialise, table
 
 ORDER = 5
-SHARE = 2.0**-18
-MAX_STATES = 1 << 17
 BLOCK_BYTES = 16_000_000
-#: What a worker counts or codes at once, and the counts that it gathers before it hands them on.
+#: What a worker counts or codes at once.
 PIECE_BYTES = 2_000_000
-MERGED_GRAMS = 2_000_000
-STRIPS = 2048
+#: Pairs of window and block that a group of windows has on average.
+GROUP_PAIRS = 250_000
 WORD_WEIGHTS = (0.05, 0.5, 0.8, 0.95)
 END = b"\n"
 
@@ -82,153 +78,104 @@ def _windows(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
     return window, length
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): how often each byte follows its longest context; key holds the context's length, its bytes and the byte."""
+def _keys(stream: bytes) -> np.ndarray:
+    """Each byte's window as one number: its context's length, the context and the byte."""
+    window, length = _windows(stream)
+    return window | length << 56
 
-    def unique(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[new], np.add.reduceat(n, new)
 
-    def count(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        window, length = _windows(b"".join(parts))
-        window |= length << 56
-        window.sort()
-        return unique(window, np.ones(len(window), np.int64))
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.argsort(key)
+    key, n = key[at], n[at]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[new], np.add.reduceat(n, new)
 
-    def merged() -> pa.RecordBatch:
-        key, n = (np.concatenate(x) for x in zip(*done, strict=True))
-        at = np.argsort(key, kind="stable")
-        return pa.record_batch(list(map(pa.array, unique(key[at], n[at]))), ["key", "n"])
 
+def code_lengths(key: np.ndarray, n: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each window's byte.
+
+    key, n: distinct windows with their counts in training texts, which hold all windows that share a window's last two
+    bytes of context; short[context][byte]: counts behind one byte, over the whole corpus.
+    """
+    symbol, window, length = key & 255, key & (1 << 48) - 1, key >> 56
+    none = short.sum(0)
+    count, total, distinct = none[symbol].astype(np.float64), np.full(len(key), float(none.sum())), np.full(len(key), float((none > 0).sum()))
+    rest = np.full(len(key), 1 / max(1, 256 - int((none > 0).sum())))  # an unseen byte's share of what the context's escape leaves
+
+    def probability(of: np.ndarray | slice) -> np.ndarray:
+        whole = np.maximum(total[of] + distinct[of], 1)
+        return np.where(count[of] > 0, count[of] / whole, np.where(total[of] > 0, distinct[of] / whole, 1.0) * rest[of])
+
+    for j in range(1, ORDER + 1):
+        of = np.flatnonzero(length >= j)
+        if j == 1:
+            row = window[of] >> 8 & 255
+            c, t, d = short[row, symbol[of]].astype(np.float64), short.sum(1)[row].astype(np.float64), (short > 0).sum(1)[row].astype(np.float64)
+            shared = np.where(short > 0, none, 0).sum(1)[row].astype(np.float64)
+        else:
+            gram, g = np.unique(window[of] & (1 << 8 * (j + 1)) - 1, return_inverse=True)
+            context, k = np.unique(gram >> 8, return_inverse=True)
+            by_gram, up = np.bincount(g, n[of], len(gram)), np.zeros(len(gram))
+            up[g] = count[of]
+            c = by_gram[g]
+            t, d, shared = (np.bincount(k, x, len(context))[k][g] for x in (by_gram, by_gram > 0, np.where(by_gram > 0, up, 0)))
+        left, fresh = total[of] - shared, distinct[of] - d  # what the shorter context holds beside the symbols that this one has seen
+        room = np.maximum(left + fresh, 1)
+        rest[of] = np.where(count[of] > 0, count[of] / room, np.where(left + fresh > 0, fresh / room, 1.0) * rest[of])
+        count[of], total[of], distinct[of] = c, t, d
+    return np.log10(probability(slice(None)))
+
+
+def _lengths(shared):
+    """A function from a group's windows (key, n, blocks) to (block, key, bits) for each block that holds the window; bits: log10 of its probability."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, n, blocks = rows.column("key").to_numpy(), rows.column("n").to_numpy(), rows.column("blocks").combine_chunks()
+        times = blocks.value_lengths().to_numpy()
+        bits = code_lengths(key, n, shared.value).astype(np.float32)
+        return pa.table([blocks.flatten(), pa.array(np.repeat(key, times)), pa.array(np.repeat(bits, times))], ["block", "key", "bits"])
+
+    return run
+
+
+GATHERED = "block int, word binary, key long, n long"
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """A block's distinct tokens, and its distinct windows, with their counts in training documents."""
+    words: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+    parts: tuple[list[bytes], list[bytes]] = [], []
+    size = [0, 0]
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    parts: list[bytes] = []
-    size = 0
-    for batch in batches:
-        for text in batch.column(0):
-            parts.append(coded(tokens(text.as_py() or "")))
-            size += len(parts[-1])
-            if size >= PIECE_BYTES:
-                done.append(count(parts))
-                parts, size = [], 0
-                if sum(len(k) for k, _ in done) >= MERGED_GRAMS:
-                    yield merged()
-                    done = []
-    if parts:
-        done.append(count(parts))
-    if done:
-        yield merged()
-
-
-class Automaton:
-    """Code lengths and transitions of the kept contexts, from the counts of the bytes that follow them (length, context and byte, count)."""
-
-    def __init__(self, length: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
-        used = np.unique(gram & 255)
-        width = len(used) + 1  # the last column stands for each byte that never occurs
-        self.column = np.full(256, width - 1, np.int16)
-        self.column[used] = np.arange(len(used))
-        costs, steps = [], []
-        first, below, seen_below, total_below, rest_below = 0, np.zeros(0, np.int64), None, None, None
-        for j in range(ORDER + 1):
-            g, c = gram[length == j], n[length == j]
-            ctx = np.unique(g >> 8)
-            if j == 0 and not len(ctx):
-                ctx = np.zeros(1, np.int64)
-            if j > 1:  # a context stays only if it can be reached: the one without its last byte stays too
-                ctx = ctx[np.isin(ctx >> 8, below)]
-                own = np.isin(g >> 8, ctx)
-                g, c = g[own], c[own]
-            seen = np.zeros((len(ctx), width), np.float32)
-            seen[np.searchsorted(ctx, g >> 8), self.column[g & 255]] = c
-            total, distinct = seen.sum(1, dtype=np.float64), (seen > 0).sum(1)
-            if j == 0:
-                rest = np.full((1, width), 1 / max(1, 256 - int(distinct[0])))
-            else:  # what remains one order down when this context's symbols are excluded
-                up = np.searchsorted(below, ctx & (1 << 8 * (j - 1)) - 1)
-                n_up, free = seen_below[up], seen == 0
-                fresh = ((n_up > 0) & free).sum(1)[:, None]
-                left = total_below[up][:, None] - np.where(free, 0, n_up).sum(1, dtype=np.float64)[:, None]
-                room = np.maximum(left + fresh, 1)
-                rest = np.where(free, np.where(n_up > 0, n_up / room, np.where(left + fresh > 0, fresh / room, 1.0) * rest_below[up]), 0.0)
-            whole = np.maximum(total + distinct, 1)[:, None]
-            escape = np.where(total > 0, distinct / whole[:, 0], 1.0)[:, None]
-            with np.errstate(divide="ignore"):
-                costs.append(np.log10(np.where(seen > 0, seen / whole, escape * rest)).astype(np.float32))
-            if j == 0:
-                steps.append(np.zeros((1, width), np.int32))
-            else:
-                row = np.searchsorted(below, ctx >> 8) if j > 1 else np.zeros(len(ctx), np.int64)
-                steps[j - 1][row, self.column[ctx & 255]] = first + np.arange(len(ctx))
-                steps.append(steps[j - 1][up])
-            first, below, seen_below, total_below, rest_below = first + len(ctx), ctx, seen, total, rest.astype(np.float32)
-        self.cost, self.step = np.concatenate(costs), np.concatenate(steps)
-        self.start = int(self.step[0, self.column[END[0]]])
-
-    def log10(self, stream: bytes) -> np.ndarray:
-        """log10 of each byte's probability, for texts one behind the other, each with its end."""
-        sym = self.column[np.frombuffer(stream, np.uint8)]
-        rows = -(-len(sym) // STRIPS)
-        if not rows:
-            return np.zeros(0)
-        padded = np.r_[np.full(ORDER, self.column[END[0]], np.int16), sym, np.zeros(rows * STRIPS - len(sym), np.int16)]
-        at = np.arange(STRIPS) * rows
-        state, width = np.full(STRIPS, self.start, np.int64), self.cost.shape[1]
-        cost, step, out = self.cost.ravel(), self.step.ravel(), np.empty((rows, STRIPS), np.float32)
-        for k in range(ORDER + rows):  # a strip's first steps, over the bytes before it, find its state
-            cell = state * width + padded[at + k]
-            if k >= ORDER:
-                out[k - ORDER] = cost[cell]
-            state = step[cell].astype(np.int64)
-        return out.T.ravel()[: len(sym)].astype(np.float64)
-
-
-_automata: dict[str, Automaton] = {}
-
-
-def worker_automaton(shared) -> Automaton:
-    """This worker's automaton for a broadcast of counts; the last one is kept."""
-    tag, counts = shared.value
-    if tag not in _automata:
-        _automata.clear()
-        _automata[tag] = Automaton(*counts)
-    return _automata[tag]
-
-
-def train_trie(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length, context and byte, count) of the trie's contexts, from a column of texts; at most MAX_STATES contexts come to the driver."""
-    longest = texts.mapInArrow(_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    longest = materialise(longest, "grams")
-    symbols = longest.agg(F.sum("n")).first()[0] or 0
-    length = F.shiftrightunsigned("key", 56).cast("int")
-    masks = F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)])
-    ladder = longest.select(F.explode(F.sequence(F.lit(0), length)).alias("k"), "key", "n")
-    grams = ladder.groupBy("k", F.col("key").bitwiseAND(F.element_at(masks, F.col("k") + 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("ctx", F.shiftrightunsigned("gram", 8))
-    contexts = grams.groupBy("k", "ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= symbols * SHARE)
-    contexts = contexts.orderBy(F.desc("total"), "k", "ctx").limit(MAX_STATES)
-    kept = grams.join(contexts, ["k", "ctx"]).select("k", "gram", "n").orderBy("k", "gram").toArrow()
-    return tuple(kept.column(c).to_numpy().astype(np.int64) for c in ("k", "gram", "n"))
-
-
-VOCABULARY = "block int, word binary, n long"
-
-
-def _vocabulary(rows: pa.Table) -> pa.Table:
-    """A block's distinct tokens with their counts in training documents."""
-    seen: Counter[bytes] = Counter()
-    other: set[bytes] = set()
+
+    def count(on: int) -> None:
+        key = _keys(b"".join(parts[on]))
+        done.append(_summed(key, np.full(len(key), on, np.int64)))
+        parts[on].clear()
+        size[on] = 0
+
     for text, train in zip(rows.column("t"), rows.column("train"), strict=True):
-        toks = tokens(text.as_py() or "")
-        if train.as_py():
-            seen.update(toks)
-        else:
-            other.update(toks)
-    other.difference_update(seen)
-    block = rows.column("block")[0].as_py()
-    n = len(seen) + len(other)
+        toks, on = tokens(text.as_py() or ""), int(train.as_py())
+        words[on].update(toks)
+        parts[on].append(coded(toks))
+        size[on] += len(parts[on][-1])
+        if size[on] >= PIECE_BYTES:
+            count(on)
+    for on in (0, 1):
+        if parts[on]:
+            count(on)
+    other, seen = words
+    other = [w for w in other if w not in seen]
+    key, n = _summed(*(np.concatenate(x) for x in zip(*done, strict=True)))
+    n_words = len(seen) + len(other)
     return pa.table(
-        [pa.array([block] * n, pa.int32()), pa.array([*seen, *other], pa.binary()), pa.array([*seen.values(), *[0] * len(other)], pa.int64())],
-        ["block", "word", "n"],
+        [
+            pa.array(np.full(n_words + len(key), rows.column("block")[0].as_py(), np.int32)),
+            pa.array([*seen, *other, *[None] * len(key)], pa.binary()),
+            pa.concat_arrays([pa.nulls(n_words, pa.int64()), pa.array(key)]),
+            pa.array(np.r_[np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(other), np.int64), n]),
+        ],
+        ["block", "word", "key", "n"],
     )
 
 
@@ -244,22 +191,33 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("t"))
     blocks = max(1, -(-(slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int"))
-    vocabulary = dealt.groupBy("block").applyInArrow(_vocabulary, VOCABULARY)
-    words = materialise(vocabulary.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "words")
+    gathered = dealt.groupBy("block").applyInArrow(_gathered, GATHERED)
+    counts = materialise(gathered.groupBy("word", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "counts")
+    words, windows = counts.filter("word is not null"), counts.filter("key is not null")
 
     n_all, n_distinct = (int(x or 0) for x in words.filter("n > 0").agg(F.sum("n"), F.count("n")).first())
     unit = float(np.log10(n_all + 0.1 * (n_distinct + 1)))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, train_trie(slim.filter("train").select("t"))))
-    scored = words.select(F.explode("blocks").alias("block"), "word", "n")
+    short = np.zeros((256, 256), np.int64)
+    for gram, n in windows.filter("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n")).collect():
+        short[gram >> 8, gram & 255] = n
+    groups = max(1, -(-(windows.agg(F.sum(F.size("blocks"))).first()[0] or 0) // GROUP_PAIRS))
+    near = F.pmod(F.xxhash64(F.col("key").bitwiseAND(0xFFFF00)), F.lit(groups)).cast("int")
+    lengths = windows.select("key", "n", "blocks", near.alias("near")).groupBy("near").applyInArrow(_lengths(spark.sparkContext.broadcast(short)), "block int, key long, bits float")
+    sent = words.select(F.explode("blocks").alias("block"), "word", "n").unionByName(lengths, allowMissingColumns=True)
     out = docs.select(F.col(f"`{id_col}`").alias("id")).schema.fields[0].dataType.simpleString()
 
-    def sums(parts: list[bytes], sizes: list[np.ndarray], counts: list[np.ndarray]) -> list[float]:
+    def sums(parts: list[bytes], sizes: list[np.ndarray], counts: list[np.ndarray], key: np.ndarray, bits: np.ndarray) -> list[float]:
         first = np.cumsum([0, *map(len, sizes)])[:-1]
         size = np.concatenate(sizes)
-        by_bytes = np.add.reduceat(worker_automaton(shared).log10(b"".join(parts)), np.cumsum(size) - size)
+        window, at = np.unique(_keys(b"".join(parts)), return_inverse=True)
+        by_bytes = np.add.reduceat(bits[np.searchsorted(key, window)][at], np.cumsum(size) - size)
         return blended(by_bytes, np.concatenate(counts), n_all, first).tolist()
 
-    def add_up(rows: pa.Table, vocab: pa.Table) -> pa.Table:
+    def add_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        vocab, coding = known.filter(known.column("word").is_valid()), known.filter(known.column("key").is_valid())
+        key, bits = coding.column("key").to_numpy(), coding.column("bits").to_numpy().astype(np.float64)
+        order = np.argsort(key)
+        key, bits = key[order], bits[order]
         n = vocab.column("n").to_numpy().astype(np.float64)
         place = dict(zip(vocab.column("word").to_pylist(), range(len(n)), strict=True))
         base, got, model = np.log10(n + 0.1) - unit, [], []
@@ -273,10 +231,10 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
             size += len(parts[-1])
             got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
             if size >= PIECE_BYTES:
-                model += sums(parts, sizes, counts)
+                model += sums(parts, sizes, counts, key, bits)
                 parts, sizes, counts, size = [], [], [], 0
         if parts:
-            model += sums(parts, sizes, counts)
+            model += sums(parts, sizes, counts, key, bits)
         got = [(*g, x) for g, x in zip(got, model, strict=True)]
         cols = list(zip(*got, strict=True)) or [()] * 4
         return pa.table(
@@ -285,7 +243,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
         )
 
     schema = f"`{id_col}` {out}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(add_up, schema)
+    return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add_up, schema)
 
 
 def op5_ppm(spark, sf_dir: str) -> DataFrame:

@@ -163,6 +163,18 @@ def test_ppm(docs):
     assert ppm.score(docs([(1, "ab")]), F.lit(False)).first().score == pytest.approx(-4 * math.log10(256), rel=1e-5)
 
 
+def test_ppm_keeps_rare_contexts(docs):
+    """Contexts seen once or twice count in a large corpus too, whatever share of it they are, and across blocks."""
+    rng = random.Random(9)
+    common = [" ".join(rng.choice(["ab", "ba", "abba", "baab"]) for _ in range(200)) for _ in range(900)]
+    rows = list(enumerate([*common, "quixotic zebra vex", "quixotic", "zebra vexing quixote"]))
+    train = [i < len(rows) - 1 for i, _ in rows]
+    got = {r.doc_id: r.score for r in ppm.score(docs(rows), F.col("doc_id") < len(rows) - 1, block_bytes=200_000).collect()}
+    want = brute_ppm([t for _, t in rows], train)
+    assert sum(map(len, common)) > 2 * 2**18 and len(got) == len(rows)
+    assert got[len(rows) - 1] == pytest.approx(want[-1], rel=1e-5) and got[0] == pytest.approx(want[0], rel=1e-5)
+
+
 def test_fingerprints(docs):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh é\n") for _ in range(3000))
