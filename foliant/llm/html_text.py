@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import answered, extended, table, without
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Fixed values of HTML: elements without an end, elements whose inside is no markup, inline elements, and what a start tag closes.
+#: Fixed values of HTML: elements without an end, elements whose inside is no markup, those of them that nest, choices of a form, inline elements, and what a start tag closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "option"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg"}
+NESTED = {"template", "svg"}
+CHOICES = {"select", "datalist", "optgroup", "option"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist", "optgroup"}, "optgroup": {"select", "datalist"}}
 
 TAGS = ["html", "head", "body", "main", "article", "section", "div", "p", "h", "ul", "li", "table", "quote", "nav", "header", "footer", "aside", "form", "figure", "button", "text", "other"]
-_ALIASES = {f"h{k}": "h" for k in range(1, 7)} | {"ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "input": "form", "dialog": "aside"}
+_ALIASES = {f"h{k}": "h" for k in range(1, 7)} | {"ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "input": "form", "select": "form", "datalist": "form", "optgroup": "form", "option": "form", "dialog": "aside"}
 #: What names of classes, ids and roles say about an element.
 HINTS = {
     "advert": {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "adsense"},
@@ -74,12 +76,17 @@ def parse(page: str) -> list[Node]:
     leaf = -1  # the text block that text goes to
     in_link = 0
     tokens = _TOKEN.finditer(page)
-    skip = ""
+    skip, depth = "", 0
     for m in tokens:
         tag = m.group(2)
         if skip:
-            if tag and m.group(1) and tag.lower() == skip:
-                skip = ""
+            if tag and tag.lower() == skip:
+                if m.group(1):
+                    depth -= 1
+                elif skip in NESTED and not m.group(3).rstrip().endswith("/"):
+                    depth += 1
+                if not depth:
+                    skip = ""
             continue
         if tag is None:
             text = m.group()
@@ -105,7 +112,7 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if not m.group(3).rstrip().endswith("/"):
-                skip = tag
+                skip, depth = tag, 1
             continue
         if tag in VOID:
             if tag == "br" and leaf >= 0:
@@ -124,7 +131,7 @@ def parse(page: str) -> list[Node]:
         stop = SCOPE.get(tag, set())
         for k in range(len(stack) - 1, 0, -1):  # implied ends: a block ends an open paragraph, an item ends an item
             t = stack[k][0]
-            if t == "p" or (shut and t in shut):
+            if (t == "p" and tag not in CHOICES) or (shut and t in shut):
                 in_link -= sum(x == "a" for x, _ in stack[k:])
                 del stack[k:]
             elif t in stop or (t not in INLINE and not shut):

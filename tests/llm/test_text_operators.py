@@ -91,6 +91,12 @@ def test_html(spark, page_model):
     assert got == [(1, "A & B\none two\nthree <x>"), (2, ""), (3, ""), (1, "A & B\none two\nthree <x>"), (None, "")]
 
 
+def test_html_goes_on_behind_open_options_nested_svg_and_stray_quotes(page_model):
+    article = "<article><h1>Title</h1><p>one two three</p><p class=\"x\"\">four five</p><p title='a > b'>six</p></article>"
+    for before in ("<datalist><option value=a><option value=b></datalist>", "<select><option>red<option>blue</select>", "<svg><svg></svg><text>drawn</text></svg>", "<template><template></template><p>spare</p></template>"):
+        assert html_text.main_text(f"<body>{before}{article}</body>", page_model) == "Title\none two three\nfour five\nsix", before
+
+
 def test_html_marginals_are_exact(page_model):
     """Sum-product against enumeration of all labellings of a small tree."""
     from itertools import product
