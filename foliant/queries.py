@@ -144,6 +144,14 @@ def citation_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").filter(~F.col("text").rlike("[’‘“”–—$€£%]")).select("doc_id", textnorm.citation_key(F.col("text")).alias("key"))
 
 
+@query(
+    r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(text, '’‘“”–—' || chr(160), '''''""-- '), '([$€£])\s+', '\1', 'g'), '\s+%', '%', 'g'), '\s+', ' ', 'g'))) AS key FROM documents"""
+)
+def citation_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in the form that citations are searched in, those with quotes, dashes, currency and percent signs too (O-64)."""
+    return read(spark, d, "documents").select("doc_id", textnorm.citation_key(F.col("text")).alias("key"))
+
+
 TITLES = ["Priority of Payments", "Post-Acceleration Priority of Payments", "Events of Default", "Amortization Events", "Credit Enhancement", "Description of the Notes", "The Trust"]
 
 

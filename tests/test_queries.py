@@ -37,3 +37,10 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_every_sql_has_its_query():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not here")
+def test_citation_keys_of_all_documents(spark, sql):
+    got = queries.QUERIES["citation_keys_all"](spark, DATA).toPandas()
+    assert len(got) == sql.execute("SELECT count(*) FROM documents").fetchone()[0]
+    assert rows(got) == rows(sql.execute(queries.ORACLE_SQL["citation_keys_all"]).fetchdf())
