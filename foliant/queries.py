@@ -374,6 +374,30 @@ def payment_lists(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "title", "start_page", "end_page", F.size("steps").alias("n_steps"), F.element_at("steps", -1)["text"].alias("last_step"))
 
 
+@query(
+    """WITH i AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS n, count(*) OVER (PARTITION BY l_suppkey) AS c FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)),
+    r AS (SELECT *, ((n - 1) * ((c + 98) // 99)) // c AS run FROM i),
+    k AS (SELECT l_suppkey, run, count(*) AS m, max(l_partkey) AS part FROM r GROUP BY 1, 2 HAVING count(*) >= 3)
+    SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, 'Priority of Payments' AS title, CAST(1 + 21 * run AS INTEGER) AS start_page, CAST(1 + 21 * run + (m + 1) // 5 AS INTEGER) AS end_page, CAST(m AS INTEGER) AS n_steps, 'to part ' || CAST(part AS VARCHAR) || ';' AS last_step FROM k"""
+)
+def payment_lists_all(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of suppliers as numbered lists of up to 99, each under its heading, read off again (O-25 to O-35)."""
+    items = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    ordered = Window.partitionBy("l_suppkey").orderBy("l_partkey")
+    items = items.withColumn("n", F.row_number().over(ordered)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("l_suppkey")))
+    items = items.withColumn("run", F.expr("((n - 1) * ((c + 98) div 99)) div c").cast("int"))
+    items = items.withColumn("m", F.row_number().over(Window.partitionBy("l_suppkey", "run").orderBy("l_partkey")))
+    items = items.select(F.col("l_suppkey").cast("string").alias("doc_id"), "run", (F.col("m") + 1).alias("at"), F.lit("list_item").alias("kind"), F.concat(F.lit("to part "), "l_partkey", F.lit(";")).alias("text"), F.concat(F.lit("("), "m", F.lit(")")).alias("marker"))
+    runs = items.select("doc_id", "run").distinct()
+    head = runs.select("doc_id", "run", F.lit(0).alias("at"), F.lit("heading").alias("kind"), F.lit("Priority of Payments").alias("text"), F.lit(None).cast("string").alias("marker"))
+    lead = runs.select("doc_id", "run", F.lit(1).alias("at"), F.lit("text").alias("kind"), F.lit("Funds will be applied in the following order of priority:").alias("text"), F.lit(None).cast("string").alias("marker"))
+    b = items.unionByName(head).unionByName(lead)
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "at")) - 1
+    b = b.select("doc_id", idx.alias("idx"), "kind", "text", (1 + 21 * F.col("run") + F.floor(F.col("at") / 5)).cast("int").alias("page"), F.lit(None).cast("string").alias("page_label"), F.when(F.col("kind") == "heading", 1).alias("level"), "marker", F.lit(None).cast("int").alias("table_index"))
+    w = waterfalls.list_waterfalls(b, structure.sections(b))
+    return w.select("doc_id", "title", "start_page", "end_page", F.size("steps").alias("n_steps"), F.element_at("steps", -1)["text"].alias("last_step"))
+
+
 @query()
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     """Documents' lines packed into contexts of 2,000 characters (O-38, O-39)."""
