@@ -2,10 +2,15 @@
 
 Sizes of shingle sets are cut into bands so that linked sets lie in one band or in neighbours. For each
 band the shingles' domain is dealt into first-level partitions, each of two cells; a signature is one
-first-level partition with one of its cells: the enumerated subset. Two linked sets differ in at most k
-shingles, so in ``spare + 1`` first-level partitions at least they differ in one shingle or none, and
-there one cell at least is equal: they share a signature. A set leaves out the signatures of its empty
-cells if it has no more than ``spare`` first-level partitions with an empty cell.
+first-level partition with one of its cells: the enumerated subset. Linked sets differ in few shingles,
+so in most first-level partitions they differ in one shingle or none, and there one cell at least is
+equal: how many signatures they share at least follows from their sizes. In the bands of small sets each
+shingle is a cell of its own, since larger cells would often be empty.
+
+A set that must share g signatures with any set that it links with may leave out g - 1 of them, if all
+sets leave out the first in one order of all signatures: what is left still holds one that is shared.
+Empty cells come first in that order, then the signatures that most documents have, so passages that
+many documents hold bring few of these together.
 
 Sets that are equal are one class. Members of a signature are never paired off with each other: each is
 compared with leaders, linked ones join components, and a signature is done when its members are in one
@@ -30,6 +35,10 @@ BROADCAST_IDS = 1_000_000
 #: What a worker holds at once: words whose hashes it remembers, signatures of a batch that it hands on.
 KNOWN_WORDS = 50_000
 BATCH_SIGNATURES = 50_000
+#: Bands whose sets have no more shingles than this take each shingle for a cell.
+FINEST = 100
+#: Leaders that a signature's members are compared with at a time, from the second time on.
+LEADERS = (8, 64)
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -77,24 +86,41 @@ def bands(size: int, num: int, den: int) -> tuple[int, int, int, int]:
         band, low, before = band + 1, high + 1, high
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A set's signatures in the scheme of its own band and in that of the band before, whose pairs reach into its band."""
-    out = []
-    band, high, before, high_before = bands(len(s), num, den)
-    for b, top in ((band, high), (before, high_before)):
-        if not top:
+def most_apart(a: int, b: int, num: int, den: int) -> int:
+    """In how many shingles linked sets of sizes up to a and b may differ."""
+    return (a + b) * (den - num) // (den + num)
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """A set's signatures, in the scheme of its own band and in that of the band before, whose pairs reach into its band.
+
+    A signature's last two bits tell the set's schemes apart: 0 for small sets, 1 and 2 for bands in turn.
+    With them comes, for each, how many signatures the set may still leave out.
+    """
+    n = len(s)
+    out, less = [np.zeros(0, np.uint64)], [0, 0, 0]
+    if not most_apart(n, n * den // num, num, den):
+        return out[0].view(np.int64), less  # links with equal sets alone
+    band, top, before, top_before = bands(n, num, den)
+    if top <= FINEST or 0 < top_before <= FINEST:
+        out.append(_mix(s ^ _ODD[0]) & ~np.uint64(3))
+        less[0] = -(-n * num // den) - 1
+    for b, high, reach in ((band, top, n * den // num), (before, top_before, top_before)):
+        if high <= FINEST or high * den < n * num:
             continue
-        k = (top + top * den // num) * (den - num) // (den + num)  # shingles in which linked sets of this scheme may differ
-        spare = 1 + k // 24
-        first = k // 2 + 1 + spare
+        k = most_apart(high, high * den // num, num, den)
+        first = k // 2 + 3 + k // 10
         salt = np.uint64((b + 1) * 0x632BE59BD9B4E019 % 2**64)
         cell = (_mix(s + salt) % np.uint64(2 * first)).astype(np.int64)
         total = np.zeros(2 * first, np.uint64)
         np.add.at(total, cell, _mix(s ^ salt))
-        empty = np.bincount(cell, minlength=2 * first) == 0
+        empty = np.flatnonzero(np.bincount(cell, minlength=2 * first) == 0)
+        free = first - most_apart(n, reach, num, den) // 2 - 1
         sig = _mix(total + _mix(np.arange(2 * first, dtype=np.uint64) + salt))
-        out.append(sig if empty.reshape(-1, 2).any(1).sum() > spare else sig[~empty])
-    return np.concatenate(out).view(np.int64)
+        tag = 1 + b % 2
+        out.append(np.delete(sig, empty[:free]) & ~np.uint64(3) | np.uint64(tag))
+        less[tag] = max(0, free - len(empty))
+    return np.concatenate(out).view(np.int64), less
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -102,7 +128,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
-SIGNED = "sig long, id long, n long, f1 long, f2 long, sketch array<long>, fine array<long>"
+SIGNED = "sig long, id long, n long, f1 long, f2 long, sketch array<long>, fine array<long>, less array<int>"
 
 
 def parity_sketch(s: np.ndarray, words: int = SKETCH) -> np.ndarray:
@@ -120,16 +146,17 @@ def fine_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """For each row of docs a row with its set's size, 128-bit fingerprint and parity sketch (sig null), and for each that has a set and an id its (sig, id)."""
+    """For each row of docs a row with its set's size, 128-bit fingerprint, parity sketches and signatures that may be left out (sig null), and for each that has a set and an id its (sig, id)."""
 
     def batch_of(docs_: list[tuple], ids: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
         sig = np.concatenate([*sigs, np.zeros(0, np.int64)])
         each = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
         many = len(sig)
-        own = list(zip(*docs_, strict=True)) or [()] * 6
+        own = list(zip(*docs_, strict=True)) or [()] * 7
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(docs_) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate([*own[4], np.zeros(0, np.int64)])))
         cuts = np.cumsum([0, *map(len, own[5])])
         fine = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*own[5], np.zeros(0, np.int64)])))
+        less = pa.array(own[6], pa.list_(pa.int32()))
         join = lambda one, rest: pa.concat_arrays([one, rest])
         long = lambda x: pa.array(x, pa.int64())
         none = pa.nulls(many, pa.int64())
@@ -138,9 +165,9 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 join(pa.nulls(len(docs_), pa.int64()), pa.array(sig)),
                 join(long(own[0]), pa.array(each)),
                 *(join(long(own[k]), none) for k in (1, 2, 3)),
-                *(join(x, pa.nulls(many, x.type)) for x in (sketch, fine)),
+                *(join(x, pa.nulls(many, x.type)) for x in (sketch, fine, less)),
             ],
-            ["sig", "id", "n", "f1", "f2", "sketch", "fine"],
+            ["sig", "id", "n", "f1", "f2", "sketch", "fine", "less"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +180,12 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(t.as_py())
                 f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                own.append((i, len(s), f1, f2, parity_sketch(s), fine_sketch(s)))
-                if len(s) and i is not None:
+                sig, less = signatures(s, num, den)
+                own.append((i, len(s), f1, f2, parity_sketch(s), fine_sketch(s), less))
+                if i is not None:
                     ids.append(i)
-                    sigs.append(signatures(s, num, den))
-                    size += len(sigs[-1])
+                    sigs.append(sig)
+                    size += len(sig)
                 if size > BATCH_SIGNATURES or len(own) >= 1000:
                     yield batch_of(own, ids, sigs)
                     own, ids, sigs, size = [], [], [], 0
@@ -215,94 +243,130 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, c): the smallest id of each id's connected component, for all ids on (a, b) edges. Labels spread along edges and then jump to their own label."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "labels")
+    spark = edges.sparkSession
+    given: list[str] = []
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", given)
+    past: list[str] = []
+    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "labels", past)
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("c").alias("near"))
         spread = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("c", "near").alias("c"), F.col("c").alias("old"))
         own = labels.select(F.col("id").alias("c"), F.col("c").alias("beyond"))
-        fresh = materialise(spread.join(own, "c", "left").select("id", F.least("c", "beyond").alias("c"), "old"), "labels")
-        moved = fresh.filter("c <> old").limit(1).count()
+        now: list[str] = []
+        fresh = materialise(spread.join(own, "c", "left").select("id", F.least("c", "beyond").alias("c"), "old"), "labels", now)
+        discard(spark, past)
+        past = now
         labels = fresh.select("id", "c")
-        if not moved:
+        if not fresh.filter("c <> old").limit(1).count():
+            discard(spark, given)
             return labels
 
 
-def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (id, c) after components are merged along edges between ids."""
+def _relabelled(labels: DataFrame, edges: DataFrame, written: list[str]) -> DataFrame:
+    """Labels (id, c) after components are merged along edges between ids; ``written`` has the path of the old ones and gets the new one's."""
     a, b = (labels.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     between = edges.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = connected(between).select(F.col("id").alias("c"), F.col("c").alias("to"))
-    return materialise(labels.join(merged, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "components")
+    now: list[str] = []
+    out = materialise(labels.join(merged, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "components", now)
+    discard(labels.sparkSession, written)
+    written += now
+    return out
+
+
+def _members(own: DataFrame, sigs: DataFrame, copy_of: DataFrame, written: list[str]) -> DataFrame:
+    """(sig, id): the signatures that each set still has when it has left out as many as it may, those of most documents first. Copies stand behind the first of them."""
+    counts = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    counts = materialise(counts, "shared", written)  # so that the join reads exchanges on both sides, which adaptive execution can split
+    less = own.filter("n > 0 AND id IS NOT NULL").select("id", "less").join(copy_of.select("id"), "id", "left_anti")
+    less = less.groupBy("id").agg(*[F.min(F.get("less", F.lit(k))).alias(f"less{k}") for k in range(3)])
+    scheme = F.col("sig").bitwiseAND(F.lit(3))
+    rank = F.row_number().over(Window.partitionBy("id", scheme).orderBy(F.desc("docs"), "sig"))
+    ranked = sigs.join(counts, "sig").join(less, "id").withColumn("rank", rank)
+    return ranked.filter(F.col("rank") > F.when(scheme == 0, F.col("less0")).when(scheme == 1, F.col("less1")).otherwise(F.col("less2"))).select("sig", "id")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, id, c, w) of the signatures whose members lie in more than one component; w: how many of them are in the member's."""
+    weight = members.join(labels, "id").groupBy("sig", "c").agg(F.count(F.lit(1)).alias("w"))
+    several = weight.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
+    return members.join(labels, "id").join(weight.join(several, "sig"), ["sig", "c"]).select("sig", "id", "c", "w")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of every row: sets of ``width``-word shingles link when den * shared >= num * union.
 
     Words are cut at ASCII white space, A-Z lower-cased; a text of fewer words is one shingle. A null or
-    empty text has no shingle, links with nothing and is its own component. Ids are meant to be unique:
-    rows that repeat one are a single document, which holds at least the links of one of its texts. A row
-    without an id links with nothing and has a null component. component_id is the smallest id reachable by links. Empty in, empty out.
+    empty text has no shingle and links with nothing. Rows that repeat an id are one document, which
+    links where any of its texts does. A row without an id links with nothing and has a null component.
+    component_id is the smallest id reachable by links, the row's own where there is none. Other columns are left out. Empty in, empty out.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     big: list[str] = []  # tables to discard once the result is written
-    early: list[str] = []  # and once the signatures that documents share are
+    early: list[str] = []  # and once the members of signatures are
     signed = materialise(_signed(slim, width, num, den), "signatures", early)
     own, sigs = materialise(signed.filter("sig IS NULL").drop("sig"), "sets", big), signed.filter("sig IS NOT NULL").select("sig", "id")
     sizes = own.select("id", "n", "f1", "f2")
-    copies = sizes.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = materialise(copies.filter("rep < last").select("f1", "f2", "rep"), "copies")
-    copy_of = materialise(sizes.join(copies, ["f1", "f2"]).filter("id > rep").groupBy("id").agg(F.min("rep").alias("rep")), "copy-of")
-
-    shared = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("sig")
-    members = sigs.join(materialise(shared, "shared", early), "sig").join(copy_of, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-    members = materialise(members, "members", big)
-    discard(docs.sparkSession, early)
-    ids = members.select("id").distinct()
+    sets = sizes.filter("n > 0 AND id IS NOT NULL")
+    copies = sets.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    copies = materialise(copies.filter("rep < last").select("f1", "f2", "rep"), "copies", big)
+    texts_of = sets.groupBy("id").agg(F.countDistinct("f1", "f2").alias("texts"))
+    twins = materialise(sets.join(copies, ["f1", "f2"]).filter("id > rep").select("id", "rep").distinct().join(texts_of, "id"), "copy-of", big)
+    copy_of = twins.filter("texts = 1").select("id", "rep")  # an id of several texts is no copy: it links with those of each
+
+    members = materialise(_members(own, sigs, copy_of, early), "members", big)
+    discard(spark, early)
+    leaders = members.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("sig", "a")
+    members = materialise(members.join(materialise(leaders, "leaders", big), "sig"), "members", big)
+    given = twins.filter("texts > 1").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    ids = members.select("id").unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id"))).distinct()
+    ids = materialise(ids, "ids", big)
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = materialise(slim.join(picked, "id", "left_semi"), "texts", big)
     fine = materialise(own.filter(F.size("fine") > 0).join(picked, "id", "left_semi").select("id", "n", "fine"), "fine-sketches", big)
     sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches", big)
 
-    leaders = members.groupBy("sig").agg(F.min("id").alias("a"))
-    first = members.join(materialise(leaders, "leaders", big), "sig").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
+    first = members.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).filter("a < b")
     x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch")) for c in "ab")
-    first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b")
-    first = materialise(_refined(first, fine, num, den), "pairs", big)
-    labels = materialise(ids.select("id", F.col("id").alias("c")), "components")
-    labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links"))
-    chosen = 1
+    first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b").distinct()
+    now: list[str] = []
+    first = materialise(_refined(first, fine, num, den), "pairs", now)
+    kept: list[str] = []
+    labels = materialise(ids.select("id", F.col("id").alias("c")), "components", kept)
+    labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links", now).unionByName(given), kept)
+    discard(spark, now)
+    members, past, turn = members.select("sig", "id"), [], 0
     while True:
-        now = members.join(labels, "id")
-        open_ = now.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
-        now = materialise(now.join(materialise(open_, "open"), "sig"), "members", big)
-        if now.limit(1).count() == 0:
+        left = materialise(_open(members, labels), "members", now)
+        if left.limit(1).count() == 0:
             break
+        many = LEADERS[min(turn, len(LEADERS) - 1)]
+        turn += 1
+        ranked = materialise(left.join(sketches, "id"), "ranked", now)
         # Members of the smallest components lead: what is left soon belongs to one component.
-        weight = now.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("w"))
-        ranked = now.join(weight, ["sig", "c"]).withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("w", "id")))
-        ranked = materialise(ranked.join(sketches, "id"), "ranked", big)
-        lead = ranked.filter(F.col("rank") <= chosen)
-        lead = lead.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("rank").alias("rx"), F.col("n").alias("xn"), F.col("sketch").alias("xsketch"))
-        pairs = ranked.join(lead, "sig").filter((F.col("rank") > F.col("rx")) & (F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
+        seat = F.pmod(F.xxhash64("id"), F.lit(many))
+        lead = ranked.groupBy("sig", seat.alias("seat")).agg(F.min(F.struct("w", "id", "c", "n", "sketch")).alias("x"))
+        lead = materialise(lead.select("sig", F.col("x.id").alias("x"), F.col("x.c").alias("cx"), F.col("x.n").alias("xn"), F.col("x.sketch").alias("xsketch")), "leaders", now)
+        pairs = ranked.join(lead, "sig").filter((F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
         pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        pairs = materialise(_refined(pairs, fine, num, den), "pairs", big)
-        links = materialise(_verify(pairs, texts, width, num, den), "links")
-        labels = _relabelled(labels, links)
-        members = ranked.filter(F.col("rank") > chosen).select("sig", "id")
-        chosen *= 4
+        pairs = materialise(_refined(pairs, fine, num, den), "pairs", now)
+        labels = _relabelled(labels, materialise(_verify(pairs, texts, width, num, den), "links", now), kept)
+        led: list[str] = []
+        members = materialise(left.select("sig", "id").join(lead.select("sig", F.col("x").alias("id")), ["sig", "id"], "left_anti"), "members", led)
+        discard(spark, now + past)
+        now, past = [], led
     rep = sizes.select("id", "n").join(copy_of, "id", "left").withColumn("node", F.coalesce("rep", "id"))
     out = rep.join(labels.select(F.col("id").alias("node"), "c"), "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("c", "node")).otherwise(F.col("id"))
-    out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")), "near-copies")
-    discard(docs.sparkSession, big)
+    out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "node").alias("component_id")), "near-copies")
+    discard(spark, big + now + past + kept)
     return out
 
 
 def keep_one(docs: DataFrame, components: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """docs less all but the smallest id of each component; rows without an id stay."""
-    gone = components.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """docs less all but the smallest id of each component; rows without an id stay, and so do all rows of an id that stays. Columns of any name pass through."""
+    gone = components.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct()
+    return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

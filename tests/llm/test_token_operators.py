@@ -139,25 +139,63 @@ def test_ngram_join_edges(spark, docs):
     out = ngram_join.jaccard_components(docs([(3, "a b c d e"), (None, "a b c d e"), (5, "A b c d  e")])).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in out) == [(-1, None), (3, 3), (5, 3)]
     assert ngram_join.jaccard_components(docs([])).count() == 0
+    long = " ".join(f"w{k}" for k in range(60_000))  # a very long text and its near copy
+    rows = [(9, "a b c d e"), (9, "p q r s t"), (9, ""), (4, "P q r s t"), (2, "a b c d e"), (7, "u v w x y"), (7, "u v w x y"), (11, long), (10, long + " tail")]
+    out = ngram_join.jaccard_components(docs(rows)).collect()  # 9 is a copy of 2 and of 4
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(2, 2), (4, 2), (7, 7), (7, 7), (9, 2), (9, 2), (9, 2), (10, 10), (11, 10)]
     chain = spark.createDataFrame([(k, k + 1) for k in range(1, 20)], "a long, b long")
     assert {r.c for r in ngram_join.connected(chain).collect()} == {1}
 
 
-def test_linked_sets_share_a_signature():
-    """Every pair at the threshold has a signature in common, whatever its size and where it differs."""
-    rng = np.random.default_rng(6)
-    for _ in range(300):
-        n = int(rng.integers(1, 400))
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_a_signature(num):
+    """Every pair at the threshold has a signature in common that neither leaves out, whatever its size, where it differs, and which signatures come first."""
+    rng = np.random.default_rng(num)
+
+    def left(s, first):
+        sig, less = ngram_join.signatures(s, num, 100)
+        ordered = sorted(sig.tolist(), key=lambda x: (x not in first, x))
+        return {x for tag in range(3) for x in [y for y in ordered if y & 3 == tag][less[tag] :]}
+
+    linked = 0
+    for _ in range(900):
+        n = int(rng.integers(1, 60)) if rng.random() < 0.5 else int(rng.integers(60, 900))
         a = rng.integers(0, 2**63, n, dtype=np.uint64)
         gone, new = int(rng.integers(0, n // 8 + 1)), int(rng.integers(0, n // 8 + 1))
         b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)])
         a = np.unique(a)
-        if len(b) and ngram_join.linked(a, b, 85, 100):
-            assert set(ngram_join.signatures(a, 85, 100).tolist()) & set(ngram_join.signatures(b, 85, 100).tolist())
+        if len(b) and not np.array_equal(a, b) and ngram_join.linked(a, b, num, 100):
+            linked += 1
+            both = set(ngram_join.signatures(a, num, 100)[0].tolist()) & set(ngram_join.signatures(b, num, 100)[0].tolist())
+            for first in (set(), both):  # at worst, what they share comes first
+                assert left(a, first) & left(b, first)
         x, y = (np.unpackbits(ngram_join.parity_sketch(s).view(np.uint8)) for s in (a, b))
         assert int((x != y).sum()) <= len(np.setxor1d(a, b))
         wide, half = ngram_join.parity_sketch(a, 32), ngram_join.parity_sketch(a, 16)
         assert (wide[:16] ^ wide[16:] == half).all()
+    assert linked > 200
+
+
+def test_small_sets_and_shared_passages_are_not_paired_off():
+    """Different texts of a few words share no signature, and texts that share a passage of a quarter of their words keep next to none in common."""
+    rng = np.random.default_rng(3)
+    for n in range(1, 8):
+        sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(50)]
+        sigs = [x for s in sets for x in ngram_join.signatures(s, 85, 100)[0].tolist()]
+        assert len(sigs) == len(set(sigs))
+    common = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 2**63, 450, dtype=np.uint64)]) for _ in range(40)]
+    held = [ngram_join.signatures(s, 80, 100) for s in sets]
+    docs = {}
+    for sig, _ in held:
+        for x in sig.tolist():
+            docs[x] = docs.get(x, 0) + 1
+    kept = 0
+    for sig, less in held:
+        for tag in range(3):
+            own = sorted((x for x in sig.tolist() if x & 3 == tag), key=lambda x: (-docs[x], x))
+            kept += sum(docs[x] > 1 for x in own[less[tag] :])
+    assert kept < 40
 
 
 def test_pipeline(spark, tmp_path):
