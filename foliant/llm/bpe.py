@@ -2,15 +2,20 @@
 
 Corpus-wide counts give the most frequent pre-tokens. They are compiled into a minimal acyclic automaton
 whose states carry the number of words below them, so that a walk yields a word's rank, and the rank
-its token ids. The compiled bytes are broadcast (their size is bounded by the lexicon's) and mapped
-into memory by each Python worker. Words the automaton lacks are merged exactly, all unseen words of a
-batch at once. A worker remembers what it has encoded up to a fixed number of pieces.
+its token ids. The compiled lexicon is a file that Spark hands to every executor (its size is bounded by
+the lexicon's) and that a machine's Python workers map into memory, so they share one copy. Words the
+automaton lacks are merged exactly: all unseen words of a batch side by side, long ones by a queue of
+pairs. What a worker remembers, counts and handles at once is bounded in bytes.
 """
 
 from __future__ import annotations
 
+import atexit
+import heapq
 import json
 import mmap
+import os
+import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +31,15 @@ from foliant.llm.common import answered, extended, table, without
 
 #: Fixed values of the byte-level format: how a text is cut into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MEMO = 600_000
-COUNTED = 400_000
+#: Bytes, by estimate, of what a worker remembers and counts; an entry takes ENTRY beside its content.
+MEMO = 40_000_000
+COUNTED = 24_000_000
+ENTRY = 200
+#: Words of more bytes are merged one by one.
+LONG = 400
 #: A lexicon entry occurs at least once in so many bytes of the corpus.
 RARE = 1 << 21
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 SLOT_BITS = 19
 NONE = 1 << 40
 
@@ -72,6 +82,7 @@ class Merges:
             lost = self.slots[slot] != todo
             todo, slot = todo[lost], (slot[lost] + 1) % len(self.slots)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.place: dict[int, int] = {}  # a pair's place in the tables, for long words
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
@@ -96,8 +107,37 @@ class Merges:
             out[:-1] = np.where(word[:-1] == word[1:], self._rank_of(ids[:-1] << 20 | ids[1:]), NONE)
         return out
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """A word's ids, by a queue of its pairs and links between neighbours: n log n in its length."""
+        if not self.place:
+            self.place = dict(zip(self.key[:-1].tolist(), range(len(self.key) - 1), strict=True))
+        place, merged = self.place, self.merged.tolist()
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        queue = [(r, k) for k in range(n - 1) if (r := place.get(ids[k] << 20 | ids[k + 1], -1)) >= 0]  # a pair's place is its rank
+        heapq.heapify(queue)
+        while queue:
+            r, k = heapq.heappop(queue)
+            nxt = after[k]
+            if nxt < 0 or ids[k] < 0 or place.get(ids[k] << 20 | ids[nxt], -1) != r:
+                continue  # one of the two has been merged since
+            ids[k], ids[nxt] = merged[r], -1
+            far = after[k] = after[nxt]
+            if far >= 0:
+                before[far] = k
+                if (q := place.get(ids[k] << 20 | ids[far], -1)) >= 0:
+                    heapq.heappush(queue, (q, k))
+            near = before[k]
+            if near >= 0 and (q := place.get(ids[near] << 20 | ids[k], -1)) >= 0:
+                heapq.heappush(queue, (q, near))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids as little-endian unsigned 32-bit integers: the lowest-ranked pair first, leftmost first, all words side by side."""
+        """Each word's ids as little-endian unsigned 32-bit integers: the lowest-ranked pair first, leftmost first."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self._merge_long(w) if len(w) > LONG else next(short) for w in words]
         done: list[bytes] = [b""] * len(words)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
@@ -177,11 +217,11 @@ def compile_lexicon(words: list[bytes], ids: list[bytes]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, mapped into memory; lookups walk all words of a batch side by side."""
+    """A compiled lexicon's file, mapped into memory; lookups walk all words of a batch side by side."""
 
-    def __init__(self, data: bytes) -> None:
-        self.map = mmap.mmap(-1, len(data))
-        self.map.write(data)
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         head = np.frombuffer(self.map, np.int64, 6)
         self.root, parts, at = int(head[0]), [], 48
         for n in head[1:].tolist():
@@ -216,18 +256,20 @@ class Lexicon:
 class Encoder:
     """Texts to ids. A text is cut at single spaces between other characters, where pieces never straddle, and each part is encoded once."""
 
-    def __init__(self, spec: str, lexicon: bytes = b"") -> None:
-        self.merges = Merges(spec)
+    def __init__(self, merges: Merges, lexicon: str | None = None) -> None:
+        self.merges = merges
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.held = 0
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.merges.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes | None] = {}
 
     def _learn(self, first: set[str], after: set[str]) -> None:
-        if len(self.first) + len(self.after) > MEMO:
+        if self.held > MEMO:
             self.first.clear()
             self.after.clear()
+            self.held = 0
         plain = {t: PIECES.findall(t) for t in first}
         words = [t for t in after if t.isalpha()]  # letters only: one piece with the space before it
         after.difference_update(words)
@@ -244,6 +286,7 @@ class Encoder:
             self.first[t] = b"".join(map(of.__getitem__, ps))
         for t, some in spaced.items():
             self.after[t] = None if some is None else b"".join(map(of.__getitem__, some))
+        self.held += sum(ENTRY + 3 * len(t) for some in (first, after, words) for t in some)
 
     def _segments(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
@@ -284,24 +327,27 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def worker_encoder(shared) -> Encoder:
-    """This worker's encoder for a broadcast (spec, lexicon); the last one is kept."""
+def worker_encoder(shared: Shared) -> Encoder:
+    """This worker's encoder; the last one is kept."""
     if shared.id not in _encoders:
         _encoders.clear()
-        _encoders[shared.id] = Encoder(*shared.value)
+        _encoders[shared.id] = Encoder(shared.broadcast.value, SparkFiles.get(shared.file) if shared.file else None)
     return _encoders[shared.id]
 
 
 class Shared:
-    """A broadcast with an id that workers can tell apart."""
+    """An encoder for the workers: the tokenizer's tables as a broadcast, the lexicon as a file that Spark hands out."""
 
-    def __init__(self, spark, spec: str, lexicon: bytes) -> None:
-        self.broadcast = spark.sparkContext.broadcast((spec, lexicon))
+    def __init__(self, spark, merges: Merges, lexicon: bytes = b"") -> None:
+        self.broadcast = spark.sparkContext.broadcast(merges)
         self.id = uuid.uuid4().hex
-
-    @property
-    def value(self) -> tuple[str, bytes]:
-        return self.broadcast.value
+        self.file = f"lexicon-{self.id}" if lexicon else None
+        if lexicon:
+            path = os.path.join(os.path.realpath(tempfile.gettempdir()), self.file)
+            with open(path, "wb") as f:
+                f.write(lexicon)
+            atexit.register(os.remove, path)
+            spark.sparkContext.addFile(path)
 
 
 def runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -341,14 +387,16 @@ def frequent_pieces(docs: DataFrame, size: int, *, text_col: str = "text") -> li
             seen.clear()
             return pa.record_batch([pa.array([p.encode() for p in total], pa.binary()), pa.array(total.values(), pa.int64())], ["piece", "n"])
 
+        size = 0
         for batch in batches:
-            for _, texts in runs(batch.column(0)):
-                for t in texts:
-                    head, *rest = t.split(" ")
-                    seen[head] += 1
-                    seen.update([" " + c for c in rest])
-                if len(seen) > COUNTED:
+            for t in batch.column(0):
+                head, *rest = (t.as_py() or "").split(" ")
+                seen[head] += 1
+                seen.update([" " + c for c in rest])
+                size += len(head) + sum(map(len, rest))
+                if size > COUNTED // 8 and ENTRY * len(seen) + size > COUNTED:
                     yield flush()
+                    size = 0
         yield flush()
 
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
@@ -360,9 +408,9 @@ def frequent_pieces(docs: DataFrame, size: int, *, text_col: str = "text") -> li
 
 def build_encoder(docs: DataFrame, *, tokenizer: str | None = None, lexicon_size: int = 50_000, text_col: str = "text") -> Shared:
     """The encoder to pass to encode() and decode(): the tokenizer's tables and the compiled lexicon of frequent pieces."""
-    spec = read_spec(tokenizer)
+    merges = Merges(read_spec(tokenizer))
     words = [w for w in frequent_pieces(docs, lexicon_size, text_col=text_col) if w] if lexicon_size else []
-    return Shared(docs.sparkSession, spec, compile_lexicon(words, Merges(spec).merge(words)))
+    return Shared(docs.sparkSession, merges, compile_lexicon(words, merges.merge(words)) if words else b"")
 
 
 def encode(docs: DataFrame, encoder: Shared, *, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
@@ -404,10 +452,27 @@ def decode(df: DataFrame, encoder: Shared, *, ids_col: str = "ids", text_col: st
     return whole.mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, encoder: Shared, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """encode() and then decode() in one pass, so that each task has one worker with one encoder; results and edge cases are theirs."""
+    whole = without(docs, ids_col, decoded_col)
+    place = whole.columns.index(text_col)
+    less = () if keep_text else (text_col,)
+    schema = extended(whole, f"`{ids_col}` binary, `{decoded_col}` string", less)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = worker_encoder(encoder)
+        for batch in batches:
+            for at, texts in runs(batch.column(place)):
+                ids = enc.encode(texts)
+                yield answered(batch.slice(at, len(texts)), less, schema, pa.array(ids, pa.binary()), pa.array(map(enc.decode, ids), pa.string()))
+        pa.default_memory_pool().release_unused()
+
+    return whole.mapInArrow(run, schema)
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoder = build_encoder(docs)
-    out = decode(encode(docs, encoder, keep_text=False), encoder)
+    out = encode_and_decode(docs, build_encoder(docs), keep_text=False)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

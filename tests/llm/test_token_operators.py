@@ -24,36 +24,50 @@ def ids(raw):
 PARTS = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "²", "é", "<|endoftext|>", "\xa0", "\x1c", "\x85", "!", "aaa", "日本", "🎉", "'", "_", "ʰ", "Ⅷ", "'ll", " the", "ing"]
 
 
-def test_encoder_equals_the_library(library):
+def mapped(folder, data):
+    (folder / "lexicon").write_bytes(data)
+    return str(folder / "lexicon")
+
+
+def test_encoder_equals_the_library(library, tmp_path):
     rng = random.Random(1)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(14))) for _ in range(3000)] + ["", " ", "x" * 4000, "a " * 50]
-    spec = bpe.read_spec(None)
-    merges = bpe.Merges(spec)
+    merges = bpe.Merges(bpe.read_spec(None))
     words = [b" the", b"aaa", b"a", b" thea", b"\xe6"]
-    for enc in (bpe.Encoder(spec), bpe.Encoder(spec, bpe.compile_lexicon(words, merges.merge(words)))):
+    for enc in (bpe.Encoder(merges), bpe.Encoder(merges, mapped(tmp_path, bpe.compile_lexicon(words, merges.merge(words))))):
         for t, e in zip(enc.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
             assert ids(t) == e.ids
             assert enc.decode(t) == library.decode(e.ids, skip_special_tokens=False)
 
 
-def test_lexicon_is_minimal_and_complete():
+def test_long_words_equal_the_library(library):
+    """Unspaced words of up to a million letters, in seconds: at random, of one letter, and of common pieces."""
+    rng = random.Random(7)
+    enc = bpe.Encoder(bpe.Merges(bpe.read_spec(None)))
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(1_000_000)), "a" * 5001, " " * 3000 + "x", "日本" * 900, "".join(rng.choice(["ing", "the", "un", "ss"]) for _ in range(4000))]
+    texts += ["".join(rng.choice("abé") for _ in range(n)) for n in range(395, 405)]
+    for t, ids_ in zip(texts, enc.encode(texts), strict=True):
+        assert ids(ids_) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_lexicon_is_minimal_and_complete(tmp_path):
     rng = random.Random(4)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 7))).encode() for _ in range(120)})
     data = bpe.compile_lexicon(words, [w[:1] * 4 for w in words])
-    lex = bpe.Lexicon(data)
+    lex = bpe.Lexicon(mapped(tmp_path, data))
     assert lex.find(words) == [w[:1] * 4 for w in words]
     assert lex.find([b"c", b"aaaaaaaaa", b""]) == [None, None, None]
     suffixes = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in {w[:k] for w in words for k in range(len(w) + 1)}}
     assert len(lex.final) == len(suffixes)  # one state for each set of endings
-    assert bpe.Lexicon(bpe.compile_lexicon([], [])).find([b"a"]) == [None]
+    assert bpe.Lexicon(mapped(tmp_path, bpe.compile_lexicon([], []))).find([b"a"]) == [None]
 
 
 def test_encode_and_decode(docs, library):
     rows = [(1, "the cat"), (1, "the cat"), (2, None), (3, ""), (None, "über <|endoftext|> x")]
     d = docs(rows).withColumn("ids", F.lit("clash"))
     shared = bpe.build_encoder(d, lexicon_size=10)
-    got = bpe.decode(bpe.encode(d, shared), shared).collect()
-    assert [(r.doc_id, ids(r.ids), r.decoded) for r in got] == [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
+    for got in (bpe.decode(bpe.encode(d, shared), shared), bpe.encode_and_decode(d.withColumn("Decoded", F.lit(1)), shared)):
+        assert [(r.doc_id, ids(r.ids), r.decoded) for r in got.collect()] == [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
     assert bpe.encode(docs([]), shared).count() == 0
     counted = bpe.frequent_pieces(docs([(1, "a b b"), (2, "b c")]), 2)
     assert counted == [b" b", b" c"] or counted[0] == b" b"
@@ -216,6 +230,6 @@ def test_pipeline(spark, tmp_path):
     out = {r.doc_id: r for r in p.run(spark, str(tmp_path)).collect()}
     assert {k for k, *_ in rows} - set(out) - {400} == {100 + k for k in range(30)} | {200, 201, 202}
     assert all(r.exact for r in out.values())
-    enc = bpe.Encoder(bpe.read_spec(None))
+    enc = bpe.Encoder(bpe.Merges(bpe.read_spec(None)))
     assert enc.decode(out[300].ids).count(notice) == 0 and enc.decode(out[303].ids).count(notice) == 1
     assert [n for n, _ in p.STAGES] and p.ORACLE_SQL is None
