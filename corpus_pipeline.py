@@ -43,7 +43,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and whether these decode to the text again."""
     encoder = bpe.build_encoder(docs)
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS), encoder), encoder)
+    out = bpe.encode_and_decode(docs.select(*COLUMNS), encoder)
     n = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", "lang", "source", "n_chars", n.alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
