@@ -27,12 +27,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import answered, extended, table, without
+from foliant.llm.common import Places, answered, extended, table, without
 
 #: Fixed values of the byte-level format: how a text is cut into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes, by estimate, of what a worker remembers and counts; an entry takes ENTRY beside its content.
-MEMO = 40_000_000
+MEMO = 30_000_000
 COUNTED = 24_000_000
 ENTRY = 200
 #: Words of more bytes are merged one by one.
@@ -40,7 +40,6 @@ LONG = 400
 #: A lexicon entry occurs at least once in so many bytes of the corpus.
 RARE = 1 << 21
 BATCH_CHARS = 1_000_000
-SLOT_BITS = 19
 NONE = 1 << 40
 
 
@@ -71,46 +70,25 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in doc["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
-        key, order = left << 20 | right, np.arange(len(pairs), dtype=np.int64)
-        self.key = np.r_[key, -1]
-        self.rank = np.r_[order, NONE]
-        self.slots = np.full(1 << SLOT_BITS, len(key), np.int64)
-        todo, slot = order, self._slot(key)
-        while len(todo):  # linear probing, all keys that still look for a slot at once
-            free = self.slots[slot] == len(key)
-            self.slots[slot[free]] = todo[free]
-            lost = self.slots[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) % len(self.slots)
+        self.key = left << 20 | right
+        self.places = Places(self.key)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.place: dict[int, int] = {}  # a pair's place in the tables, for long words
 
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    def _rank_of(self, key: np.ndarray) -> np.ndarray:
-        slot = self._slot(key)
-        at = self.slots[slot]
-        out = self.rank[at]
-        off = np.flatnonzero((self.key[at] != key) & (out < NONE))
-        while len(off):
-            slot[off] = (slot[off] + 1) % len(self.slots)
-            at = self.slots[slot[off]]
-            out[off] = self.rank[at]
-            off = off[(self.key[at] != key[off]) & (out[off] < NONE)]
-        return out
-
-    def _ranks(self, ids: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Rank of the merge of each id with the next one of its word; a large number where there is none."""
-        out = np.full(len(ids), NONE, np.int64)
-        if len(ids) > 1:
-            out[:-1] = np.where(word[:-1] == word[1:], self._rank_of(ids[:-1] << 20 | ids[1:]), NONE)
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each id at the places ``at`` with the next one of its word; a large number where there is none."""
+        out = np.full(len(at), NONE, np.int64)
+        ok = np.flatnonzero(at + 1 < len(ids))
+        ok = ok[word[at[ok]] == word[at[ok] + 1]]
+        rank = self.places.find(ids[at[ok]] << 20 | ids[at[ok] + 1])
+        is_pair = rank < len(self.key)
+        out[ok[is_pair]] = rank[is_pair]
         return out
 
     def _merge_long(self, word: bytes) -> bytes:
         """A word's ids, by a queue of its pairs and links between neighbours: n log n in its length."""
         if not self.place:
-            self.place = dict(zip(self.key[:-1].tolist(), range(len(self.key) - 1), strict=True))
+            self.place = dict(zip(self.key.tolist(), range(len(self.key)), strict=True))
         place, merged = self.place, self.merged.tolist()
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
@@ -141,8 +119,8 @@ class Merges:
         done: list[bytes] = [b""] * len(words)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank = self._ranks(ids, word, np.arange(len(ids)))
         while len(ids):
-            rank = self._ranks(ids, word)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(ids)])
@@ -156,8 +134,7 @@ class Merges:
                 best, sizes = best[~over], sizes[~over]
                 if not len(ids):
                     break
-            hit = rank == np.repeat(best, sizes)
-            place = np.flatnonzero(hit)
+            place = np.flatnonzero(rank == np.repeat(best, sizes))
             # Of pairs that overlap (as in aaa) every other one counts, from the left.
             fresh = np.r_[True, np.diff(place) > 1]
             first = place[np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))]
@@ -165,7 +142,10 @@ class Merges:
             ids[place] = self.merged[rank[place]]
             keep = np.ones(len(ids), bool)
             keep[place + 1] = False
-            ids, word = ids[keep], word[keep]
+            at = (np.cumsum(keep) - 1)[place]
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            near = np.concatenate([at, at[at > 0] - 1])  # only pairs with a merged id have another rank
+            rank[near] = self._ranks(ids, word, near)
         return done
 
 
@@ -262,14 +242,18 @@ class Encoder:
         self.held = 0
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.merges.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # Ids by text at the start and after a space; when these are full they become the old ones, from which what is still used comes back.
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes | None] = {}
+        self.old: tuple[dict, dict] = {}, {}
 
     def _learn(self, first: set[str], after: set[str]) -> None:
-        if self.held > MEMO:
-            self.first.clear()
-            self.after.clear()
-            self.held = 0
+        """Put the ids of texts that are not remembered yet in ``first`` and ``after``."""
+        for need, memo, old in ((first, self.first, self.old[0]), (after, self.after, self.old[1])):
+            known = [t for t in need if t in old]
+            memo.update((t, old[t]) for t in known)
+            need.difference_update(known)
+            self.held += sum(ENTRY + 3 * len(t) for t in known)
         plain = {t: PIECES.findall(t) for t in first}
         words = [t for t in after if t.isalpha()]  # letters only: one piece with the space before it
         after.difference_update(words)
@@ -291,12 +275,13 @@ class Encoder:
     def _segments(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
         parts = [t.split(" ") for t in texts]
-        first = {p[0] for p in parts if not p[0][-1:].isspace()}.difference(self.first)
+        if self.held > MEMO:
+            self.old, self.first, self.after, self.held = (self.first, self.after), {}, {}, 0
+        first = {p[0] for p in parts if not p[0][-1:].isspace() and p[0] not in self.first}
         after: set[str] = set()
         for p in parts:
             after.update(p[1:])
-        after.difference_update(self.after)
-        self._learn(first, after)
+        self._learn(first, {t for t in after if t not in self.after})
         out, odd = [], []
         for k, p in enumerate(parts):
             ids = [self.first.get(p[0])] + [*map(self.after.get, p[1:])]

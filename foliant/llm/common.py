@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,35 @@ def answered(batch: pa.RecordBatch, less: tuple[str, ...], schema: T.StructType,
     """A batch less the named columns, with the made ones after its own."""
     own = [c for c, f in zip(batch.columns, batch.schema.names, strict=True) if f not in less]
     return pa.RecordBatch.from_arrays([*own, *made], [f.name for f in schema.fields])
+
+
+class Places:
+    """Where whole numbers stand in an array of distinct ones, by open addressing; all lookups of an array side by side."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.r_[keys.astype(np.uint64), np.uint64(0)]
+        self.none = len(keys)
+        self.shift = np.uint64(64 - max(3, int(2 * len(keys)).bit_length()))
+        self.slots = np.full(1 << 64 - int(self.shift), self.none, np.int32)
+        todo, slot = np.arange(self.none, dtype=np.int32), self._slot(self.keys[:-1])
+        while len(todo):  # linear probing, all keys that still look for a slot at once
+            free = self.slots[slot] == self.none
+            self.slots[slot[free]] = todo[free]
+            lost = self.slots[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) % len(self.slots)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The places of the numbers; for those that are not there the number of keys."""
+        x = x.astype(np.uint64, copy=False)
+        slot = self._slot(x)
+        out = self.slots[slot]
+        off = np.flatnonzero((self.keys[out] != x) & (out < self.none))
+        while len(off):
+            slot[off] = (slot[off] + 1) % len(self.slots)
+            at = self.slots[slot[off]]
+            out[off] = at
+            off = off[(self.keys[at] != x[off]) & (at < self.none)]
+        return out

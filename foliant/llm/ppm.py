@@ -1,38 +1,41 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-How often each byte follows each context of up to ORDER bytes is counted over whole texts of all
-training documents, and every context counts, however rare. A byte's code length follows from its window,
-the byte behind its longest context: the counts of the window's suffixes, by escape method C with exclusion
-of the symbols that the longer context has seen. Windows that agree in their last two bytes of context share
-all counts of two bytes or more, so the code lengths are worked out in groups of these; the counts of shorter
-contexts, at most 2^16, go to every group.
-
-Windows and words are gathered per block of documents and summed over the corpus in one written table. Each
-block is sent what its own texts hold: its windows' code lengths and its words' counts. The counts give the
-base score, and a token's probability is a blend of what the byte contexts and the share of the whole word in
-the corpus give it. Documents differ in how far known words explain them, so a document's probability is the
-mean over a few weights of the blend.
+How often each byte follows each context of up to ORDER bytes is counted over whole texts of all training
+documents, and every context counts, however rare. A byte's code length follows from its window, the byte
+behind its longest context: the counts of the window's suffixes, by escape method D with exclusion of the
+symbols that the longer context has seen. A document's score is the sum over its bytes.
+
+Texts are dealt out in blocks. A block's distinct windows, sorted and packed, go to groups by their last
+SHARED bytes of context: all windows of a context longer than that meet in one group, which adds them up
+and sends each block the code lengths of its own windows, in the order in which they came. The counts of
+shorter contexts, at most 256 ** SHARED numbers, go to every group. Words travel the same way and come
+back as counts, which give the base score.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import fold, materialise, table
+from foliant.llm.common import Places, discard, fold, materialise, table
 
-ORDER = 5
+ORDER = 6
+SHARED = 3
 BLOCK_BYTES = 16_000_000
+#: Bytes of text for each group of windows, and for each group of words.
+GROUP_BYTES = 8_000_000
 #: What a worker counts or codes at once.
 PIECE_BYTES = 2_000_000
-#: Pairs of window and block that a group of windows has on average.
-GROUP_PAIRS = 250_000
-WORD_WEIGHTS = (0.05, 0.5, 0.8, 0.95)
 END = b"\n"
+#: What stands before a text, so that its first bytes have whole contexts too.
+START = END * ORDER
 
 
 def tokens(text: str) -> list[bytes]:
@@ -41,209 +44,269 @@ def tokens(text: str) -> list[bytes]:
 
 
 def coded(toks: list[bytes]) -> bytes:
-    """The bytes that are coded for a text's tokens: each word and a space, then the end. Contexts reach back to the last end."""
+    """The bytes that are coded for a text's tokens: each word and a space, then the end."""
     return b" ".join(toks)
 
 
-def coded_sizes(toks: list[bytes]) -> np.ndarray:
-    """How many of the coded bytes are each token's: a word's own and the space, and the end."""
-    out = np.fromiter(map(len, toks), np.int64, len(toks))
-    out[:-1] += 1
-    return out
+def windows(texts: list[bytes]) -> np.ndarray:
+    """Each coded byte of the texts behind its longest context, as a number: the byte lowest, then its context, the nearest byte first."""
+    flat = np.frombuffer(b"".join([x for t in texts for x in (START, t)]), np.uint8).astype(np.uint64)
+    out = flat.copy()
+    for k in range(1, ORDER + 1):
+        out[k:] |= flat[:-k] << np.uint64(8 * k)
+    size = np.array([len(t) for t in texts])
+    real = np.ones(len(flat), bool)
+    real[(np.cumsum(size + ORDER) - size - ORDER)[:, None] + np.arange(ORDER)] = False
+    return out[real]
 
 
-def blended(by_bytes: np.ndarray, count: np.ndarray, n_all: int, first: np.ndarray) -> np.ndarray:
-    """log10 of texts' probabilities, from their tokens' by byte contexts (as log10) and counts in n_all training tokens; first: where texts start."""
-    if not n_all:
-        return np.add.reduceat(by_bytes, first)
-    with np.errstate(divide="ignore"):
-        by_word = np.log10(count / n_all)
-    top = np.maximum(by_bytes, by_word)
-    bytes_, word = 10 ** (by_bytes - top), 10 ** (by_word - top)
-    each = np.stack([np.add.reduceat(top + np.log10(w * word + (1 - w) * bytes_), first) for w in WORD_WEIGHTS])
-    best = each.max(0)
-    return best + np.log10((10 ** (each - best)).mean(0))
-
-
-def _windows(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte behind its longest context, as a number, and that context's length; the end before a text counts as a byte of context."""
-    flat = np.frombuffer(stream, np.uint8).astype(np.int64)
-    ends = np.flatnonzero(flat == END[0])
-    since = np.arange(len(flat)) - np.r_[-1, ends][np.searchsorted(ends, np.arange(len(flat)))]
-    length = np.minimum(since, ORDER)
-    window = flat.copy()
-    for k in range(1, ORDER + 1):
-        before = np.r_[np.full(k, END[0]), flat[:-k]][: len(flat)]
-        window |= np.where(length >= k, before, 0) << (8 * k)
-    return window, length
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their numbers."""
+    at = np.argsort(key)
+    key, n = key[at], n[at]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def _keys(stream: bytes) -> np.ndarray:
-    """Each byte's window as one number: its context's length, the context and the byte."""
-    window, length = _windows(stream)
-    return window | length << 56
+def distinct_windows(texts: tuple[list[bytes], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of texts in order, with how often they occur in the second list, the training texts."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for on, some in enumerate(texts):
+        at = 0
+        while at < len(some):
+            size, first = 0, at
+            while at < len(some) and size < PIECE_BYTES:
+                size += len(some[at]) + ORDER
+                at += 1
+            key, n = np.unique(windows(some[first:at]), return_counts=True)
+            keys.append(key)
+            counts.append(n * on)
+    return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.argsort(key)
-    key, n = key[at], n[at]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return key[new], np.add.reduceat(n, new)
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    near = key >> np.uint64(8) & np.uint64((1 << 8 * SHARED) - 1)
+    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all highest bytes together and so on, compressed: sorted keys take little more than a byte each."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n).T).view(kind)[:, 0] if n else np.zeros(0, kind)
+
 
+class Level:
+    """The contexts of one length: which bytes follow them and how often (twice the count less one: method D), and sums of these.
 
-def code_lengths(key: np.ndarray, n: np.ndarray, short: np.ndarray) -> np.ndarray:
+    A context's ``seen_above`` adds up what the next shorter context has for the bytes that this one has seen.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, above: Level | None) -> None:
+        self.gram, self.count = gram[n > 0], 2 * n[n > 0] - 1
+        self.context, first = np.unique(self.gram >> np.uint64(8), return_index=True)
+        of_above = above.counts(self.gram & np.uint64((1 << 8 * above.bytes) - 1)) if above else np.zeros(len(self.gram), np.int64)
+        self.bytes = above.bytes + 1 if above else 1
+        sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
+        self.total, self.distinct, self.seen_above = (np.r_[x, 0] for x in (sums(self.count), np.diff(np.r_[first, len(self.gram)]), sums(of_above)))
+
+    def counts(self, gram: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.gram, gram)
+        return np.where(np.r_[self.gram, np.uint64(2**64 - 1)][at] == gram, np.r_[self.count, 0][at], 0)
+
+    def place(self, context: np.ndarray) -> np.ndarray:
+        """Places of contexts in total, distinct and seen_above; the last one, where all are zero, for contexts that never occurred."""
+        at = np.searchsorted(self.context, context)
+        return np.where(np.r_[self.context, np.uint64(2**64 - 1)][at] == context, at, len(self.context))
+
+
+def levels_of(gram: np.ndarray, n: np.ndarray, upto: int, start: list[Level]) -> list[Level]:
+    """The levels after those of ``start``, up to contexts of ``upto`` bytes, from windows with at least so many."""
+    out = list(start)
+    while len(out) <= upto:
+        key, sums = summed(gram & np.uint64((1 << 8 * (len(out) + 1)) - 1), n)
+        out.append(Level(key, sums, out[-1] if out else None))
+    return out
+
+
+def code_lengths(key: np.ndarray, n: np.ndarray, short: list[Level]) -> np.ndarray:
     """log10 of the probability of each window's byte.
 
-    key, n: distinct windows with their counts in training texts, which hold all windows that share a window's last two
-    bytes of context; short[context][byte]: counts behind one byte, over the whole corpus.
+    key, n: distinct windows in order with their counts in training texts, which hold all windows that share a
+    window's last SHARED bytes of context; short: the levels of fewer bytes, over the whole corpus.
     """
-    symbol, window, length = key & 255, key & (1 << 48) - 1, key >> 56
-    none = short.sum(0)
-    count, total, distinct = none[symbol].astype(np.float64), np.full(len(key), float(none.sum())), np.full(len(key), float((none > 0).sum()))
-    rest = np.full(len(key), 1 / max(1, 256 - int((none > 0).sum())))  # an unseen byte's share of what the context's escape leaves
-
-    def probability(of: np.ndarray | slice) -> np.ndarray:
-        whole = np.maximum(total[of] + distinct[of], 1)
-        return np.where(count[of] > 0, count[of] / whole, np.where(total[of] > 0, distinct[of] / whole, 1.0) * rest[of])
-
-    for j in range(1, ORDER + 1):
-        of = np.flatnonzero(length >= j)
-        if j == 1:
-            row = window[of] >> 8 & 255
-            c, t, d = short[row, symbol[of]].astype(np.float64), short.sum(1)[row].astype(np.float64), (short > 0).sum(1)[row].astype(np.float64)
-            shared = np.where(short > 0, none, 0).sum(1)[row].astype(np.float64)
-        else:
-            gram, g = np.unique(window[of] & (1 << 8 * (j + 1)) - 1, return_inverse=True)
-            context, k = np.unique(gram >> 8, return_inverse=True)
-            by_gram, up = np.bincount(g, n[of], len(gram)), np.zeros(len(gram))
-            up[g] = count[of]
-            c = by_gram[g]
-            t, d, shared = (np.bincount(k, x, len(context))[k][g] for x in (by_gram, by_gram > 0, np.where(by_gram > 0, up, 0)))
-        left, fresh = total[of] - shared, distinct[of] - d  # what the shorter context holds beside the symbols that this one has seen
-        room = np.maximum(left + fresh, 1)
-        rest[of] = np.where(count[of] > 0, count[of] / room, np.where(left + fresh > 0, fresh / room, 1.0) * rest[of])
-        count[of], total[of], distinct[of] = c, t, d
-    return np.log10(probability(slice(None)))
-
-
-def _lengths(shared):
-    """A function from a group's windows (key, n, blocks) to (block, key, bits) for each block that holds the window; bits: log10 of its probability."""
+    none = short[0]
+    gone = np.zeros(len(key), np.int64)
+    count, total, distinct = none.counts(key & np.uint64(255)), none.total[gone], none.distinct[gone]
+    rest = np.full(len(key), 1 / max(1, 256 - len(none.gram)))  # an unseen byte's share of what the context's escape leaves
+
+    def probability(count: np.ndarray, total: np.ndarray, distinct: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        whole = np.maximum(total + distinct, 1)
+        return np.where(count > 0, count / whole, np.where(total + distinct > 0, distinct / whole, 1.0) * rest)
+
+    for j, level in enumerate(levels_of(key, n, ORDER, short)[1:], 1):
+        gram = key & np.uint64((1 << 8 * (j + 1)) - 1)
+        at = level.place(gram >> np.uint64(8))
+        rest = probability(count, total - level.seen_above[at], distinct - level.distinct[at], rest)
+        count, total, distinct = level.counts(gram), level.total[at], level.distinct[at]
+    return np.log10(probability(count, total, distinct, rest))
+
+
+#: A block's windows (grp from 0 on) or words (below 0) for one group: how many, themselves, their counts.
+SENT = "block int, grp int, size int, data binary, n binary"
+#: What a group answers, in the order in which the block sent: code lengths or counts; and how many words of the group training texts have, distinct and in all.
+ANSWERED = "block int, grp int, data binary, known long, words long"
+
+
+def _word_group(words: list[bytes], groups: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % groups for w in words), np.int64, len(words))
+
+
+def _parts(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places of its members, in order."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    for some in np.split(order, cuts):
+        if len(some):
+            yield int(group[some[0]]), some
+
+
+def _gatherer(groups: int):
+    """A function from a block's texts to its distinct windows and words, packed by group, with their counts in training texts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+        texts: tuple[list[bytes], list[bytes]] = [], []
+        for text, train in zip(rows.column("t"), rows.column("train"), strict=True):
+            toks, on = tokens(text.as_py() or ""), int(train.as_py())
+            words[on].update(toks)
+            texts[on].append(coded(toks))
+        key, n = distinct_windows(texts)
+        out = [(g, len(at), packed(key[at]), packed(n[at].astype(np.uint32))) for g, at in _parts(group_of(key, groups))]
+        other, seen = words
+        names = [*seen, *(w for w in other if w not in seen)]
+        count = np.array([seen[w] for w in names], np.uint32)
+        for g, at in _parts(_word_group(names, groups)):
+            some = b"\n".join([b"" if names[k] == END else names[k] for k in at.tolist()])
+            out.append((-1 - g, len(at), some, packed(count[at])))
+        block = rows.column("block")[0].as_py()
+        cols = list(zip(*out, strict=True))
+        return pa.table([pa.array([block] * len(out), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "grp", "size", "data", "n"])
+
+    return run
+
+
+def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte follows SHARED - 1 bytes in training texts, from the blocks' windows."""
+    for batch in batches:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for size, data, n in zip(*(batch.column(k) for k in range(3)), strict=True):
+            keys.append(unpacked(data.as_py(), size.as_py(), np.uint64) & np.uint64((1 << 8 * SHARED) - 1))
+            counts.append(unpacked(n.as_py(), size.as_py(), np.uint32).astype(np.int64))
+        gram, n = summed(np.concatenate(keys), np.concatenate(counts))
+        yield pa.record_batch([pa.array(gram[n > 0].astype(np.int64)), pa.array(n[n > 0])], ["gram", "n"])
+
+
+def _answers(shared):
+    """A function from what blocks sent to a group to the group's answers."""
 
     def run(rows: pa.Table) -> pa.Table:
-        key, n, blocks = rows.column("key").to_numpy(), rows.column("n").to_numpy(), rows.column("blocks").combine_chunks()
-        times = blocks.value_lengths().to_numpy()
-        bits = code_lengths(key, n, shared.value).astype(np.float32)
-        return pa.table([blocks.flatten(), pa.array(np.repeat(key, times)), pa.array(np.repeat(bits, times))], ["block", "key", "bits"])
+        blocks, sizes = rows.column("block").to_pylist(), rows.column("size").to_pylist()
+        grp = rows.column("grp")[0].as_py()
+        n = np.concatenate([unpacked(x.as_py(), k, np.uint32) for x, k in zip(rows.column("n"), sizes, strict=True)]).astype(np.int64)
+        cuts = np.cumsum(sizes)[:-1]
+        if grp >= 0:
+            key, at = np.unique(np.concatenate([unpacked(x.as_py(), k, np.uint64) for x, k in zip(rows.column("data"), sizes, strict=True)]), return_inverse=True)
+            known = all_ = 0
+            total = np.bincount(at, n, len(key)).astype(np.int64)
+            each = code_lengths(key, total, shared.value).astype(np.float32)[at]
+            made = [x.tobytes() for x in np.split(each, cuts)]
+        else:
+            place: dict[bytes, int] = {}
+            at = np.array([place.setdefault(w, len(place)) for x in rows.column("data") for w in x.as_py().split(b"\n")], np.int64)
+            total = np.bincount(at, n, len(place)).astype(np.int64)
+            known, all_ = int((total > 0).sum()), int(total.sum())
+            made = [packed(x) for x in np.split(total[at], cuts)]
+        once = lambda x: pa.array([x] + [0] * (len(blocks) - 1), pa.int64())
+        return pa.table([pa.array(blocks, pa.int32()), pa.array([grp] * len(blocks), pa.int32()), pa.array(made, pa.binary()), once(known), once(all_)], ["block", "grp", "data", "known", "words"])
 
     return run
 
 
-GATHERED = "block int, word binary, key long, n long"
-
-
-def _gathered(rows: pa.Table) -> pa.Table:
-    """A block's distinct tokens, and its distinct windows, with their counts in training documents."""
-    words: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
-    parts: tuple[list[bytes], list[bytes]] = [], []
-    size = [0, 0]
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def count(on: int) -> None:
-        key = _keys(b"".join(parts[on]))
-        done.append(_summed(key, np.full(len(key), on, np.int64)))
-        parts[on].clear()
-        size[on] = 0
-
-    for text, train in zip(rows.column("t"), rows.column("train"), strict=True):
-        toks, on = tokens(text.as_py() or ""), int(train.as_py())
-        words[on].update(toks)
-        parts[on].append(coded(toks))
-        size[on] += len(parts[on][-1])
-        if size[on] >= PIECE_BYTES:
-            count(on)
-    for on in (0, 1):
-        if parts[on]:
-            count(on)
-    other, seen = words
-    other = [w for w in other if w not in seen]
-    key, n = _summed(*(np.concatenate(x) for x in zip(*done, strict=True)))
-    n_words = len(seen) + len(other)
-    return pa.table(
-        [
-            pa.array(np.full(n_words + len(key), rows.column("block")[0].as_py(), np.int32)),
-            pa.array([*seen, *other, *[None] * len(key)], pa.binary()),
-            pa.concat_arrays([pa.nulls(n_words, pa.int64()), pa.array(key)]),
-            pa.array(np.r_[np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(other), np.int64), n]),
-        ],
-        ["block", "word", "key", "n"],
-    )
+def _scorer(groups: int, n_all: int, unit: float, id_col: str):
+    """A function from a block's texts and the groups' answers to the texts' scores."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        answer = dict(zip(answers.column("grp").to_pylist(), answers.column("data"), strict=True))
+        got, texts = [], []
+        toks_of = [tokens(t.as_py() or "") for t in rows.column("t")]
+        train = rows.column("train").to_pylist()
+        named = (toks for on in (True, False) for toks, is_train in zip(toks_of, train, strict=True) if is_train == on)
+        names = dict.fromkeys(chain.from_iterable(named))  # the order in which the block sent them
+        names = dict(zip(names, range(len(names)), strict=True))
+        n = np.empty(len(names), np.int64)
+        for g, at in _parts(_word_group(list(names), groups)):
+            n[at] = unpacked(answer[-1 - g].as_py(), len(at), np.int64)
+        base = np.log10(n + 0.1) - unit
+        for toks in toks_of:
+            at = np.fromiter(map(names.__getitem__, toks), np.int64, len(toks))
+            got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
+            texts.append(coded(toks))
+        toks_of.clear()
+        key, _ = distinct_windows((texts, []))
+        bits = np.empty(len(key), np.float32)
+        for g, at in _parts(group_of(key, groups)):
+            bits[at] = np.frombuffer(answer[g].as_py(), np.float32)
+        places = Places(key)
+        model, at = [], 0
+        while at < len(texts):
+            size, first = 0, at
+            while at < len(texts) and size < PIECE_BYTES:
+                size += len(texts[at]) + ORDER
+                at += 1
+            each = bits[places.find(windows(texts[first:at]))].astype(np.float64)
+            sizes = np.array([len(t) for t in texts[first:at]])
+            model += np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist()
+        cols = list(zip(*got, strict=True))
+        long = lambda x: pa.array(x, pa.int64())
+        return pa.table(
+            [rows.column("id"), rows.column("train"), long(cols[0]), long(cols[1]), long([n_all] * len(got)), pa.array(cols[2], pa.float64()), pa.array(model, pa.float64())],
+            [id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return run
 
 
 def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; learns where ``train`` holds.
 
     Null and empty texts are one end token. Rows that repeat an id or have none are scored each by its
-    own text. A null ``train`` counts as false. Without training rows the byte contexts count alone, every
-    byte has probability 1/256, and base_score follows from N = V = 0. Other columns are left out. An empty table gives an empty one.
+    own text. A null ``train`` counts as false. Without training rows every byte has probability 1/256,
+    and base_score follows from N = V = 0. Other columns are left out. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("t"))
-    blocks = max(1, -(-(slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks, groups = max(1, -(-size // block_bytes)), max(1, -(-size // min(block_bytes, GROUP_BYTES)))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int"))
-    gathered = dealt.groupBy("block").applyInArrow(_gathered, GATHERED)
-    counts = materialise(gathered.groupBy("word", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "counts")
-    words, windows = counts.filter("word is not null"), counts.filter("key is not null")
-
-    n_all, n_distinct = (int(x or 0) for x in words.filter("n > 0").agg(F.sum("n"), F.count("n")).first())
-    unit = float(np.log10(n_all + 0.1 * (n_distinct + 1)))
-    short = np.zeros((256, 256), np.int64)
-    for gram, n in windows.filter("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n")).collect():
-        short[gram >> 8, gram & 255] = n
-    groups = max(1, -(-(windows.agg(F.sum(F.size("blocks"))).first()[0] or 0) // GROUP_PAIRS))
-    near = F.pmod(F.xxhash64(F.col("key").bitwiseAND(0xFFFF00)), F.lit(groups)).cast("int")
-    lengths = windows.select("key", "n", "blocks", near.alias("near")).groupBy("near").applyInArrow(_lengths(spark.sparkContext.broadcast(short)), "block int, key long, bits float")
-    sent = words.select(F.explode("blocks").alias("block"), "word", "n").unionByName(lengths, allowMissingColumns=True)
-    out = docs.select(F.col(f"`{id_col}`").alias("id")).schema.fields[0].dataType.simpleString()
-
-    def sums(parts: list[bytes], sizes: list[np.ndarray], counts: list[np.ndarray], key: np.ndarray, bits: np.ndarray) -> list[float]:
-        first = np.cumsum([0, *map(len, sizes)])[:-1]
-        size = np.concatenate(sizes)
-        window, at = np.unique(_keys(b"".join(parts)), return_inverse=True)
-        by_bytes = np.add.reduceat(bits[np.searchsorted(key, window)][at], np.cumsum(size) - size)
-        return blended(by_bytes, np.concatenate(counts), n_all, first).tolist()
-
-    def add_up(rows: pa.Table, known: pa.Table) -> pa.Table:
-        vocab, coding = known.filter(known.column("word").is_valid()), known.filter(known.column("key").is_valid())
-        key, bits = coding.column("key").to_numpy(), coding.column("bits").to_numpy().astype(np.float64)
-        order = np.argsort(key)
-        key, bits = key[order], bits[order]
-        n = vocab.column("n").to_numpy().astype(np.float64)
-        place = dict(zip(vocab.column("word").to_pylist(), range(len(n)), strict=True))
-        base, got, model = np.log10(n + 0.1) - unit, [], []
-        parts, sizes, counts, size = [], [], [], 0
-        for text in rows.column("t"):
-            toks = tokens(text.as_py() or "")
-            at = np.fromiter(map(place.__getitem__, toks), np.int64, len(toks))
-            parts.append(coded(toks))
-            sizes.append(coded_sizes(toks))
-            counts.append(n[at])
-            size += len(parts[-1])
-            got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
-            if size >= PIECE_BYTES:
-                model += sums(parts, sizes, counts, key, bits)
-                parts, sizes, counts, size = [], [], [], 0
-        if parts:
-            model += sums(parts, sizes, counts, key, bits)
-        got = [(*g, x) for g, x in zip(got, model, strict=True)]
-        cols = list(zip(*got, strict=True)) or [()] * 4
-        return pa.table(
-            [rows.column("id"), rows.column("train"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([n_all] * len(got), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
-            [id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    schema = f"`{id_col}` {out}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add_up, schema)
+    old: list[str] = []
+    sent = materialise(dealt.groupBy("block").applyInArrow(_gatherer(groups), SENT), "windows", old)
+
+    short_counts = sent.filter("grp >= 0").select("size", "data", "n").mapInArrow(_short_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = short_counts.toArrow()  # at most 256 ** SHARED rows
+    gram, n = summed(grams.column("gram").to_numpy().astype(np.uint64), grams.column("n").to_numpy())
+    short = spark.sparkContext.broadcast(levels_of(gram, n, SHARED - 1, []))
+    answers = materialise(sent.groupBy("grp").applyInArrow(_answers(short), ANSWERED), "code-lengths")
+    discard(spark, old)
+    n_distinct, n_all = (int(x or 0) for x in answers.agg(F.sum("known"), F.sum("words")).first())
+    kind = slim.schema["id"].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    score_block = _scorer(groups, n_all, float(np.log10(n_all + 0.1 * (n_distinct + 1))), id_col)
+    return dealt.groupBy("block").cogroup(answers.select("block", "grp", "data").groupBy("block")).applyInArrow(score_block, schema)
 
 
 def op5_ppm(spark, sf_dir: str) -> DataFrame:

@@ -115,40 +115,30 @@ def test_html_marginals_are_exact(page_model):
 
 
 def brute_ppm(texts, train):
-    raw = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
-    line = lambda t: b"\n" + ppm.coded(ppm.tokens(t or ""))
+    table = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    line = lambda t: ppm.START + ppm.coded(ppm.tokens(t or ""))
     for t, on in zip(texts, train, strict=True):
         s = line(t)
-        for i in range(1, len(s)) if on else []:
-            for j in range(min(i, ppm.ORDER) + 1):
-                raw[j][s[i - j : i]][s[i]] += 1
-    table = [dict(x) for x in raw]
+        for i in range(ppm.ORDER, len(s)) if on else []:
+            for j in range(ppm.ORDER + 1):
+                table[j][s[i - j : i]][s[i]] += 1
 
     def symbol(s, i):
         out, seen = 0.0, set()
-        for j in range(min(i, ppm.ORDER), -1, -1):
+        for j in range(ppm.ORDER, -1, -1):
             ctx = s[i - j : i]
             if ctx not in table[j]:
                 continue
             left = {y: n for y, n in table[j][ctx].items() if y not in seen}
-            whole = len(left) + sum(left.values())
+            whole = 2 * sum(left.values())
             if s[i] in left:
-                return out + math.log10(left[s[i]] / whole)
+                return out + math.log10((2 * left[s[i]] - 1) / whole)
             if whole:
                 out += math.log10(len(left) / whole)
             seen = set(table[j][ctx])
         return out - math.log10(256 - len(table[0].get(b"", ())))
 
-    known = Counter(w for t, on in zip(texts, train, strict=True) if on for w in ppm.tokens(t or ""))
-
-    def whole(t, weight):
-        total, at, s = 0.0, 1, line(t)
-        for w in ppm.tokens(t or ""):
-            span = range(at, at := at + len(w) + (w != ppm.END))
-            total += math.log10((1 - weight) * 10 ** sum(symbol(s, j) for j in span) + weight * known[w] / known.total())
-        return total
-
-    return [math.log10(sum(10 ** whole(t, w) for w in ppm.WORD_WEIGHTS) / len(ppm.WORD_WEIGHTS)) for t in texts]
+    return [sum(symbol(s, i) for i in range(ppm.ORDER, len(s))) for s in map(line, texts)]
 
 
 def test_ppm(docs):
