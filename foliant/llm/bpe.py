@@ -19,6 +19,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 MEMO = 30_000_000
 COUNTED = 24_000_000
 ENTRY = 200
+#: Marks that often end a word.
+MARKS = ".,;:!?)"
 #: Words of more bytes are merged one by one.
 LONG = 400
 #: A lexicon entry occurs at least once in so many bytes of the corpus.
@@ -240,6 +243,7 @@ class Encoder:
         self.merges = merges
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.held = 0
+        self.marks = dict(zip(MARKS, merges.merge([m.encode() for m in MARKS]), strict=True))
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.merges.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # Ids by text at the start and after a space; when these are full they become the old ones, from which what is still used comes back.
@@ -247,22 +251,36 @@ class Encoder:
         self.after: dict[str, bytes | None] = {}
         self.old: tuple[dict, dict] = {}, {}
 
+    def _recall(self, need: set[str], at: int) -> None:
+        """Take what is still remembered from before out of ``need``."""
+        old, memo = self.old[at], (self.first, self.after)[at]
+        known = [t for t in need if t in old]
+        memo.update(zip(known, map(old.__getitem__, known), strict=True))
+        need.difference_update(known)
+        self._hold(known)
+
+    def _hold(self, texts) -> None:
+        self.held += ENTRY * len(texts) + 3 * sum(map(len, texts))
+
     def _learn(self, first: set[str], after: set[str]) -> None:
         """Put the ids of texts that are not remembered yet in ``first`` and ``after``."""
-        for need, memo, old in ((first, self.first, self.old[0]), (after, self.after, self.old[1])):
-            known = [t for t in need if t in old]
-            memo.update((t, old[t]) for t in known)
-            need.difference_update(known)
-            self.held += sum(ENTRY + 3 * len(t) for t in known)
+        self._recall(first, 0)
+        self._recall(after, 1)
+        words = {t for t in after if t.isalpha()}  # letters only: one piece with the space before it
+        rest = after - words
+        ended = [t for t in rest if t[-1:] in self.marks and t[:-1].isalpha()]  # such a piece and one mark
+        bare = {t[:-1] for t in ended}.difference(words)
+        bare = {t for t in bare if t not in self.after}
+        self._recall(bare, 1)
+        words |= bare
+        rest.difference_update(ended)
         plain = {t: PIECES.findall(t) for t in first}
-        words = [t for t in after if t.isalpha()]  # letters only: one piece with the space before it
-        after.difference_update(words)
-        spaced = {t: None if not t or t[0].isspace() or t[-1].isspace() else PIECES.findall(" " + t) for t in after}
+        spaced = {t: None if not t or t[0].isspace() or t[-1].isspace() else PIECES.findall(" " + t) for t in rest}
         pieces = list({p for ps in plain.values() for p in ps} | {p for ps in spaced.values() if ps is not None for p in ps})
-        raw = [(" " + t).encode() for t in words] + [p.encode() for p in pieces]
+        raw = [*map(str.encode, [" " + t for t in words]), *map(str.encode, pieces)]
         ids = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
-        rest = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(rest, self.merges.merge([raw[k] for k in rest]), strict=True):
+        left = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(left, self.merges.merge([raw[k] for k in left]), strict=True):
             ids[k] = x
         self.after.update(zip(words, ids, strict=False))
         of = dict(zip(pieces, ids[len(words) :], strict=True))
@@ -270,21 +288,24 @@ class Encoder:
             self.first[t] = b"".join(map(of.__getitem__, ps))
         for t, some in spaced.items():
             self.after[t] = None if some is None else b"".join(map(of.__getitem__, some))
-        self.held += sum(ENTRY + 3 * len(t) for some in (first, after, words) for t in some)
+        for t in ended:
+            self.after[t] = self.after[t[:-1]] + self.marks[t[-1]]
+        for some in (first, words, rest, ended):
+            self._hold(some)
 
     def _segments(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens."""
-        parts = [t.split(" ") for t in texts]
         if self.held > MEMO:
             self.old, self.first, self.after, self.held = (self.first, self.after), {}, {}, 0
+        parts = [t.split(" ") for t in texts]
         first = {p[0] for p in parts if not p[0][-1:].isspace() and p[0] not in self.first}
         after: set[str] = set()
         for p in parts:
-            after.update(p[1:])
-        self._learn(first, {t for t in after if t not in self.after})
+            after.update(filterfalse(self.after.__contains__, p[1:]))
+        self._learn(first, after)
         out, odd = [], []
         for k, p in enumerate(parts):
-            ids = [self.first.get(p[0])] + [*map(self.after.get, p[1:])]
+            ids = [self.first.get(p[0]), *map(self.after.get, p[1:])]
             out.append(b"" if None in ids else b"".join(ids))
             if None in ids:
                 odd.append(k)
@@ -293,7 +314,7 @@ class Encoder:
             need: set[str] = set()
             for p in pieces:
                 need.update(p)
-            self._learn(need, set())
+            self._learn({t for t in need if t not in self.first}, set())
             for k, p in zip(odd, pieces, strict=True):
                 out[k] = b"".join(map(self.first.__getitem__, p))
         return out
