@@ -1,13 +1,11 @@
 """Token-id files with a minimal perfect hash index over document keys.
 
-Documents are range-partitioned and sorted by id; each partition is a shard, written as blocks of a
-binary format of its own (one Parquet row holds a block, so any file system that Spark writes will do):
-
-    magic, counts | per level of the hash: seed implied by the level, bits | per key's slot: key,
-    occurrence, fingerprint, offset, length | ids as little-endian unsigned 32-bit integers
-
-A key is hashed level by level into bit arrays until it meets a bit that it alone has set; the number
-of set bits before that one is its slot. A slot's fingerprint and key tell foreign keys apart.
+Documents are range-partitioned and sorted by id; each partition is a shard, written as blocks of raw ids
+(one Parquet row holds a block, so any file system that Spark writes will do). The index is a table of its
+own: keys are dealt to buckets by hash, and a bucket's perfect hash maps each of its keys to a slot that
+holds the key's fingerprint, shard, block, offset and length. A key is hashed level by level into bit
+arrays until it meets a bit that it alone has set; the number of set bits before that one is its slot.
+A lookup goes to one bucket, probes one slot, compares fingerprint and key, and reads one piece of one block.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.bpe import Shared, build_encoder, runs, worker_encoder
@@ -25,9 +23,12 @@ from foliant.llm.common import materialise, table
 
 MAGIC = 0x314B5446
 LEVELS = 40
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 END_ID = 2
-SLOT = np.dtype([("key", "<i8"), ("null", "u1"), ("nth", "<u4"), ("print", "<u4"), ("offset", "<u8"), ("length", "<u4")])
+#: Keys that a bucket of the index has on average, and shards whose sizes one task adds up.
+BUCKET_KEYS = 50_000
+RUN = 1024
+SLOT = np.dtype([("key", "<i8"), ("null", "u1"), ("nth", "<u4"), ("print", "<u4"), ("shard", "<i4"), ("block", "<i4"), ("offset", "<u8"), ("length", "<u8")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,82 +81,83 @@ class PerfectHash:
         return out
 
 
-def pack(keys: list[int | None], nth: list[int], ids: list[bytes]) -> bytes:
-    """A block: its index and the ids of its documents in the given order."""
+PLACE = ("shard", "block", "offset", "length")
+
+
+def pack(keys: list[int | None], nth: list[int], places: dict[str, np.ndarray]) -> bytes:
+    """A bucket of the index: its perfect hash and its slots."""
     null = np.array([k is None for k in keys], np.uint8)
     key = np.array([k or 0 for k in keys], np.int64)
     nth_ = np.array(nth, np.uint32)
     h = key_hash(key, null, nth_)
     index = PerfectHash.build(h)
-    length = np.array([len(x) // 4 for x in ids], np.uint32)
     slots = np.empty(len(keys), SLOT)
     at = index.slot(h)
     slots["key"][at], slots["null"][at], slots["nth"][at], slots["print"][at] = key, null, nth_, h.astype(np.uint32)
-    slots["offset"][at], slots["length"][at] = np.cumsum(length.astype(np.int64)) - length, length
+    for name in PLACE:
+        slots[name][at] = places[name]
     sizes = [len(x) for x in index.levels]
     head = np.array([MAGIC, len(keys), len(sizes), *sizes], "<i8").tobytes()
-    return b"".join([head, *(np.packbits(x).tobytes() for x in index.levels), slots.tobytes(), *ids])
+    return b"".join([head, *(np.packbits(x).tobytes() for x in index.levels), slots.tobytes()])
 
 
-class Block:
-    """A packed block, read."""
+class Bucket:
+    """A packed bucket, read."""
 
     def __init__(self, data: bytes) -> None:
         magic, n, levels = np.frombuffer(data, "<i8", 3).tolist()
         if magic != MAGIC:
-            raise ValueError("not a block of token ids")
+            raise ValueError("not a bucket of the index")
         sizes = np.frombuffer(data, "<i8", levels, 24).tolist()
         at, bits = 24 + 8 * levels, []
         for s in sizes:
             bits.append(np.unpackbits(np.frombuffer(data, np.uint8, s // 8, at)).astype(bool))
             at += s // 8
         self.index, self.slots = PerfectHash(bits), np.frombuffer(data, SLOT, n, at)
-        self.ids_at, self.data = at + SLOT.itemsize * n, data
 
-    def ids(self, slot: int) -> bytes:
-        s = self.slots[slot]
-        a = self.ids_at + 4 * int(s["offset"])
-        return self.data[a : a + 4 * int(s["length"])]
-
-    def find(self, key: int | None, nth: int = 0) -> int:
-        """The slot of a key, or -1, in constant time: one probe a level, then fingerprint and key are compared."""
-        h = key_hash(np.array([key or 0]), np.array([key is None]), np.array([nth]))
-        slot = int(self.index.slot(h)[0])
-        if slot < 0:
-            return -1
+    def find(self, keys: list[int | None], nth: list[int]) -> np.ndarray:
+        """The slots of keys, or -1, each in constant time: one probe a level, then fingerprint and key are compared."""
+        null, key, nth_ = np.array([k is None for k in keys], np.uint8), np.array([k or 0 for k in keys], np.int64), np.array(nth, np.uint32)
+        h = key_hash(key, null, nth_)
+        slot = self.index.slot(h)
+        if not len(self.slots):
+            return slot
         s = self.slots[slot]
-        same = s["print"] == h.astype(np.uint32)[0] and s["key"] == (key or 0) and s["null"] == (key is None) and s["nth"] == nth
-        return slot if same else -1
+        same = (s["print"] == h.astype(np.uint32)) & (s["key"] == key) & (s["null"] == null) & (s["nth"] == nth_)
+        return np.where((slot >= 0) & same, slot, -1)
 
 
-FILES = "shard int, block int, lo long, hi long, before long, n_ids long, data binary"
+FILES = "shard int, block int, before long, n_ids long, keys array<long>, nth array<int>, offsets array<long>, lengths array<long>, data binary"
 
 
 def write_token_files(docs: DataFrame, encoder: Shared, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = 24_000_000) -> DataFrame:
     """Encode whole texts and write them in ascending id order to the shared folder; the files, one row a block.
 
-    before counts the ids of the shard's earlier blocks. Null and empty texts have the end id alone.
-    Rows that repeat an id keep all their entries, told apart by their number of occurrence (ordered by
-    text); a null id sorts first. Other columns are left out. An empty table gives no block.
+    data has the block's count and ids as little-endian integers, before counts the ids of the shard's
+    earlier blocks. Null and empty texts have the end id alone. Rows that repeat an id keep all their
+    entries, told apart by their number of occurrence (ordered by text); a null id sorts first. Other
+    columns are left out. An empty table gives no block.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     ordered = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "id").sortWithinPartitions("id", F.col("t"))
     end = np.array([end_id], "<u4").tobytes()
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = [x.split()[0] for x in FILES.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, block, before = worker_encoder(encoder), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         nth: list[int] = []
         ids: list[bytes] = []
-        size, last = 0, -1
+        size, first, last, count = 0, True, None, 0
 
         def flush() -> pa.RecordBatch:
-            row = [shard, block, keys[0], keys[-1], before, size, pack(keys, nth, ids)]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["shard", "block", "lo", "hi", "before", "n_ids", "data"])
+            length = np.array([len(x) // 4 for x in ids], np.int64)
+            data = np.array([MAGIC, size], "<i8").tobytes() + b"".join(ids)
+            row = [shard, block, before, size, keys, nth, np.cumsum(length) - length, length, data]
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
-        first, count = True, 0
         for batch in batches:
             docs_ids = batch.column(0).to_pylist()
             for at, texts in runs(batch.column(1)):
@@ -172,68 +174,92 @@ def write_token_files(docs: DataFrame, encoder: Shared, *, id_col: str = "doc_id
                     size += len(x) // 4 + 1
         if keys:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return materialise(ordered.mapInArrow(write, FILES), "token-files")
 
 
+def _bucket(key: Column, nth: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key, key.isNull(), nth), F.lit(buckets)).cast("int")
+
+
+def build_index(files: DataFrame) -> tuple[DataFrame, int]:
+    """The index, one row (bucket, data) a bucket, written to the shared folder, and its number of buckets."""
+    n = files.agg(F.sum(F.size("keys"))).first()[0] or 0
+    buckets = max(1, -(-n // BUCKET_KEYS))
+    each = files.select("shard", "block", F.explode(F.arrays_zip("keys", "nth", "offsets", "lengths")).alias("e"))
+    each = each.select("shard", "block", F.col("e.keys").alias("key"), F.col("e.nth").alias("nth"), F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("length"))
+
+    def build(rows: pa.Table) -> pa.Table:
+        places = {name: rows.column(name).to_numpy() for name in PLACE}
+        data = pack(rows.column("key").to_pylist(), rows.column("nth").to_pylist(), places)
+        return pa.table([pa.array([rows.column("bucket")[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+
+    dealt = each.withColumn("bucket", _bucket(F.col("key"), F.col("nth"), buckets))
+    return materialise(dealt.groupBy("bucket").applyInArrow(build, "bucket int, data binary"), "token-index"), buckets
+
+
 def shard_starts(files: DataFrame) -> DataFrame:
-    """(shard, base): ids in all earlier shards. One row a shard, so few that one task adds them up."""
-    from pyspark.sql import Window
+    """(shard, base): ids in all earlier shards, added up in runs of RUN shards and then over the runs."""
+    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
+    runs_ = sizes.groupBy("run").agg(F.sum("n").alias("n"))
+    runs_ = runs_.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("run").orderBy("shard")) - F.col("n")
+    return sizes.select("shard", "run", inside.alias("inside")).join(runs_, "run").select("shard", (F.col("base") + F.col("inside")).alias("base"))
+
+
+FOUND = "doc_id long, nth int, start long, n_tokens long, ids binary"
 
-    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    return sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
+def lookup(files: DataFrame, index: tuple[DataFrame, int], keys: DataFrame, *, id_col: str = "doc_id", nth_col: str | None = None) -> DataFrame:
+    """(doc_id, nth, start, n_tokens, ids) of the given keys' documents, by the index; start: ids of all documents before it.
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents, from the files; start: ids of all documents before it."""
+    ``nth_col`` asks for one occurrence of a repeated id, counted from 0; without it the first one is
+    meant. Keys that are asked for twice are answered once; absent ones give no row, and neither does an
+    empty table of keys.
+    """
+    table_, buckets = index
+    asked = keys.select(F.col(f"`{id_col}`").cast("long").alias("key"), (F.col(f"`{nth_col}`").cast("int") if nth_col else F.lit(0)).alias("nth")).distinct()
+    asked = asked.withColumn("bucket", _bucket(F.col("key"), F.col("nth"), buckets))
+    kinds = [("key", pa.int64()), ("nth", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys_, nth = left.column("key").to_pylist(), left.column("nth").to_pylist()
+        if not keys_ or not right.num_rows:
+            return pa.table([pa.array([], t) for _, t in kinds], [n for n, _ in kinds])
+        bucket = Bucket(right.column("data")[0].as_py())
+        slot = bucket.find(keys_, nth)
+        hit = np.flatnonzero(slot >= 0)
+        s = bucket.slots[slot[hit]]
+        cols = [pa.array([keys_[k] for k in hit.tolist()], pa.int64()), pa.array([nth[k] for k in hit.tolist()], pa.int32())]
+        return pa.table(cols + [pa.array(s[n].astype(t.to_pandas_dtype()), t) for n, t in kinds[2:]], [n for n, _ in kinds])
+
+    places = asked.groupBy("bucket").cogroup(table_.groupBy("bucket")).applyInArrow(find, ", ".join(f"{n} {'long' if t == pa.int64() else 'int'}" for n, t in kinds))
+    wanted = places.groupBy("shard", "block").agg(F.collect_list(F.struct("key", "nth", "offset", "length")).alias("wanted"))  # no more than the block has documents
+    rows = files.select("shard", "block", "before", "data").join(wanted, ["shard", "block"]).join(shard_starts(files), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, before, data in zip(*(batch.column(k) for k in range(3)), strict=True):
-                block = Block(data.as_py())
-                slots = block.slots
-                start = base.as_py() + before.as_py() + slots["offset"].astype(np.int64)
-                yield pa.record_batch(
-                    [
-                        pa.array(slots["key"].astype(np.int64), pa.int64(), mask=slots["null"].astype(bool)),
-                        pa.array(start),
-                        pa.array(slots["length"].astype(np.int64)),
-                        pa.array([block.ids(k) for k in range(len(slots))], pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
-
-    rows = files.select("shard", "before", "data").join(F.broadcast(shard_starts(files)), "shard")
-    return rows.select("base", "before", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def lookup(files: DataFrame, keys: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, nth, ids) of the given keys' documents, each found by the hash index of its shard's blocks; absent keys give no row."""
-    least = F.min(F.struct("block", "lo"))["lo"]
-    shards = files.groupBy("shard").agg(least.alias("lo")).orderBy("shard").collect()  # two numbers a shard
-    low = F.array(*[F.lit(r.lo) for r in shards]).cast("array<long>")
-    k = F.col(f"`{id_col}`").cast("long")
-    place = F.when(k.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.size(F.filter(low, lambda b: b.isNull() | (b <= k))) - 1))
-    asked = keys.select(k.alias("key"), F.get(F.array(*[F.lit(r.shard) for r in shards]).cast("array<int>"), place).alias("shard")).distinct()
-
-    def find(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        seen: dict[int | None, int] = {}
-        for data in right.sort_by("block").column("data"):
-            block = Block(data.as_py())
-            for key in left.column("key").to_pylist():
-                nth = seen.get(key, 0)
-                while (slot := block.find(key, nth)) >= 0:
-                    out.append((key, nth, block.ids(slot)))
-                    nth += 1
-                seen[key] = nth
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "nth", "ids"])
-
-    return asked.groupBy("shard").cogroup(files.select("shard", "block", "data").groupBy("shard")).applyInArrow(find, "doc_id long, nth int, ids binary")
+            for at, data, some in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                raw = memoryview(data.as_buffer())
+                if np.frombuffer(raw, "<i8", 1)[0] != MAGIC:
+                    raise ValueError("not a block of token ids")
+                key, nth, offset, length = some.values.flatten()
+                a, n = offset.to_numpy(), length.to_numpy()
+                ids = [raw[16 + 4 * i : 16 + 4 * (i + k)] for i, k in zip(a.tolist(), n.tolist(), strict=True)]
+                yield pa.record_batch([key, nth, pa.array(at.as_py() + a), length, pa.array(ids, pa.binary())], ["doc_id", "nth", "start", "n_tokens", "ids"])
+
+    return rows.select((F.col("base") + F.col("before")).alias("at"), "data", "wanted").mapInArrow(read, FOUND)
+
+
+def occurrences(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, nth) of every row of docs: how often an id occurs, counted from 0."""
+    counts = docs.groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("nth"))
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = write_token_files(docs, build_encoder(docs, lexicon_size=0))
-    return read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = lookup(files, build_index(files), occurrences(docs), nth_col="nth")
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -76,14 +76,18 @@ def test_encode_and_decode(docs, library):
 def test_perfect_hash():
     keys = list(range(0, 5000, 7)) + [None, 7]
     nth = [0] * (len(keys) - 1) + [1]
-    block = token_files.Block(token_files.pack(keys, nth, [str(k).encode().ljust(4 * (k or 0) % 40 + 4) [: 4 * ((k or 0) % 9 + 1)].ljust(4 * ((k or 0) % 9 + 1)) for k in keys]))
-    assert sorted(block.find(k, n) for k, n in zip(keys, nth, strict=True)) == list(range(len(keys)))
-    assert all(block.find(k) == -1 for k in range(1, 3000, 7))
+    at = np.arange(len(keys))
+    bucket = token_files.Bucket(token_files.pack(keys, nth, {"shard": at, "block": at + 1, "offset": at * 3, "length": at + 5}))
+    slot = bucket.find(keys, nth)
+    assert sorted(slot.tolist()) == list(range(len(keys)))
+    assert (bucket.slots["shard"][slot] == at).all() and (bucket.slots["length"][slot] == at + 5).all()
+    absent = [k for k in range(3000) if k % 7]
+    assert (bucket.find(absent, [0] * len(absent)) == -1).all() and bucket.find([None, 7], [1, 2]).tolist() == [-1, -1]
 
 
 def test_token_files(spark, docs, library):
     rng = random.Random(2)
-    rows = [(k, " ".join(rng.choice(["alpha", "beta", "γ"]) for _ in range(rng.randrange(9)))) for k in rng.sample(range(-50, 200), 60)] + [(7, "again"), (7, "again"), (None, "x"), (None, None)]
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "γ"]) for _ in range(rng.randrange(9)))) for k in rng.sample(range(-50, 200), 60)] + [(7, "again"), (7, "again"), (None, "x"), (None, None), (300, "word " * 70_000)]
     d = docs(rows).withColumn("start", F.lit(0))
     files = token_files.write_token_files(d, bpe.build_encoder(d, lexicon_size=0), shard_bytes=150)
     assert files.select("shard").distinct().count() > 3
@@ -93,12 +97,23 @@ def test_token_files(spark, docs, library):
         x = library.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         at += len(x)
-    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in token_files.read_token_files(files).collect()]
+    index = token_files.build_index(files)
+    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in token_files.lookup(files, index, token_files.occurrences(d), nth_col="nth").collect()]
     assert sorted(got, key=lambda r: r[1]) == want
-    asked = spark.createDataFrame([(7,), (None,), (1000,), (rows[0][0],)], "doc_id long")
-    found = {(r.doc_id, r.nth): ids(r.ids) for r in token_files.lookup(files, asked).collect()}
-    assert {k for k, _ in found} == {7, None, rows[0][0]} and found[rows[0][0], 0][-1] == 2
-    assert token_files.read_token_files(token_files.write_token_files(docs([]), bpe.build_encoder(d, lexicon_size=0))).count() == 0
+    asked = spark.createDataFrame([(7,), (7,), (None,), (1000,), (rows[0][0],)], "doc_id long")
+    found = {(r.doc_id, r.nth): ids(r.ids) for r in token_files.lookup(files, index, asked).collect()}
+    assert set(found) == {(7, 0), (None, 0), (rows[0][0], 0)} and found[rows[0][0], 0][-1] == 2
+    none = token_files.write_token_files(docs([]), bpe.build_encoder(d, lexicon_size=0))
+    assert token_files.lookup(none, token_files.build_index(none), asked).count() == 0
+
+
+def test_shard_starts(spark):
+    """Sums over several thousand shards equal a running sum."""
+    rng = random.Random(4)
+    sizes = [rng.randrange(50) for _ in range(5000)]
+    files = spark.createDataFrame(list(enumerate(sizes)), "shard int, n_ids long")
+    got = [r.base for r in token_files.shard_starts(files).orderBy("shard").collect()]
+    assert got == [sum(sizes[:k]) for k in range(5000)]
 
 
 def components(rows, width, num, den):
