@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import exp, log1p
 
@@ -21,17 +22,22 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import answered, extended, table, without
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|[^<]+|<", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*[\"']")
+_BARE = re.compile(r"(?<![^\s/])[^\s/>=\"'<]+(?=[\s/]|\Z)(?!\s*=)")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Fixed values of HTML: elements without an end, elements whose inside is no markup, those of them that nest, choices of a form, inline elements, and what a start tag closes.
+#: Fixed values of HTML: elements without an end, elements whose inside is text up to their own end tag, elements that show nothing, choices of a form, inline elements, what a start tag closes and how far up, other elements, attributes without a value.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg"}
-NESTED = {"template", "svg"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+HIDDEN = {"template", "svg", "math", "noscript"}
 CHOICES = {"select", "datalist", "optgroup", "option"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist", "optgroup"}, "optgroup": {"select", "datalist"}}
+OTHERS = {"acronym", "address", "applet", "article", "aside", "audio", "big", "blockquote", "body", "button", "canvas", "caption", "center", "colgroup", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "main", "map", "marquee", "menu", "meter", "nav", "nobr", "object", "ol", "output", "p", "param", "picture", "pre", "progress", "rp", "rt", "ruby", "search", "section", "slot", "strike", "summary", "table", "tbody", "tfoot", "thead", "ul", "video"}
+ELEMENTS = VOID | RAW | HIDDEN | CHOICES | INLINE | OTHERS | set(CLOSES)
+VALUELESS = {"allowfullscreen", "async", "autofocus", "autoplay", "checked", "compact", "controls", "default", "defer", "disabled", "download", "formnovalidate", "hidden", "inert", "ismap", "itemscope", "loop", "multiple", "muted", "nomodule", "noshade", "novalidate", "nowrap", "open", "playsinline", "readonly", "required", "reversed", "selected"}
 
 TAGS = ["html", "head", "body", "main", "article", "section", "div", "p", "h", "ul", "li", "table", "quote", "nav", "header", "footer", "aside", "form", "figure", "button", "text", "other"]
 _ALIASES = {f"h{k}": "h" for k in range(1, 7)} | {"ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "input": "form", "select": "form", "datalist": "form", "optgroup": "form", "option": "form", "dialog": "aside"}
@@ -69,75 +75,156 @@ class Node:
             self.features += sorted(1 + len(TAGS) + h for h in hints)
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at ``at``; -1 if it never does. A quoted value that no quote ends in its place ends with the tag."""
+    while True:
+        m = _STOP.search(page, at)
+        if not m:
+            return -1
+        if m.group() == ">":
+            return m.end()
+        shut, gt = page.find(m.group()[-1], m.end()), page.find(">", m.end())
+        if gt < 0:
+            return -1
+        if shut < 0 or (gt < shut and page[shut + 1 : shut + 2] not in {"", " ", "\t", "\n", "\r", "\f", "/", ">", '"', "'"}):
+            return gt + 1
+        at = shut + 1
+
+
+def _is_tag(page: str, lt: int, name: str, attributes: str) -> bool:
+    """Whether what looks like a tag is one: not where a sign in running text (i<n, a<b and c>d) stands before a word."""
+    if name not in ELEMENTS and "-" not in name and ":" not in name:
+        return False
+    if lt and page[lt - 1].isalnum():
+        return all(x.lower() in VALUELESS or "-" in x for x in _BARE.findall(attributes))
+    return True
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in page order: text, start tags with their attributes, end tags. Comments and the inside of raw elements are left out."""
+    at, text = 0, 0  # text: where the text before this place begins
+    while (lt := page.find("<", at)) >= 0:
+        ahead = page[lt + 1 : lt + 2]
+        if ahead in ("!", "?"):
+            close = "-->" if page.startswith("<!--", lt) else ">"
+            end = page.find(close, lt + 2)
+            if lt > text:
+                yield "text", "", page[text:lt]
+            at = text = end + len(close) if end >= 0 else len(page)
+            continue
+        ends = ahead == "/"
+        m = _NAME.match(page, lt + 1 + ends)
+        if not m:
+            at = lt + 1
+            continue
+        name = m.group().lower()
+        end = _tag_end(page, m.end())
+        if end < 0:  # an unfinished tag ends the page
+            break
+        attributes = page[m.end() : end - 1]
+        if not _is_tag(page, lt, name, "" if ends else attributes):
+            at = lt + 1
+            continue
+        if lt > text:
+            yield "text", "", page[text:lt]
+        at = text = end
+        yield ("end" if ends else "start"), name, attributes
+        if name in RAW and not ends:
+            shut = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, end)
+            at = text = shut.start() if shut else len(page)
+    else:
+        lt = len(page)
+    if lt > text:
+        yield "text", "", page[text:lt]
+
+
+class Open:
+    """The open elements, each with the node that holds its text (-1: nothing is shown). Every step costs what it opens and closes, however deep the page."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.where: dict[str, list[int]] = {}  # places of each name
+        self.blocks: list[int] = []  # places of elements that are not inline
+
+    def push(self, tag: str, node: int) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def close(self, at: int) -> bool:
+        """Close all elements from a place on; whether one of them is a block."""
+        deep = len(self.blocks)
+        while len(self.stack) > at:
+            tag, _ = self.stack.pop()
+            self.where[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+        return len(self.blocks) < deep
+
+    def innermost(self, tag: str) -> int:
+        places = self.where.get(tag)
+        return places[-1] if places else 0
+
+    def make_way(self, tag: str) -> None:
+        """Implied ends before a start tag: a block ends an open paragraph, an item ends an item of its list."""
+        shut = CLOSES.get(tag)
+        if not shut:
+            if self.stack[self.blocks[-1]][0] == "p" and tag not in CHOICES:
+                self.close(self.blocks[-1])
+            return
+        top = max(map(self.innermost, SCOPE[tag]))
+        firsts = [self.where[t][k] for t in shut | (set() if tag in CHOICES else {"p"}) if t in self.where and (k := bisect_right(self.where[t], top)) < len(self.where[t])]
+        if firsts:
+            self.close(min(firsts))
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and text blocks, parents before children, in page order. Inline elements belong to their block."""
     nodes = [Node("html", -1)]
-    stack = [("html", 0)]  # open elements: tag, and the block node that holds its text
+    up = Open()
+    up.push("html", 0)
     leaf = -1  # the text block that text goes to
-    in_link = 0
-    tokens = _TOKEN.finditer(page)
-    skip, depth = "", 0
-    for m in tokens:
-        tag = m.group(2)
-        if skip:
-            if tag and tag.lower() == skip:
-                if m.group(1):
-                    depth -= 1
-                elif skip in NESTED and not m.group(3).rstrip().endswith("/"):
-                    depth += 1
-                if not depth:
-                    skip = ""
-            continue
-        if tag is None:
-            text = m.group()
-            if text.startswith("<") and len(text) > 1:
+    for kind, tag, rest in tokens(page):
+        holder = up.stack[-1][1]
+        if kind == "text":
+            if holder < 0:
                 continue
             if leaf < 0:
-                if not text.strip():
+                if not rest.strip():
                     continue
                 leaf = len(nodes)
-                nodes.append(Node("text", stack[-1][1]))
-            nodes[leaf].text.append(text)
-            if in_link:
-                nodes[leaf].links += len(text.strip())
-            continue
-        tag = tag.lower()
-        if m.group(1):  # an end tag: closes the innermost element of that name, if any
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at:
-                if any(t not in INLINE for t, _ in stack[at:]):
-                    leaf = -1
-                in_link -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
-            continue
-        if tag in RAW:
-            if not m.group(3).rstrip().endswith("/"):
-                skip, depth = tag, 1
+                nodes.append(Node("text", holder))
+            nodes[leaf].text.append(rest)
+            if up.where.get("a"):
+                nodes[leaf].links += len(rest.strip())
+        elif kind == "end":  # closes the innermost element of that name, if any
+            at = up.innermost(tag)
+            if at and up.close(at):
+                leaf = -1
+        elif tag in RAW:
             continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "br" and leaf >= 0:
                 nodes[leaf].text.append(" ")
             elif tag == "hr":
                 leaf = -1
-            continue
-        if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            in_link += tag == "a"
-            continue
-        leaf = -1
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
-            continue
-        shut = CLOSES.get(tag)
-        stop = SCOPE.get(tag, set())
-        for k in range(len(stack) - 1, 0, -1):  # implied ends: a block ends an open paragraph, an item ends an item
-            t = stack[k][0]
-            if (t == "p" and tag not in CHOICES) or (shut and t in shut):
-                in_link -= sum(x == "a" for x, _ in stack[k:])
-                del stack[k:]
-            elif t in stop or (t not in INLINE and not shut):
-                break
-        nodes.append(Node(tag, stack[-1][1], m.group(3)))
-        stack.append((tag, len(nodes) - 1))
+        elif tag in HIDDEN:
+            if not rest.rstrip().endswith("/"):
+                up.push(tag, -1)
+        elif tag in INLINE or holder < 0:
+            up.push(tag, holder)
+        else:
+            leaf = -1
+            if tag == "html" or (tag == "body" and up.where.get("body")):
+                continue
+            up.make_way(tag)
+            holder = up.stack[-1][1]
+            if holder < 0:
+                up.push(tag, holder)
+                continue
+            nodes.append(Node(tag, holder, rest))
+            up.push(tag, len(nodes) - 1)
     for n in nodes:
         if n.text:
             joined = " ".join(html.unescape("".join(n.text)).split())

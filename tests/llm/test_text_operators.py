@@ -97,6 +97,33 @@ def test_html_goes_on_behind_open_options_nested_svg_and_stray_quotes(page_model
         assert html_text.main_text(f"<body>{before}{article}</body>", page_model) == "Title\none two three\nfour five\nsix", before
 
 
+def test_html_raw_elements_end_at_their_own_end_tag(page_model):
+    article = "<article><h1>Title</h1><p>one two three</p></article>"
+    for inside in ("for(i=0;i<n;i++){x()}", "if(a<b) y='<p>'", "it's a<b", 'var s="</scripty><b";', "<!-- x", "a && b < c"):
+        for tag in ("script", "style", "SCRIPT"):
+            assert html_text.main_text(f"<body><{tag}>{inside}</{tag.lower()}>{article}</body>", page_model) == "Title\none two three", (tag, inside)
+    assert html_text.main_text(f"<title>a < b <p></title>{article}<script>never ended {article}", page_model) == "Title\none two three"
+
+
+def test_html_signs_in_text_and_unclosed_quotes(page_model):
+    one = lambda body: html_text.main_text(f"<body><article><h1>Title</h1>{body}<p>last words here</p></article></body>", page_model)
+    assert one("<p>if a<b then c>d or i<n and j>m, x < y</p>") == "Title\nif a<b then c>d or i<n and j>m, x < y\nlast words here"
+    assert one("<p>word<b>bold</b>x<sup>2</sup> <i hidden>it</i></p>") == "Title\nwordboldx2 it\nlast words here"
+    assert one('<p class="x>one two three</p><p class="y">four</p>') == "Title\none two three\nfour\nlast words here"
+    assert one("<p title='x>one two three</p>") == "Title\none two three\nlast words here"
+    assert one('<p title="a > b" data-x=\'<p>no</p>\'>one two</p>') == "Title\none two\nlast words here"
+    assert one("<p>one</p><p class='x") == "Title\none\nlast words here"
+
+
+def test_html_is_linear_in_depth(page_model):
+    import time
+
+    for page in ("<b>" * 100_000 + "<p>x</p>" * 3000, "<div>" * 100_000 + "y</p>" * 3000, "<li>" + "<div>" * 100_000 + "<li>z" * 3000, "<p class=\"" * 50_000 + "'<a b='" * 50_000, "<svg>" * 100_000 + "</b>" * 100_000, "a<b " * 100_000):
+        began = time.process_time()
+        html_text.main_text(page, page_model)
+        assert time.process_time() - began < 20, page[:9]
+
+
 def test_html_marginals_are_exact(page_model):
     """Sum-product against enumeration of all labellings of a small tree."""
     from itertools import product
