@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (local mode, tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode, where one machine holds them all, a local one if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -78,7 +80,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def extended(df: DataFrame, ddl: str, less: tuple[str, ...] = ()) -> T.StructType:
     """df's schema, less the named columns, with the columns of a DDL string after its own."""
-    return T.StructType([f for f in df.schema.fields if f.name not in less] + T._parse_datatype_string(ddl).fields)
+    return T.StructType([f for f in df.schema.fields if f.name not in less] + T.StructType.fromDDL(ddl).fields)
 
 
 def answered(batch: pa.RecordBatch, less: tuple[str, ...], schema: T.StructType, *made: pa.Array) -> pa.RecordBatch:

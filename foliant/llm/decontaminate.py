@@ -35,7 +35,10 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "doc_id
 
 
 def build_postings(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: (term, id, row, pos) for every occurrence of the given terms; row tells rows of one id apart."""
+    """The positional index: (term, id, row, pos) for every occurrence of the given terms; row, a hash of the text, tells rows of one id apart.
+
+    Null and empty texts have no occurrence, rows that repeat id and text give theirs as often, null ids pass through; empty in, empty out.
+    """
     tokens = _keyed(docs, id_col, text_col).select("id", "row", F.posexplode_outer(words(F.col("t"))).alias("pos", "term"))
     return tokens.join(terms.select("term").distinct(), "term").select("term", "id", "row", "pos")
 
@@ -73,7 +76,10 @@ def phrase_candidates(postings: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity_matches(postings: DataFrame, terms: list[str], slop: int) -> DataFrame:
-    """(id, row, start, end): the shortest spans of at most ``slop`` words, from each start, that hold all the given terms in any order."""
+    """(id, row, start, end): the shortest spans of at most ``slop`` words, from each start, that hold all the given terms in any order.
+
+    A term that is asked for twice counts once; null ids match by row; spans of equal length from one start are one row. Empty in, empty out.
+    """
     lists = [postings.filter(F.col("term") == t).select("id", "row", F.col("pos").alias(f"p{k}")) for k, t in enumerate(dict.fromkeys(terms))]
     out = lists[0].select("id", "row", F.col("p0").alias("start"), F.col("p0").alias("end"))
     for k, one in enumerate(lists[1:], 1):
@@ -97,21 +103,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10, rare: i
     terms = windows.select(F.explode(F.flatten(F.transform("wins", lambda x: F.transform(x["rare"], lambda p: F.get("iw", p))))).alias("term"))
     postings = build_postings(docs, terms, id_col=id_col, text_col=text_col)
     found = phrase_candidates(postings, windows)
-    by_doc = found.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("item", "start", "phrase")).alias("_found"))
-    names = ("n_words", "n_hit", "hit_items", "contaminated", "_id", "_row", "_found", "_words", "_valid", "_hit")
-    whole = without(docs, *names)
-    text = F.col(f"`{text_col}`").cast("string")
-    joined = whole.join(by_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left")
-    joined = joined.withColumn("_words", words(text))
-    same = F.filter("_found", lambda x: F.slice("_words", x["start"] + 1, F.size(x["phrase"])) == x["phrase"])
-    joined = joined.withColumn("_valid", same)
-    places = F.array_distinct(F.flatten(F.transform("_valid", lambda x: F.sequence(x["start"], x["start"] + F.size(x["phrase"]) - 1))))
+    by_doc = found.groupBy("id", "row").agg(F.collect_list(F.struct("item", "start", "phrase")).alias("found"))
+    whole = without(docs, "n_words", "n_hit", "hit_items", "contaminated")
+    packed = whole.select(F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("own"))  # so that no column's name matters
+    text = F.col("own")[text_col].cast("string")
+    joined = packed.join(by_doc, F.col("own")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("row")), "left")
+    joined = joined.select("own", "found", words(text).alias("words"))
+    same = F.filter("found", lambda x: F.slice("words", x["start"] + 1, F.size(x["phrase"])) == x["phrase"])
+    joined = joined.select("own", "words", same.alias("valid"))
+    places = F.array_distinct(F.flatten(F.transform("valid", lambda x: F.sequence(x["start"], x["start"] + F.size(x["phrase"]) - 1))))
     hit = F.coalesce(F.size(places), F.lit(0)).cast("long")
-    hit = F.when(F.col("_valid").isNull(), F.lit(0).cast("long")).otherwise(hit)
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("_valid", lambda x: x["item"].cast("string")), lambda s: s.isNotNull())))
+    hit = F.when(F.col("valid").isNull(), F.lit(0).cast("long")).otherwise(hit)
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("valid", lambda x: x["item"].cast("string")), lambda s: s.isNotNull())))
     return joined.select(
-        *[F.col(f"`{c}`") for c in whole.columns],
-        F.size("_words").cast("long").alias("n_words"),
+        *[F.col("own")[c].alias(c) for c in whole.columns],
+        F.size("words").cast("long").alias("n_words"),
         hit.alias("n_hit"),
         F.coalesce(ids, F.array().cast("array<string>")).alias("hit_items"),
         (hit > 0).alias("contaminated"),

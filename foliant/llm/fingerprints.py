@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import answered, extended, table, without
+from foliant.llm.common import answered, extended, materialise, table, without
 
 WINDOW = 16
 LEAST, NORMAL, MOST = 16, 32, 128
 STRICT, LOOSE = np.uint32(0x3F << 20), np.uint32(0x0F << 20)
 BATCH_CHARS = 2_000_000
-MAX_BUCKETS = 4096
+#: Bounds that one sketch of the ids gives; more buckets are cut inside these.
+TOP = 1024
+#: First ids of buckets are broadcast up to this number, and shuffled beyond.
+BROADCAST_TOPS = 200_000
 
 
 def gear() -> np.ndarray:
@@ -133,28 +136,45 @@ def likeness(a: str, b: str) -> Column:
     return run(F.col(a), F.col(b))
 
 
+def id_bounds(ids: DataFrame, n: int, *, top: int = TOP) -> np.ndarray:
+    """The ids (column id) that cut the table into about n parts of equal size, one number a part: quantiles, and quantiles inside the parts these cut where n is large."""
+    first = min(n, top)
+    bounds = np.array(ids.na.drop().approxQuantile("id", [k / first for k in range(1, first)], 0.1 / first) if first > 1 else [])
+    sub = -(-n // first)
+    if sub == 1 or not len(bounds):
+        return bounds
+    parts = ids.na.drop().select("id", _bucket(bounds)("id").alias("part")).groupBy("part")
+    inner = parts.agg(F.percentile_approx("id", [k / sub for k in range(1, sub)], 10 * sub).alias("cuts")).select(F.explode("cuts").alias("cut"))
+    return np.unique(np.r_[bounds, inner.distinct().toArrow().column("cut").to_numpy()])
+
+
+def _bucket(bounds: np.ndarray):
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, ids.fillna(0).to_numpy(), side="right")), dtype="int32")
+
+    return bucket
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", next_col: str = "next_text", bucket_bytes: int = 16_000_000) -> DataFrame:
     """(id, text, next text): each document with the text of the next one by descending id; after the last comes the first.
 
     Ids are cut into buckets of about equal size by their quantiles; inside a bucket the next row is
     found by a window, and the first row of the bucket that follows stands in at its end. Null text is
-    empty. Rows of one id are ordered by text; null ids come last.
+    empty. Rows of one id are ordered by text, equal rows follow one another; null ids come last. A
+    single row is its own next one. Other columns are left out. Empty in, empty out.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = min(MAX_BUCKETS, max(1, -(-size // bucket_bytes)))
-    bounds = np.array(slim.select("id").na.drop().approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [])
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, ids.fillna(0).to_numpy(), side="right")), dtype="int32")
-
+    bucket = _bucket(id_bounds(slim.select("id"), max(1, -(-size // bucket_bytes))))
     dealt = slim.withColumn("bucket", bucket("id"))
-    tops = slim.select("id").withColumn("bucket", bucket("id")).groupBy("bucket").agg(F.max("id").alias("top"))  # one row a bucket
-    heads = slim.join(F.broadcast(tops), F.col("id").eqNullSafe(F.col("top"))).groupBy("bucket", "id").agg(F.min("t").alias("t"))
+    tops = slim.select("id").withColumn("bucket", bucket("id")).groupBy("bucket").agg(F.max("id").alias("top"))
+    tops = materialise(tops, "bucket-tops")  # two numbers a bucket
     order = Window.orderBy(F.desc("bucket"))
-    ring = heads.select("id", "t", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("bucket"))
-    rows = dealt.withColumn("stand_in", F.lit(0)).unionByName(ring.withColumn("stand_in", F.lit(1)))
+    before = tops.select("bucket", "top", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy())).alias("stands_in"))
+    near = F.broadcast(before) if before.count() <= BROADCAST_TOPS else before
+    ring = slim.join(near, F.col("id").eqNullSafe(F.col("top"))).groupBy("id", "stands_in").agg(F.min("t").alias("t"))
+    rows = dealt.withColumn("stand_in", F.lit(0)).unionByName(ring.select("id", "t", F.col("stands_in").alias("bucket"), F.lit(1).alias("stand_in")))
     within = Window.partitionBy("bucket").orderBy("stand_in", F.desc_nulls_last("id"), "t")
     paired = rows.withColumn("next", F.lead("t").over(within)).filter("stand_in = 0")
     return paired.select(F.col("id").alias(id_col), F.col("t").alias(text_col), F.col("next").alias(next_col))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import answered, extended, fold, table, without
+from foliant.llm.common import answered, extended, fold, materialise, table, without
 
 BITS = 16
 SMOOTHING = 0.5
@@ -23,6 +23,8 @@ ROUNDS = 12
 UNDETERMINED = "und"
 #: Neighbouring trigrams share two of three letters, so a log-likelihood counts for a third.
 OVERLAP = 1 / 3
+#: A table of more languages than this does not fit a broadcast and is refused.
+MOST_LANGUAGES = 500
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -100,9 +102,17 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, train: Column, *, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from the texts and non-null languages of the documents where ``train`` holds; the counts cover all of them."""
+    """Learn from the texts and non-null languages of the documents where ``train`` holds; the counts cover all of them.
+
+    Null and empty texts add nothing, repeated rows count each; without any text the model knows no
+    language. More than MOST_LANGUAGES distinct languages are a ValueError.
+    """
     rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    counts = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "trigrams")
+    if counts.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = counts.toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     matrix = np.zeros((1 << BITS, len(langs)))
     place = {x: k for k, x in enumerate(langs)}

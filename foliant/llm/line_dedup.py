@@ -55,17 +55,19 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dropped = (
         at.join(hot, ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("id").alias("_id"), F.col("row").alias("_row"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .groupBy("id", "row")
+        .agg(F.collect_set("pos").alias("gone"))
     )
-    whole = without(docs, "n_lines", "n_dropped", "_id", "_row", "_gone", "_lines")
-    whole = whole.withColumn("_lines", F.split(text, "\n"))
-    joined = whole.join(dropped, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left")
-    n = F.size("_lines")
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
-    new_text = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in whole.columns if c != "_lines"]
-    return joined.select(*out, n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    whole = without(docs, "n_lines", "n_dropped")
+    own = [c for c in whole.columns if c != text_col]
+    packed = whole.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), text.alias("t"))  # so that no column's name matters
+    here = packed.select("own", "t", F.split("t", "\n").alias("lines"))
+    joined = here.join(dropped, F.col("own")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64("t") == F.col("row")), "left")
+    n = F.size("lines")
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    new_text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    out = [(new_text if c == text_col else F.col("own")[c]).alias(c) for c in whole.columns]
+    return joined.select(*out, n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

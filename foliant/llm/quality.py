@@ -61,7 +61,7 @@ def statistics(text: str) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, *, text_col: str = "text", out_col: str = "statistics", keep_text: bool = True) -> DataFrame:
-    """docs plus its whole texts' statistics as an array of floats; less the text if ``keep_text`` is false."""
+    """docs plus its whole texts' statistics as an array of floats; less the text if ``keep_text`` is false. Null counts as empty; row by row; a column of that name is replaced."""
     whole = without(docs, out_col)
     place = whole.columns.index(text_col)
     less = () if keep_text else (text_col,)
@@ -148,12 +148,16 @@ def grow(x: np.ndarray, y: np.ndarray) -> Forest:
     return Forest(bias, np.array(features, np.int64).reshape(shape), np.array(thresholds).reshape(shape), np.array(values).reshape(shape))
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Grow the trees from at most ``sample`` rows that have statistics and a non-null label, chosen by hash."""
+def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, ids: DataFrame | None = None) -> Forest:
+    """Grow the trees from at most ``sample`` rows that have statistics and a non-null label, those with the smallest hash.
+
+    ``ids`` may give the rows' ids where counting them in ``stats`` would cost a pass over texts. Null ids
+    and labels are left out, repeated labels all count; without rows the forest scores 0.5.
+    """
     marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("_label"))
     rows = stats.join(marked, id_col).select("statistics", "_label", F.xxhash64(F.lit(7), F.col(id_col), F.col("statistics")).alias("_at"))
-    # Only rows that can be among the smallest hashes are sorted, so that what partitions send to the driver does not grow with their number.
-    share = min(1.0, 2 * sample / max(1, marked.count()))
+    # Only rows that can be among the smallest hashes are sorted, twice as many as are taken, so that what partitions send to the driver does not grow with their number.
+    share = min(1.0, 2 * sample / max(1, (stats if ids is None else ids).select(id_col).join(marked, id_col).count()))
     if share < 1:
         rows = rows.filter(F.col("_at") < int(-(2**63) + share * 2**64))
     got = rows.orderBy("_at", "_label").limit(sample).select("statistics", "_label").toArrow()
@@ -162,7 +166,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
 
 
 def predict(stats: DataFrame, forest: Forest, *, threshold: float = THRESHOLD) -> DataFrame:
-    """stats plus score (probability of label 1) and predicted (1 if score >= threshold)."""
+    """stats plus score (probability of label 1) and predicted (1 if score >= threshold); columns of those names are replaced. Row by row; empty in, empty out."""
     whole = without(stats, "score", "predicted")
     place = whole.columns.index("statistics")
     schema = extended(whole, "score double, predicted int")
@@ -178,7 +182,10 @@ def predict(stats: DataFrame, forest: Forest, *, threshold: float = THRESHOLD) -
 
 
 def judge(docs: DataFrame, forest: Forest, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs plus score and predicted, in one pass over its whole texts and without a shuffle; columns of those names are replaced."""
+    """docs plus score and predicted, in one pass over its whole texts and without a shuffle; columns of those names are replaced.
+
+    Null and empty texts have zero statistics and a score like any other. Row by row, so repeated rows and null ids pass through; empty in, empty out.
+    """
     whole = without(docs, "score", "predicted")
     place = whole.columns.index(text_col)
     schema = extended(whole, "score double, predicted int")
@@ -194,9 +201,9 @@ def judge(docs: DataFrame, forest: Forest, *, text_col: str = "text", threshold:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
-    """The trees, from the texts and labels of documents where ``train`` holds. Statistics meet the labels, texts are not shuffled."""
+    """The trees, from the texts and labels of documents where ``train`` holds. Statistics meet the labels, texts are not shuffled. Edge cases are those of fit()."""
     known = docs.filter(train).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return fit(with_statistics(known, text_col="_text", keep_text=False), labels, id_col=id_col, label_col=label_col)
+    return fit(with_statistics(known, text_col="_text", keep_text=False), labels, id_col=id_col, label_col=label_col, ids=known)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

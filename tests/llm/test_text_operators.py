@@ -18,6 +18,10 @@ def test_line_dedup(docs):
     assert got[1] == ("x", 2, 1) and got[2] == ("x", 3, 2) and got[3] == (f"{b}\nend\n", 3, 0)
     assert got[4] == ("", 1, 0) and got[5] == ("", 1, 0) and got[None] == ("", 1, 1) and got[6] == ("x\nx", 2, 0)
     assert line_dedup.line_dedup(docs([])).count() == 0
+    more = {"_id": F.lit(7), "_lines": F.lit("kept"), "gone": F.col("doc_id"), "own": F.lit("o"), "id": F.lit("i"), "row": F.lit("r")}
+    out = line_dedup.line_dedup(d.withColumns(more))
+    assert out.columns == ["doc_id", "text", *more, "n_lines", "n_dropped"]
+    assert {(r["_id"], r["_lines"], r["own"], r["id"], r["row"]) for r in out.collect()} == {(7, "kept", "o", "i", "r")} and all(r["gone"] == r["doc_id"] for r in out.collect())
 
 
 def test_decontaminate(spark, docs):
@@ -42,6 +46,9 @@ def test_decontaminate(spark, docs):
     got = [(r.doc_id, r.n_words, r.n_hit, r.hit_items) for r in out.collect()]
     key = lambda x: (x[0] is None, x)
     assert sorted(got, key=key) == sorted(want, key=key)
+    more = {"_words": F.lit("w"), "found": F.lit("f"), "own": F.lit("o"), "id": F.lit("i"), "row": F.lit("r"), "valid": F.lit(1)}
+    clash = decontaminate.decontaminate(docs(rows[:3]).withColumns(more), spark.createDataFrame(items, "item_id long, text string"))
+    assert clash.columns[:8] == ["doc_id", "text", *more] and {tuple(r[c] for c in more) for r in clash.collect()} == {("w", "f", "o", "i", "r", 1)}
     postings = decontaminate.build_postings(docs([(1, "a b c x y a")]), spark.createDataFrame([("a",), ("c",)], "term string"))
     assert [(r.start, r.end) for r in decontaminate.proximity_matches(postings, ["a", "c"], 4).orderBy("start").collect()] == [(0, 2), (2, 5)]
     assert decontaminate.decontaminate(docs([]), spark.createDataFrame([], "item_id long, text string")).count() == 0
@@ -59,6 +66,17 @@ def test_language(docs):
     assert (got[100].lang_pred, got[100].score) == ("und", 0.0) and got[101].lang_pred == "und"
     mixed = language.identify(docs([(1, make("aa", 200) + " " + make("bb", 100))]), model).first()
     assert mixed.lang_pred == "aa" and [x.lang for x in mixed.languages] == ["aa", "bb"] and 0.5 < mixed.score < 0.8
+    # The proportions of a mixture are those that a search over a grid finds likeliest.
+    _, langs, counts = model.shared.value
+    mixture = language.Mixture(langs, counts)
+    for n_a, n_b in ((120, 60), (70, 90), (200, 40)):
+        text = make("aa", n_a) + " " + make("bb", n_b)
+        kinds, n = np.unique(language.trigrams(text), return_counts=True)
+        grid = np.linspace(0.01, 0.99, 99)
+        likely = [float(sum(c * math.log(g * math.exp(mixture.log[k, 0]) + (1 - g) * math.exp(mixture.log[k, 1])) for k, c in zip(kinds, n, strict=True))) for g in grid]
+        assert abs(dict(mixture.infer(text)[2])["aa"] - grid[int(np.argmax(likely))]) < 0.03
+    long = make("bb", 150_000)  # a very long text
+    assert mixture.infer(long)[0] == "bb"
     none = language.fit(d, F.lit(False))
     assert {r.lang_pred for r in language.identify(d.drop("lang"), none).collect()} == {"und"}
 
@@ -72,6 +90,19 @@ def test_quality(spark, docs):
     assert all(got[k].predicted == k % 2 for k in range(200)) and all(0 <= r.score <= 1 for r in got.values())
     assert len(got) == 203
     assert {r.score for r in quality.classify(docs(rows[:5]), labels, F.lit(False)).collect()} == {0.5}
+    values = np.random.default_rng(1).normal(size=(300, 5)).round(1)
+    forest = quality.grow(values, (values[:, 0] + values[:, 1] ** 2 > 0.8).astype(float))
+
+    def walk(row):
+        out = forest.bias
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            out += value[node]
+        return 1 / (1 + math.exp(-out))
+
+    assert np.allclose(forest.score(values), [walk(r) for r in values]) and quality.statistics("a b " * 500_000).shape == (len(quality.NAMES),)
     x = np.array([[0.0], [1.0]] * 50)
     f = quality.grow(x, np.array([0.0, 1.0] * 50))
     assert f.score(x)[0] < 0.1 and f.score(x)[1] > 0.9 and f.feature.shape[1] == 2 ** (quality.DEPTH + 1) - 1
@@ -211,10 +242,43 @@ def test_fingerprints(docs):
         assert sum(sizes) == len(t) and all(s <= fingerprints.MOST for s in sizes) and all(s >= fingerprints.LEAST for s in sizes[:-1])
 
 
+def test_fingerprints_against_a_chunker_that_goes_byte_by_byte():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (0, 1, 15, 16, 17, 40, 129, 3000)] + ["same " * 400, "x" * 300_000]
+
+    def chunks(t):
+        out, at = [], 0
+        while at < len(t):
+            cut = len(t)
+            for end in range(at + fingerprints.LEAST, min(len(t), at + fingerprints.MOST) + 1):
+                h = sum(int(fingerprints.GEAR[b]) << k for k, b in enumerate(reversed(t[end - fingerprints.WINDOW : end]))) % 2**32
+                mask = fingerprints.STRICT if end - at <= fingerprints.NORMAL else fingerprints.LOOSE
+                if h & int(mask) == 0 or end - at == fingerprints.MOST:
+                    cut = end
+                    break
+            out.append(t[at:cut])
+            at = cut
+        return out
+
+    raw = [t.encode() for t in texts]
+    for t, ends in zip(raw, fingerprints.chunk_ends(raw), strict=True):
+        assert [t[a:b] for a, b in zip([0, *ends], ends, strict=False)] == chunks(t)
+    made = fingerprints.digests(texts)
+    for a, x in enumerate(texts[3:9], 3):
+        for b, y in enumerate(texts[3:9], 3):
+            p, q = (Counter() for _ in range(2))
+            for c, t in ((p, x), (q, y)):
+                for piece in chunks(t.encode()):
+                    c[piece] += len(piece)
+            assert fingerprints.likeness_of(made[a], made[b]) == pytest.approx((p & q).total() / min(p.total(), q.total()))
+
+
 def test_next_document(docs):
     rows = [(k * 7 % 50, f"text {k}") for k in range(50)] + [(None, "n"), (3, "again")]
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = {(i, t): order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order)}
+    ids = docs(rows).select(F.col("doc_id").alias("id"))
+    assert 15 < len(fingerprints.id_bounds(ids, 24, top=4)) <= 30  # cut twice
     for size in (20, 10**6):
         got = fingerprints.with_next(docs(rows), bucket_bytes=size).collect()
         assert len(got) == len(rows) and all(want[r.doc_id, r.text] == r.next_text for r in got)

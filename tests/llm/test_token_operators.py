@@ -248,3 +248,20 @@ def test_pipeline(spark, tmp_path):
     enc = bpe.Encoder(bpe.Merges(bpe.read_spec(None)))
     assert enc.decode(out[300].ids).count(notice) == 0 and enc.decode(out[303].ids).count(notice) == 1
     assert [n for n, _ in p.STAGES] and p.ORACLE_SQL is None
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """No rows; and null and empty texts, repeated rows, null ids and columns of other names and of results' names: each stage keeps documents' columns."""
+    import corpus_pipeline as p
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same = "one two three four five six seven"
+    rows = [(1, same, "en", "s", 1), (1, same, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, same, "en", "s", 1), (4, same, "en", "s", 1)]
+    odd = spark.createDataFrame(rows, kind).withColumns({"own": F.lit(1), "ids": F.lit("x"), "component_id": F.lit("y"), "score": F.lit("z")})
+    for docs_, n in ((spark.createDataFrame([], kind), [0] * 5), (odd, [6, 6, 5, 6, 6])):
+        for (name, stage), many in zip(p.STAGES, n, strict=True):
+            out = stage(spark, docs_, str(tmp_path))
+            assert out.count() == many, name
+            assert name == "BPE encoding" or out.columns == p.COLUMNS
