@@ -58,7 +58,7 @@ def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> D
 def discard(spark: SparkSession, written: list[str]) -> None:
     """Free the space of tables that materialise() wrote and nothing reads any more: an empty table takes their place."""
     for path in written:
-        spark.range(0).write.mode("overwrite").parquet(path)
+        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
     written.clear()
 
 

@@ -37,8 +37,8 @@ KNOWN_WORDS = 50_000
 BATCH_SIGNATURES = 50_000
 #: Bands whose sets have no more shingles than this take each shingle for a cell.
 FINEST = 100
-#: Leaders that a signature's members are compared with at a time, from the second time on.
-LEADERS = (8, 64)
+#: Leaders that a signature's members are compared with at a time, after the first one.
+LEADERS = 64
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -264,6 +264,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _relabelled(labels: DataFrame, edges: DataFrame, written: list[str]) -> DataFrame:
     """Labels (id, c) after components are merged along edges between ids; ``written`` has the path of the old ones and gets the new one's."""
+    if not edges.limit(1).count():
+        return labels
     a, b = (labels.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     between = edges.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = connected(between).select(F.col("id").alias("c"), F.col("c").alias("to"))
@@ -336,16 +338,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = materialise(ids.select("id", F.col("id").alias("c")), "components", kept)
     labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links", now).unionByName(given), kept)
     discard(spark, now)
-    members, past, turn = members.select("sig", "id"), [], 0
+    members, past = members.select("sig", "id"), []
     while True:
         left = materialise(_open(members, labels), "members", now)
         if left.limit(1).count() == 0:
             break
-        many = LEADERS[min(turn, len(LEADERS) - 1)]
-        turn += 1
         ranked = materialise(left.join(sketches, "id"), "ranked", now)
         # Members of the smallest components lead: what is left soon belongs to one component.
-        seat = F.pmod(F.xxhash64("id"), F.lit(many))
+        seat = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
         lead = ranked.groupBy("sig", seat.alias("seat")).agg(F.min(F.struct("w", "id", "c", "n", "sketch")).alias("x"))
         lead = materialise(lead.select("sig", F.col("x.id").alias("x"), F.col("x.c").alias("cx"), F.col("x.n").alias("xn"), F.col("x.sketch").alias("xsketch")), "leaders", now)
         pairs = ranked.join(lead, "sig").filter((F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
