@@ -38,12 +38,13 @@ def mask_text(c: Column, token: str = TOKEN) -> Column:
     out = c
     for pattern in PATTERNS.values():
         out = F.regexp_replace(out, pattern, quoted)
-    # Each grouped run is judged by itself: the text between runs and the runs are put together again.
-    runs = F.regexp_extract_all(out, F.lit(GROUPED), F.lit(0))
-    gaps = F.split(out, GROUPED)
-    shown = F.transform(runs, lambda r: F.when(is_identifier(r), F.lit(token)).otherwise(r))
-    joined = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(shown, i), F.lit("")))))
-    return F.when(F.size(runs) > 0, joined).otherwise(out)
+
+    def grouped(text: Column) -> Column:
+        """Each grouped run is judged by itself: the gaps and the runs are put together again, in one pass."""
+        runs = F.transform(F.regexp_extract_all(text, F.lit(GROUPED), F.lit(0)), lambda r: F.when(is_identifier(r), F.lit(token)).otherwise(r))
+        return F.array_join(F.zip_with(F.split(text, GROUPED), runs, lambda gap, r: F.concat(gap, F.coalesce(r, F.lit("")))), "")
+
+    return F.get(F.transform(F.array(out), grouped), F.lit(0))  # the patterns before are worked out once
 
 
 def contains_pii(c: Column) -> Column:
@@ -71,6 +72,10 @@ def sensitive_key(c: Column, *, names: frozenset[str] = frozenset(), prefix: str
     return hit
 
 
+def _is_text(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.BinaryType))
+
+
 def _masked(c: Column, kind: T.DataType, token: str, names: frozenset[str], depth: int) -> Column:
     """A value of any type: text by its patterns, structs and maps by their names, arrays by item, bytes and what lies too deep whole."""
     if depth > MAX_DEPTH:
@@ -82,27 +87,58 @@ def _masked(c: Column, kind: T.DataType, token: str, names: frozenset[str], dept
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: _masked(x, kind.elementType, token, names, depth + 1))
     if isinstance(kind, T.MapType):
-        if isinstance(kind.valueType, T.StringType):
-            return F.transform_values(c, lambda k, v: F.when(sensitive_key(k, names=names), F.lit(token)).otherwise(mask_text(v, token)))
-        return F.transform_values(c, lambda k, v: _masked(v, kind.valueType, token, names, depth + 1))
+
+        def value(k: Column, v: Column) -> Column:
+            inner = _masked(v, kind.valueType, token, names, depth + 1)
+            if not isinstance(kind.keyType, T.StringType):
+                return inner
+            hit = sensitive_key(k, names=names)
+            return F.when(hit, F.lit(token)).otherwise(inner) if _is_text(kind.valueType) or depth + 1 > MAX_DEPTH else F.when(~hit, inner)
+
+        return F.transform_values(c, value)
     if isinstance(kind, T.StructType):
-        fields = [
-            (F.when(c[f.name].isNotNull(), F.lit(token)) if is_sensitive_name(f.name, names=names) else _masked(c[f.name], f.dataType, token, names, depth + 1)).alias(f.name)
-            for f in kind.fields
-        ]
+        fields = [(F.lit(token) if is_sensitive_name(f.name, names=names) else _masked(c[f.name], f.dataType, token, names, depth + 1)).alias(f.name) for f in kind.fields]
         return F.when(c.isNotNull(), F.struct(*fields))
     return c
 
 
 def mask_columns(df: DataFrame, *, token: str = TOKEN, names: frozenset[str] = frozenset()) -> DataFrame:
-    """Every column masked by its name and, however deeply nested, its content. The schema decides the plan, so nothing is inspected row by row."""
+    """Every column masked by its name and, however deeply nested, its content. The schema decides the plan, so nothing is inspected row by row.
+
+    A field with a sensitive name holds the token, whatever its value, null too. A map's value under a
+    sensitive key becomes the token if the map's values are text or bytes, and null otherwise, since one
+    type holds for all values of a map.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        out.append((F.when(c.isNotNull(), F.lit(token)) if is_sensitive_name(f.name, names=names) else _masked(c, f.dataType, token, names, 1)).alias(f.name))
+        out.append((F.lit(token) if is_sensitive_name(f.name, names=names) else _masked(c, f.dataType, token, names, 1)).alias(f.name))
     return df.select(*out)
 
 
+def holds_pii(c: Column, kind: T.DataType, *, token: str = TOKEN, names: frozenset[str] = frozenset()) -> Column:
+    """Whether a value of any type still holds personal data: text that a pattern matches, or a sensitive name or key whose value is neither the token nor null."""
+    out = F.lit(False)
+    if isinstance(kind, T.StringType):
+        out = contains_pii(c)
+    elif isinstance(kind, T.ArrayType):
+        out = F.exists(c, lambda x: holds_pii(x, kind.elementType, token=token, names=names))
+    elif isinstance(kind, T.MapType):
+        inner = F.exists(F.map_values(c), lambda v: holds_pii(v, kind.valueType, token=token, names=names))
+        named = F.lit(False)
+        if isinstance(kind.keyType, T.StringType):
+            named = F.exists(F.map_entries(c), lambda e: sensitive_key(e["key"], names=names) & _unmasked(e["value"], kind.valueType, token))
+        out = inner | named
+    elif isinstance(kind, T.StructType):
+        for f in kind.fields:
+            out = out | (_unmasked(c[f.name], f.dataType, token) if is_sensitive_name(f.name, names=names) else holds_pii(c[f.name], f.dataType, token=token, names=names))
+    return F.coalesce(out, F.lit(False))
+
+
+def _unmasked(c: Column, kind: T.DataType, token: str) -> Column:
+    return F.coalesce(c != token, F.lit(False)) if isinstance(kind, T.StringType) else c.isNotNull()
+
+
 def mask_attributes(c: Column, *, token: str = TOKEN, prefix: str = "") -> Column:
     """A map of attributes without its sensitive keys, its texts masked."""
     return F.transform_values(F.map_filter(c, lambda k, v: ~sensitive_key(k, prefix=prefix)), lambda k, v: mask_text(v, token))

@@ -53,13 +53,13 @@ def section_name(title: Column) -> Column:
 
 
 def heading_level(text: Column, level: Column) -> Column:
-    """1 for a heading whose letters are all upper case, else at least 2, one below the given level (null: 1)."""
-    shout = text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
+    """1 for a heading whose letters are all upper case, else at least 2, one below the given level (null: 1). Letters without case are not upper case."""
+    shout = text.rlike(r"\p{L}") & ~text.rlike(r"[\p{L}&&[^\p{Lu}]]")
     return F.when(shout, F.lit(1)).otherwise(F.greatest(F.lit(2), F.coalesce(level, F.lit(1)) + 1)).cast("int")
 
 
 #: What a printed page number looks like, and glyphs that mark list items without numbering them.
-PAGE_LABEL = r"(?i)^(?:(?:[A-Z]{1,3}-)?\d{1,4}|[ivxlcdm]{1,7})$"
+PAGE_LABEL = r"(?i)^(?:[A-Z]{1,3}-)?\d{1,4}$|^[ivxlcdm]{1,7}$"
 BULLETS = ["", "-", "*", "o", "·", "•", "●", "○", "▪", "■", "–", "—"]
 
 

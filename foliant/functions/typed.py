@@ -1,7 +1,8 @@
 """Printed text to typed values, as column expressions that stay in the JVM.
 
 A value that is not recognised is null, never a guess. Rates stay in percent. Amounts are
-DECIMAL(31,4), rates DECIMAL(20,6); numbers too large for them are null.
+DECIMAL(31,4), rates DECIMAL(20,6); numbers too large or with too many places for them are null, never
+rounded. White space is Unicode's, so that no-break spaces count.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ from foliant.functions.textnorm import WS
 
 #: Unit words, what a percentage is, index names of floating rates, and how dates are printed.
 UNITS = {"thousand": 1_000, "million": 1_000_000, "mm": 1_000_000, "billion": 1_000_000_000, "bn": 1_000_000_000}
-NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-MONEY = rf"(?i)({NUMBER})\s*(thousand|million|billion|mm|bn)?\b"
-PERCENT = r"(?i)(-?\d+(?:\.\d+)?)\s*(?:%|percent\b|per\s*cent\b)"
+MONEY = r"(?iU)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(thousand|million|billion|mm|bn)?\b"
+PERCENT = r"(?iU)(-?\d+(?:\.\d+)?)\s*(?:%|percent\b|per\s*cent\b)"
 FLOATING = r"(?i)\b(SOFR|LIBOR|EURIBOR|SONIA|ESTR|BBSW|CDOR|prime rate|treasury|index|benchmark|floating rate)\b"
-SPREAD = r"(?i)\s*(?:\+|\bplus\b)\s*"
-MONTH_DATE = r"\b([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
-SLASH_DATE = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
-ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
+SPREAD = r"(?iU)\s*(?:\+|\bplus\b)\s*"
+MONTH_DATE = r"(?U)\b([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+SLASH_DATE = r"(?U)\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
+ISO_DATE = r"(?U)\b(\d{4}-\d{2}-\d{2})\b"
 YEARS = r"(\d+(?:\.\d+)?)"
 FREQUENCIES = [
     ("semi_annual", r"(?i)\bsemi-?annual|twice a year|every six months\b"),
@@ -28,7 +28,7 @@ FREQUENCIES = [
     ("annual", r"(?i)\bannual(ly)?\b|once a year"),
     ("monthly", r"(?i)\bmonth"),
 ]
-CLASS = r"(?i)\bclass\s+([A-Z0-9][A-Z0-9\-]*(?:\([^)\s]*\))?)"
+CLASS = r"(?iU)\bclass\s+([A-Z0-9][A-Z0-9\-]*(?:\([^)\s]*\))?)"
 FOOTNOTE = r"\(\d+\)|\(\d+$"
 
 
@@ -38,8 +38,10 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def to_decimal(c: Column, kind: str = "decimal(20,6)") -> Column:
-    """A number printed with or without thousands separators; null if it is none."""
-    return F.regexp_replace(c, ",", "").try_cast(kind)
+    """A number printed with or without thousands separators; null if it is none or has more places than the type."""
+    plain = F.regexp_replace(c, ",", "")
+    places = int(kind.rstrip(")").split(",")[1])
+    return F.when(F.length(F.regexp_extract(plain, r"\.(\d*?)0*$", 1)) <= places, plain.try_cast(kind))
 
 
 def parse_money(c: Column) -> Column:
@@ -51,7 +53,9 @@ def parse_money(c: Column) -> Column:
     scale = F.lit(1)
     for word, by in UNITS.items():
         scale = F.when(F.lower(first["unit"]) == word, F.lit(by)).otherwise(scale)
-    return (to_decimal(first["number"], "decimal(20,4)") * scale.cast("decimal(10,0)")).cast("decimal(31,4)")
+    exact = to_decimal(first["number"], "decimal(27,10)") * scale.cast("decimal(10,0)")
+    amount = exact.try_cast("decimal(31,4)")
+    return F.when(amount == exact, amount)
 
 
 def parse_percent(c: Column) -> Column:

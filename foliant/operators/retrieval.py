@@ -110,6 +110,41 @@ def groups_for(target: str, blocks: DataFrame, tables: DataFrame, parts: DataFra
 CONTEXTS = "doc_id string, seq int, text string, block_indices array<int>"
 
 
+class Context:
+    """What a model reads at once: lines of blocks, with a page mark where the printed page changes. Its size is kept as it grows."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.size, self.page = limit, 0, None
+        self.lines: list[str] = []
+        self.used: list[int] = []
+
+    def _shown(self, items: list[tuple]) -> tuple[list[str], str | None]:
+        out, page = [], self.page
+        for _, kind, text, number, label, marker in items:
+            own = label or f"pdf {number}"
+            line = f"{'## ' if kind == 'heading' else ''}{marker + ' ' if marker else ''}{text or ''}"
+            out.append(line if own == page else f"[page {own}]\n{line}")
+            page = own
+        return out, page
+
+    def _grown(self, lines: list[str]) -> int:
+        return self.size + sum(map(len, lines)) + len(lines) - (not self.lines)
+
+    def has_room(self, items: list[tuple]) -> bool:
+        return self._grown(self._shown(items)[0]) <= self.limit
+
+    def add(self, items: list[tuple]) -> None:
+        lines, self.page = self._shown(items)
+        self.size = self._grown(lines)
+        self.lines += lines
+        self.used += [int(r[0]) for r in items]
+
+    def text(self) -> str:
+        """The lines; a single block that is too large is cut."""
+        whole = "\n".join(self.lines)
+        return whole if len(whole) <= self.limit else whole[: max(0, self.limit - len(CUT))] + CUT
+
+
 def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None = None) -> DataFrame:
     """(doc_id, seq, text, block_indices): contexts of at most ``limit`` characters filled with whole groups, one block at a time where a group alone is too large.
 
@@ -121,51 +156,20 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
     rows = once.join(blocks.select("doc_id", "idx", "kind", "text", "page", "page_label", "marker"), ["doc_id", "idx"])
 
     def fold(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        done: list[tuple[str, list[int]]] = []
-        lines: list[str] = []
-        used: list[int] = []
-        size, shown = 0, None  # characters so far and the page that the last line is on
-
-        def lay(items: list[tuple], page: str | None, first: bool) -> tuple[int, list[str], str | None]:
-            """The lines of items after a line on ``page``, with the characters that they add."""
-            out = []
-            for _, kind, text, number, label, marker in items:
-                own = label or f"pdf {number}"
-                line = f"{'## ' if kind == 'heading' else ''}{marker + ' ' if marker else ''}{text or ''}"
-                out.append(line if own == page else f"[page {own}]\n{line}")
-                page = own
-            return sum(map(len, out)) + len(out) - first, out, page
-
-        def flush() -> None:
-            nonlocal size, shown
-            if used:
-                text = "\n".join(lines)
-                done.append((text if len(text) <= limit else text[: max(0, limit - len(CUT))] + CUT, list(used)))
-            lines.clear()
-            used.clear()
-            size, shown = 0, None
-
-        def add(items: list[tuple]) -> None:
-            nonlocal size, shown
-            n, more, shown = lay(items, shown, not used)
-            size += n
-            lines.extend(more)
-            used.extend(int(r[0]) for r in items)
-
         columns = [some[c].tolist() for c in ("idx", "kind", "text", "page", "page_label", "marker")]
         ranked = sorted((((g["rank"], g["at"]), r) for g, r in zip(some["grp"].tolist(), zip(*columns, strict=True), strict=True)), key=lambda x: (x[0], x[1][0]))
+        made = [Context(limit)]
         for _, group in groupby(ranked, key=lambda x: x[0]):
             items = [r for _, r in group]
-            if size + lay(items, shown, not used)[0] <= limit:
-                add(items)
-                continue
-            flush()
-            for r in items:
-                if used and size + lay([r], shown, False)[0] > limit:
-                    flush()
-                add([r])
-        flush()
-        out = [(key[0], k, text, blocks) for k, (text, blocks) in enumerate(done)]
+            units = [items]
+            if not made[-1].has_room(items):
+                made.append(Context(limit))
+                units = [[r] for r in items]
+            for unit in units:
+                if made[-1].used and not made[-1].has_room(unit):
+                    made.append(Context(limit))
+                made[-1].add(unit)
+        out = [(key[0], k, c.text(), c.used) for k, c in enumerate(c for c in made if c.used)]
         return pd.DataFrame(out[:most], columns=["doc_id", "seq", "text", "block_indices"])
 
     return rows.groupBy("doc_id").applyInPandas(fold, CONTEXTS)

@@ -7,8 +7,12 @@ source. Sections are index ranges over the blocks, so no text is copied.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.textnorm import collapse, heading_level, is_page_label, list_marker, section_name
 
@@ -30,21 +34,23 @@ def clean_rows(rows: Column) -> Column:
 def blocks_from_items(items: DataFrame) -> DataFrame:
     """Blocks from a converter's items (doc_id, seq, label, text, page, level, marker, table_index, rows).
 
-    Footers that are page numbers label their page (the last one wins); a body text that looks like one
-    and ends its page does so where no footer did, and is dropped. Contents lists, headers, footers,
-    empty items and empty tables give no block. Indices are numbered anew per document.
+    Footers that are page numbers label their page (the last one wins). On a page without such a footer,
+    body text that looks like one labels it, and is dropped, if nothing that gives a block comes after it.
+    Contents lists, headers, footers, empty items and empty tables give no block. Indices are numbered
+    anew per document.
     """
-    text = F.when(F.col("label") == "table", table_text(clean_rows(F.col("rows")))).otherwise(collapse(F.col("text")))
+    label = F.col("label")
+    text = F.when(label == "table", table_text(clean_rows(F.col("rows")))).otherwise(collapse(F.col("text")))
     clean = items.withColumn("text", text)
     printed = is_page_label(F.col("text"))
-    page = Window.partitionBy("doc_id", "page").orderBy("seq")
-    clean = clean.withColumn("ends_page", F.lead("seq").over(page).isNull())
+    gives = ~label.isin("document_index", "page_header", "page_footer") & (F.coalesce(F.col("text"), F.lit("")) != "")
     per_page = Window.partitionBy("doc_id", "page")
-    footer = F.max_by(F.when((F.col("label") == "page_footer") & printed, F.col("text")), F.when((F.col("label") == "page_footer") & printed, F.col("seq"))).over(per_page)
-    trailing = (F.col("label") == "text") & printed & F.col("ends_page")
-    last = F.max(F.when(trailing, F.col("text"))).over(per_page)
-    labelled = clean.withColumn("page_label", F.coalesce(footer, last))
-    body = labelled.filter(~F.col("label").isin("document_index", "page_header", "page_footer") & ~trailing & (F.coalesce(F.col("text"), F.lit("")) != ""))
+    foot = F.when((label == "page_footer") & printed, F.struct("seq", "text"))
+    clean = clean.withColumn("foot", F.max(foot).over(per_page)["text"]).withColumn("end", F.max(F.when(gives, F.col("seq"))).over(per_page))
+    body_text = ~label.isin("title", "section_header", "list_item", "caption", "table")
+    trailing = F.coalesce(gives & body_text & printed & (F.col("seq") == F.col("end")) & F.col("foot").isNull(), F.lit(False))
+    labelled = clean.withColumn("page_label", F.coalesce("foot", F.max(F.when(trailing, F.col("text"))).over(per_page)))
+    body = labelled.filter(gives & ~trailing)
     kind = (
         F.when(F.col("label").isin("title", "section_header"), "heading")
         .when(F.col("label") == "list_item", "list_item")
@@ -96,31 +102,43 @@ def sections(blocks: DataFrame) -> DataFrame:
     """One row per heading: title, name (of a known section), level, heading_idx, start_idx, end_idx (exclusive), pages, path of titles above it.
 
     A section ends at the next heading of its level or above. Its path holds the sections around it,
-    outermost first. Both are interval joins inside a document.
+    outermost first. A document's headings pass once through a stack of open sections.
     """
     ends = blocks.groupBy("doc_id").agg((F.max("idx") + 1).alias("n"))
     heads = blocks.filter("kind = 'heading'").select("doc_id", F.col("idx").alias("heading_idx"), F.col("text").alias("title"), F.coalesce("level", F.lit(1)).alias("level"), F.col("page").alias("start_page"))
-    later = heads.select("doc_id", F.col("heading_idx").alias("next_idx"), F.col("level").alias("next_level"))
-    stop = (F.col("next_idx") > F.col("heading_idx")) & (F.col("next_level") <= F.col("level"))
-    bounded = (
-        heads.alias("h").join(later.alias("l"), (F.col("h.doc_id") == F.col("l.doc_id")) & stop, "left")
-        .groupBy("h.doc_id", "heading_idx", "title", "level", "start_page").agg(F.min("next_idx").alias("next_idx"))
-        .join(ends, "doc_id").withColumn("end_idx", F.coalesce("next_idx", "n")).drop("next_idx", "n")
-    )
-    around = bounded.select("doc_id", F.col("heading_idx").alias("up_idx"), F.col("end_idx").alias("up_end"), F.col("title").alias("up_title"))
-    inside = (F.col("up_idx") < F.col("heading_idx")) & (F.col("heading_idx") < F.col("up_end"))
-    paths = (
-        bounded.alias("s").join(around.alias("a"), (F.col("s.doc_id") == F.col("a.doc_id")) & inside)
-        .groupBy("s.doc_id", "heading_idx").agg(F.array_sort(F.collect_list(F.struct("up_idx", "up_title"))).alias("ups"))
-        .select("doc_id", "heading_idx", F.col("ups.up_title").alias("path"))
-    )
+    schema = T.StructType([*heads.schema.fields, T.StructField("next_idx", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        still: list[tuple] = []  # open sections, outermost first, each with its path
+
+        def table(done: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*done, strict=True)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.name for f in schema.fields])
+
+        for batch in batches:
+            kinds = [*batch.schema.types, pa.int32(), pa.list_(pa.string())]
+            done: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc, idx, title, level = row[:4]
+                while still and (still[-1][0] != doc or still[-1][3] >= level):
+                    *own, path = still.pop()
+                    done.append((*own, idx if own[0] == doc else None, path))
+                still.append((*row, [*still[-1][-1], still[-1][2]] if still else []))
+            if done:
+                yield table(done)
+        if still:
+            yield table([(*own, None, path) for *own, path in still])
+
+    closed = heads.repartition("doc_id").sortWithinPartitions("doc_id", "heading_idx").mapInArrow(close, schema)
+    bounded = closed.join(ends, "doc_id").withColumn("end_idx", F.coalesce("next_idx", "n")).drop("next_idx", "n")
     last_page = blocks.select("doc_id", (F.col("idx") + 1).alias("end_idx"), F.col("page").alias("last_page"))
-    out = bounded.join(paths, ["doc_id", "heading_idx"], "left").join(last_page, ["doc_id", "end_idx"], "left")
+    out = bounded.join(last_page, ["doc_id", "end_idx"], "left")
     start = F.col("heading_idx") + 1
     return out.select(
         "doc_id", "title", section_name(F.col("title")).alias("name"), "level", "heading_idx", start.alias("start_idx"), "end_idx", "start_page",
         F.when(F.col("end_idx") > start, F.col("last_page")).otherwise(F.col("start_page")).alias("end_page"),
-        F.coalesce("path", F.array().cast("array<string>")).alias("path"),
+        "path",
     )
 
 

@@ -37,6 +37,18 @@ def test_items_to_blocks(spark):
     assert got == [(0, "heading", "The NOTES", "S-4", 1, None), (1, "list_item", "pay", "S-4", None, None), (2, "text", "x", "7", None, None), (3, "table", "a | \nb | c", None, None, None)]
 
 
+def test_page_numbers_at_the_end_of_pages(spark):
+    rows = [
+        (1, "text", "7"), (1, "page_footer", "S-4"),  # a footer labels the page: the body's number stays
+        (2, "text", "x"), (2, "paragraph", " 9 "), (2, "page_footer", "Confidential"), (2, "text", " "),  # other footers and empty items do not come after it
+        (3, "text", "5"), (3, "list_item", "6"),  # not the last, and no body text
+        (4, "caption", "8"), (4, "page_footer", "ii"), (4, "page_footer", "iii"),
+    ]
+    items = spark.createDataFrame([("d", k, label, t, p, None, None, None, None) for k, (p, label, t) in enumerate(rows)], "doc_id string, seq int, label string, text string, page int, level int, marker string, table_index int, rows array<array<string>>")
+    got = [(r.page, r.text, r.page_label) for r in structure.blocks_from_items(items).orderBy("idx").collect()]
+    assert got == [(1, "7", "S-4"), (2, "x", "9"), (3, "5", None), (3, "6", None), (4, "8", "iii")]
+
+
 def test_waterfall(doc):
     found = waterfalls.waterfalls(*doc)
     w = found.collect()
@@ -69,9 +81,64 @@ def test_read_steps(blocks, texts):
 def test_marks():
     assert [waterfalls.roman(x) for x in ("i", "iv", "ix", "xxxix", "q")] == [1, 4, 9, 39, None]
     assert waterfalls.ORDINALS["thirty-ninth"] == 39 and waterfalls.ORDINALS["twentieth"] == 20
-    assert waterfalls.first_mark("Class A-1 under Section 4(2)") is None
-    assert [m.value for m in waterfalls.marks("the first priority payment", "ordinal_word")] == []
-    assert waterfalls.table_steps([["No", "x"], ["1", "a"], ["2.", "b"], ["3", "c"], ["9", "d"]], 4, None)[2]["text"] == "c"
+    assert waterfalls.first_of_list("Class A-1 under Section 4(2)") is None
+    assert waterfalls.first_of_list("(i) x").style == "paren_roman" and waterfalls.first_of_list("x: (a) y; (1) z").style == "paren_alpha"
+    assert [m.value for m in waterfalls.token_stream("the first priority payment")] == []
+    assert [(m.style, m.value) for m in waterfalls.token_stream("First, to A; and second, to B. Third, to C")] == [("ordinal_word", 1), ("ordinal_word", 3)]
+
+
+def test_table_steps(spark):
+    tables_ = {
+        0: [["No", "x"], [], ["1", "a"], ["2.", " b "], ["3", "c", None, "d"], ["9", "e"]],
+        1: [["(i) to A", "x"], ["(ii) to B", ""], ["(iii) to C", "y"], ["(iv) to D", "z"]],
+        2: [["First, A", ""], ["Second", "B"], ["third: C", "D"]],
+        3: [["1", "a"], ["2", "b"]],
+        4: [["(a) x", ""], ["(b) y", ""], ["3", "z"]],
+        5: [["head (1)", ""], ["1. one", "a"], ["2. two", "b"], ["3. three", "c"], ["(4) four", "d"]],
+        6: [["(xxxviii) late", ""], [None, "x"]],
+    }
+    df = spark.createDataFrame([("d", k, 4, None, r, None, "s") for k, r in tables_.items()], structure.TABLES)
+    got = {r.table_index: [(s.ordinal, s.marker, s.text) for s in r.steps] for r in waterfalls.table_steps(df).collect()}
+    assert got == {
+        0: [(1, "1", "a"), (2, "2.", "b"), (3, "3", "c d")],
+        1: [(1, "(i)", "to A x"), (2, "(ii)", "to B"), (3, "(iii)", "to C y"), (4, "(iv)", "to D z")],
+        2: [(1, "First", "A"), (2, "Second", "B"), (3, "third", "C D")],
+        5: [(1, "1", "one a"), (2, "2", "two b"), (3, "3", "three c")],
+    }
+
+
+def test_lists_and_tables_together(spark):
+    """Lists come before tables of the same page and title; a caption names a table's list; a heading's list wins over a lead-in's."""
+    rows = [("heading", "Priority of Payments", None), ("text", "applied in the following order: (1) a; (2) b; (3) c", None), ("table", "t", 0), ("heading", "Other", None), ("text", "Fees are paid as follows: First, x; Second, y; Third, z. More. It is shared in the order of priority: (a) p; (b) q; (c) r", None), ("table", "t", 1)]
+    b = spark.createDataFrame([("d", k, kind, t, 1, None, 1 if kind == "heading" else None, None, i) for k, (kind, t, i) in enumerate(rows)], structure.BLOCKS)
+    grid = [["1", "one"], ["2", "two"], ["3", "three"]]
+    t = spark.createDataFrame([("d", 0, 1, None, grid, "Priority of Payments", "s"), ("d", 1, 1, None, grid, "Distributions", "s")], structure.TABLES)
+    got = waterfalls.waterfalls(b, t, structure.sections(b)).orderBy("seq").collect()
+    assert [(r.title, r.form, r.first_idx, len(r.steps), r.section_path) for r in got] == [
+        ("Distributions", "table", 5, 3, ["Other"]),
+        ("Fees are paid as follows: First, x; Second, y; Third, z. More. It is shared in the order of priority:", "list", 4, 3, ["Other"]),
+        ("Priority of Payments", "list", 1, 3, ["Priority of Payments"]),
+        ("Priority of Payments", "table", 2, 3, ["Priority of Payments"]),
+    ]
+
+
+def test_sections_of_many_headings(spark):
+    """Ends and paths by the stack equal those by comparing all pairs, over documents with up to 400 headings."""
+    import random
+
+    rng = random.Random(5)
+    levels = {d: [rng.randint(1, 6) for _ in range(rng.choice([1, 7, 400]))] for d in ("a", "b", "c", "d")}
+    b = spark.createDataFrame([(d, k, "heading", f"{d}{k}", 1, None, v, None, None) for d, some in levels.items() for k, v in enumerate(some)], structure.BLOCKS)
+    got = {(r.doc_id, r.heading_idx): (r.end_idx, r.path) for r in structure.sections(b).collect()}
+    ends = {(d, k): next((j for j in range(k + 1, len(some)) if some[j] <= v), len(some)) for d, some in levels.items() for k, v in enumerate(some)}
+    assert got == {(d, k): (e, [f"{d}{j}" for j in range(k) if ends[d, j] > k]) for (d, k), e in ends.items()}
+
+
+def test_fallback_tables(spark):
+    one = spark.createDataFrame([("d", 0, 1, None, [["", " "]], None, "first"), ("d", 1, 1, None, [["a"]], None, "first"), ("d", 2, 1, None, None, None, "first")], structure.TABLES)
+    two = spark.createDataFrame([("d", 0, 1, None, [[" b  c "]], None, "second"), ("d", 1, 1, None, [["z"]], None, "second")], structure.TABLES)
+    got = {r.table_index: (r.rows, r.source) for r in structure.with_fallback(one, two).collect()}
+    assert got == {0: ([["b c"]], "second"), 1: ([["a"]], "first")}
 
 
 def test_citations(spark, doc):

@@ -101,6 +101,38 @@ def test_mask_text(spark):
     table(spark, [(t, bool(t) and t != m) for t, m in MASKED], masking.contains_pii)
 
 
+def test_mask_text_is_linear(spark):
+    import time
+
+    df = spark.createDataFrame([(" x ".join(["12-34-56", "4485 2938 1029"] * n),) for n in (400, 4000) for _ in range(2)], "t string")
+    took = []
+    for n in (400, 4000, 400, 4000):
+        began = time.time()
+        one = df.filter(F.length("t") < 20_000 if n == 400 else F.length("t") >= 20_000).select(masking.mask_text(F.col("t")).alias("x")).first().x
+        took.append(time.time() - began)
+        assert one.count("[REDACTED]") == n and one.count("12-34-56") == n
+    assert took[3] < 10
+
+
+def test_mask_maps_of_any_values(spark):
+    df = spark.sql("""select map('account_number', 12345678901L, 'k', 5L) as m, map('ssn', named_struct('a', 'x'), 'k', named_struct('a', 'j@k.org')) as s,
+        map('email', array('joe'), 'k', array('joe', 'c@d.org')) as a, map(7, 'e@f.org') as i, named_struct('email', cast(null as string), 'deep', map('dob', map('k', 'v'))) as n, array(named_struct('loan_id', 3)) as l""")
+    r = masking.mask_columns(df).first()
+    assert r.m == {"account_number": None, "k": 5} and r.s["ssn"] is None and r.s["k"].a == "[REDACTED]"
+    assert r.a == {"email": None, "k": ["joe", "[REDACTED]"]} and r.i == {7: "[REDACTED]"}
+    assert (r.n.email, r.n.deep, r.l[0].loan_id) == ("[REDACTED]", {"dob": None}, "[REDACTED]")
+    flags = lambda d: d.select(*[masking.holds_pii(F.col(f.name), f.dataType).alias(f.name) for f in d.schema]).first().asDict()
+    assert flags(df) == dict.fromkeys("msainl", True)
+    assert flags(masking.mask_columns(df)) == dict.fromkeys("msainl", False)
+
+
+def test_no_amount_is_rounded_or_missed(spark):
+    table(spark, [("$1.23456 billion", Decimal("1234560000")), ("$1.2\u00a0billion", Decimal("1200000000")), ("1,000.12345", None), ("1,000.12340", Decimal("1000.1234")), ("1.0000000001 mm", Decimal("1000000.0001")), ("1.00000000001 mm", None)], typed.parse_money)
+    table(spark, [("0.1234567%", None), ("0.123456%", Decimal("0.123456")), ("4.02\u00a0percent", Decimal("4.02")), ("0.1000000000 %", Decimal("0.1"))], typed.parse_percent)
+    table(spark, [("September\u00a016, 2025", datetime.date(2025, 9, 16))], typed.parse_date)
+    table(spark, [("A 条款", 2), ("A", 1), ("条款", 2), ("A1 (B)", 1), ("Ab", 2)], lambda c: textnorm.heading_level(c, F.lit(1)))
+
+
 def test_mask_columns(spark):
     df = spark.sql("select 'a@b.co' as note, named_struct('borrowerName', 'X', 'amount', 5) as s, map('loan_id', '1', 'k', 'c@d.org') as m, array('e@f.net') as a, X'00' as raw")
     r = masking.mask_columns(df).first()
