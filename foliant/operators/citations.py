@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.textnorm import citation_key
+from foliant.functions.textnorm import citation_key, collapse
 from foliant.functions.typed import parse_percents
 
 MIN_QUOTE, MIN_NAME = 2, 5
+#: Quotes that are broadcast at most.
+MOST_QUOTES = 10_000
 #: Sentences that name a trigger without setting its threshold.
 NO_THRESHOLD = r"(?i)\bvot(e|es|ed|ing)\b|quorum|holders? (of|evidencing|representing|holding)|historical|ranged from|\bpeak\b|prior (securitized )?pools"
 
@@ -30,7 +32,7 @@ def cite(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     rank = F.struct(F.when(place > 0, place).otherwise(F.lit(1 << 40)).alias("p"), F.col("idx").alias("i"))
     best = hits.groupBy("doc_id", "_q", "_prefer").agg(F.min_by(F.struct("page", "page_label"), rank).alias("_at"))
     out = keyed.join(best, ["doc_id", "_q", "_prefer"], "left")
-    citation = F.when(F.col("_at").isNotNull(), F.struct("quote", F.col("_at.page").alias("page"), F.col("_at.page_label").alias("page_label")))
+    citation = F.when(F.col("_at").isNotNull(), F.struct(F.regexp_replace("quote", r"(?U)^\s+|\s+$", "").alias("quote"), F.col("_at.page").alias("page"), F.col("_at.page_label").alias("page_label")))
     return out.withColumn("citation", citation).select(*quotes.columns, "citation")
 
 
@@ -46,3 +48,22 @@ def recover_thresholds(triggers: DataFrame, blocks: DataFrame) -> DataFrame:
     fit = fit.withColumn("values", parse_percents(F.col("sentence"))).filter(F.size("values") > 0)
     best = fit.groupBy("doc_id", "_name", "prefer").agg(F.min_by(F.struct(F.btrim("sentence").alias("sentence"), "values"), F.struct("_p", "_s")).alias("recovered"))
     return named.join(best, ["doc_id", "_name", "prefer"], "left").select(*triggers.columns, "recovered")
+
+
+def quoted_in(quotes: DataFrame, docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, id) of the documents whose text holds a quote (columns key, quote), case and white space aside, whatever the document.
+
+    A word inside a quote, neither its first nor its last, stands in such a text as a whole word, so the
+    longest of them is the join's key and texts meet only the quotes that share it. Quotes of one or two
+    words, few by their nature, are compared with all texts. Null and empty quotes are found nowhere.
+    """
+    plain = lambda c: F.lower(collapse(c))
+    q = quotes.select(key, plain(F.col("quote")).alias("q")).filter("q <> ''").withColumn("ws", F.split("q", " "))
+    inner = F.transform(F.slice("ws", 2, F.size("ws") - 2), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    long = q.filter(F.size("ws") >= 3).select(key, "q", F.array_min(inner)["w"].alias("w"))
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), plain(F.col(f"`{text_col}`")).alias("t"))
+    words = text.select("id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    near = words.join(F.broadcast(long), "w") if long.count() <= MOST_QUOTES else words.join(long, "w")
+    hits = near.filter(F.contains("t", "q")).select(key, "id")
+    short = text.join(q.filter(F.size("ws") < 3).select(key, "q"), F.contains("t", "q")).select(key, "id")
+    return hits.unionByName(short).withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,9 +155,9 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
     once = groups.groupBy("doc_id", "idx").agg(F.min("grp").alias("grp"))
     rows = once.join(blocks.select("doc_id", "idx", "kind", "text", "page", "page_label", "marker"), ["doc_id", "idx"])
 
-    def fold(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        columns = [some[c].tolist() for c in ("idx", "kind", "text", "page", "page_label", "marker")]
-        ranked = sorted((((g["rank"], g["at"]), r) for g, r in zip(some["grp"].tolist(), zip(*columns, strict=True), strict=True)), key=lambda x: (x[0], x[1][0]))
+    def fold(some: pa.Table) -> pa.Table:
+        columns = [some.column(c).to_pylist() for c in ("idx", "kind", "text", "page", "page_label", "marker")]
+        ranked = sorted((((g["rank"], g["at"]), r) for g, r in zip(some.column("grp").to_pylist(), zip(*columns, strict=True), strict=True)), key=lambda x: (x[0], x[1][0]))
         made = [Context(limit)]
         for _, group in groupby(ranked, key=lambda x: x[0]):
             items = [r for _, r in group]
@@ -169,10 +169,11 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
                 if made[-1].used and not made[-1].has_room(unit):
                     made.append(Context(limit))
                 made[-1].add(unit)
-        out = [(key[0], k, c.text(), c.used) for k, c in enumerate(c for c in made if c.used)]
-        return pd.DataFrame(out[:most], columns=["doc_id", "seq", "text", "block_indices"])
+        doc = some.column("doc_id")[0].as_py()
+        out = [{"doc_id": doc, "seq": k, "text": c.text(), "block_indices": c.used} for k, c in enumerate(c for c in made if c.used)]
+        return pa.Table.from_pylist(out[:most], schema=pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("block_indices", pa.list_(pa.int32()))]))
 
-    return rows.groupBy("doc_id").applyInPandas(fold, CONTEXTS)
+    return rows.groupBy("doc_id").applyInArrow(fold, CONTEXTS)
 
 
 def build_contexts(target: str, blocks: DataFrame, tables: DataFrame, parts: DataFrame, limit: int) -> DataFrame:

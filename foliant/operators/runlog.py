@@ -31,9 +31,15 @@ def masked_spans(spans: DataFrame) -> DataFrame:
 
 
 def with_status(spans: DataFrame) -> DataFrame:
-    """spans plus status: ERROR where an error is recorded or a child failed."""
-    failed = spans.filter("error IS NOT NULL").select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct().withColumn("child_failed", F.lit(True))
-    out = spans.join(failed, ["trace_id", "span_id"], "left")
+    """spans plus status: ERROR where an error is recorded, there or in any span below, up to the root. One join for each level that errors climb."""
+    up = spans.select("trace_id", "span_id", "parent_id")
+    climbing = spans.filter("error IS NOT NULL").select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct()
+    failed = climbing
+    while climbing.limit(1).count():
+        above = up.join(climbing, ["trace_id", "span_id"]).select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct()
+        climbing = above.join(failed, ["trace_id", "span_id"], "left_anti")
+        failed = failed.unionByName(climbing)
+    out = spans.join(failed.withColumn("child_failed", F.lit(True)), ["trace_id", "span_id"], "left")
     return out.withColumn("status", F.when(F.col("error").isNotNull() | F.coalesce("child_failed", F.lit(False)), "ERROR").otherwise("OK")).drop("child_failed")
 
 

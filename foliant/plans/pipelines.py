@@ -7,10 +7,11 @@ rereads them (or persists them) so that a long job computes each once and plans
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import assembly, checks, retrieval, scoring, structure, waterfalls
@@ -54,27 +55,44 @@ PAYLOADS = {
 NEEDED = {"facts": "asset_class", "tranches": "items", "triggers": "items", "coverage": "items"}
 
 
+FIRST_WAIT, LONGEST_WAIT = 0.5, 8.0
+
+
+def is_passing(error: Exception) -> bool:
+    """Whether a call may succeed if it is made again: no connection, a timeout, too many requests, or a fault of the server."""
+    status = next((s for name in ("status_code", "status", "code") if isinstance(s := getattr(error, name, None), int)), 0)
+    return isinstance(error, (ConnectionError, TimeoutError)) or status == 429 or 500 <= status < 600
+
+
+def with_retries(call: Callable[[str, str], str], retries: int, wait: Callable[[float], None] = time.sleep) -> Callable[[str, str], str]:
+    """The call, made up to ``retries`` times while its errors are passing, each time after twice the wait."""
+
+    def run(target: str, text: str) -> str:
+        for attempt in range(retries):
+            try:
+                return call(target, text)
+            except Exception as error:
+                if attempt == retries - 1 or not is_passing(error):
+                    raise
+                wait(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt))
+        raise ValueError("no attempt is allowed")
+
+    return run
+
+
 def call_model(asked: DataFrame, extractor: Callable[[], Callable[[str, str], str]], *, retries: int = 3) -> DataFrame:
     """asked (doc_id, target, seq, text, block_indices) plus answer, input_tokens, output_tokens.
 
-    ``extractor`` builds, once a worker, the function from (target, text) to a JSON string. A
-    ConnectionError is tried again inside the task, so that Spark does not repeat calls that succeeded,
-    and fails the job in the end; what the answer is worth is judged afterwards.
+    ``extractor`` builds, once a worker, the function from (target, text) to a JSON string. Passing errors
+    are tried again inside the task, so that Spark does not repeat calls that succeeded, and others fail
+    the job; what the answer is worth is judged afterwards.
     """
     schema = "doc_id string, target string, seq int, text string, block_indices array<int>, answer string, input_tokens long, output_tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = extractor()
+        call = with_retries(extractor(), retries)
         for batch in batches:
-            answers = []
-            for target, text in zip(batch["target"], batch["text"], strict=True):
-                for attempt in range(retries):
-                    try:
-                        answers.append(call(target, text))
-                        break
-                    except ConnectionError:
-                        if attempt == retries - 1:
-                            raise
+            answers = list(map(call, batch["target"], batch["text"]))
             sizes = [len(a or "") for a in answers]
             yield batch.assign(answer=answers, input_tokens=(batch["text"].str.len() / retrieval.CHARS_PER_TOKEN).astype("int64"), output_tokens=[int(n / retrieval.CHARS_PER_TOKEN) for n in sizes])
 
@@ -99,7 +117,8 @@ def parse_answers(answers: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
             ok = last.select("doc_id", F.lit(0).alias("seq"), "l.prefer", "l.x")
             raw["totals"] = ok.select("doc_id", "prefer", "x.stated_total").filter("stated_total IS NOT NULL")
         rows = ok.select("doc_id", F.col("seq").alias("c"), "prefer", F.posexplode("x.items").alias("p", "i"))
-        raw[target] = rows.select("doc_id", (F.col("c") * 1000 + F.col("p")).cast("int").alias("seq"), "prefer", "i.*")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "p")) - 1
+        raw[target] = rows.select("doc_id", place.alias("seq"), "prefer", "i.*")
     return raw, bad
 
 

@@ -52,21 +52,39 @@ def blocks_from_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out
 
 
-#: Block elements that blocks_from_html tells apart, with the level of headings.
-_PIECE = r"(?is)<(h[1-6]|p|li|td|th|caption|figcaption)\b[^>]*>(.*?)(?=</?(?:h[1-6]|p|li|td|th|tr|table|ul|ol|div|article|section|nav|footer|header|body|caption|figcaption)\b)"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Elements that begin and end a block of text, and named characters.
+_BLOCK = r"(?:h[1-6]|p|li|td|th|tr|table|thead|tbody|tfoot|ul|ol|dl|dt|dd|div|article|section|main|nav|aside|footer|header|body|html|caption|figcaption|figure|blockquote|pre|address|form|fieldset|details|summary|hr)"
+_PIECE = rf"(?is)<(/?{_BLOCK})\b[^>]*>(.*?)(?=</?{_BLOCK}\b|\z)"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&pound;": "£", "&sect;": "§", "&amp;": "&"}
+_NUMBERED = r"&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(ref: Column) -> Column:
+    """The character of a numeric reference."""
+    inner = F.regexp_extract(ref, "#[xX]?([0-9a-fA-F]+)", 1)
+    code = F.when(ref.rlike("#[xX]"), F.conv(inner, 16, 10)).otherwise(inner)
+    known = code.cast("long").between(1, 0xD7FF) | code.cast("long").between(0xE000, 0x10FFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
+def _decoded(c: Column) -> Column:
+    """Text with its character references read, the ampersand's last."""
+    refs = F.transform(F.regexp_extract_all(c, F.lit(_NUMBERED), F.lit(0)), _character)
+    out = F.array_join(F.zip_with(F.split(c, _NUMBERED), refs, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
+    for k, v in _ENTITIES.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return out
 
 
 def blocks_from_html(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Blocks from HTML: headings h1 to h6 with their level, paragraphs, list items, cells and captions, in order; scripts and styles go."""
+    """Blocks from HTML: headings h1 to h6 with their level, list items, captions, and the text of all other block elements, in order; scripts, styles and the head go."""
     bare = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    tags, inner = F.regexp_extract_all(bare, F.lit(_PIECE), F.lit(1)), F.regexp_extract_all(bare, F.lit(_PIECE), F.lit(2))
+    whole = F.concat(F.lit("<body>"), bare)
+    tags, inner = F.regexp_extract_all(whole, F.lit(_PIECE), F.lit(1)), F.regexp_extract_all(whole, F.lit(_PIECE), F.lit(2))
     rows = pages.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(F.arrays_zip(tags.alias("tag"), inner.alias("inner"))).alias("n", "x"))
-    text = F.regexp_replace(F.col("x.inner"), r"(?s)<[^>]*>", " ")
-    for k, v in _ENTITIES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
+    text = _decoded(F.regexp_replace(F.col("x.inner"), r"(?s)<[^>]*>", " "))
     rows = rows.select("doc_id", "n", F.lower("x.tag").alias("tag"), collapse(text).alias("text")).filter("text <> ''")
-    kind = F.when(F.col("tag").startswith("h"), "heading").when(F.col("tag") == "li", "list_item").when(F.col("tag").endswith("caption"), "caption").otherwise("text")
+    kind = F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "li", "list_item").when(F.col("tag").isin("caption", "figcaption"), "caption").otherwise("text")
     order = Window.partitionBy("doc_id").orderBy("n")
     none = F.lit(None)
     return rows.select(

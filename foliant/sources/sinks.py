@@ -22,11 +22,13 @@ def write_json(df: DataFrame, path: str, *, partition: str | None = None) -> Non
 
 
 def markdown_table(df: DataFrame, *, most: int = 500) -> str:
-    """A small result, at most ``most`` rows, as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; of a larger one the first ``most`` rows, and a line that says so."""
+    rows = df.limit(most + 1).collect()
+    more, rows = len(rows) > most, rows[:most]
     show = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows])
+    lines += ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]
+    return "\n".join(lines) + (f"\n\nOnly the first {most} of {df.count()} rows are shown." if more else "")
 
 
 def report(averages: DataFrame, gate: DataFrame, issues: DataFrame) -> str:

@@ -145,6 +145,11 @@ def test_citations(spark, doc):
     q = spark.createDataFrame([("harbor", "$100,400,000", [2]), ("harbor", "4.057 %", []), ("harbor", "absent words", []), ("harbor", "x", []), ("harbor", "Harbor  auto trust", [1, 0])], "doc_id string, quote string, prefer array<int>")
     got = {r.quote: r.citation for r in citations.cite(q, doc[0]).collect()}
     assert got["$100,400,000"].page == 2 and got["4.057 %"].page == 2
+    strip = spark.createDataFrame([("harbor", "\u00a0 4.057 % ", [])], "doc_id string, quote string, prefer array<int>")
+    assert citations.cite(strip, doc[0]).first().citation.quote == "4.057 %"
+    texts = spark.createDataFrame([(1, "x Alpha  beta\ngamma. y"), (2, "alphabet beta gamma"), (3, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma"), (2, "pha"), (3, "alpha beta"), (4, ""), (5, None), (6, "beta gam"), (7, "a b"), (8, "a c")], "k int, quote string")
+    assert sorted(tuple(r) for r in citations.quoted_in(asked, texts, "k").collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (6, 1), (6, 2), (7, 1)]
     assert got["absent words"] is None and got["x"] is None and got["Harbor  auto trust"].page == 1
     t = spark.createDataFrame([("harbor", "Delinquency Trigger", [15]), ("harbor", "Tiny", [15]), ("harbor", "Holders", [15])], "doc_id string, trigger_type string, prefer array<int>")
     got = {r.trigger_type: r.recovered for r in citations.recover_thresholds(t, doc[0]).collect()}

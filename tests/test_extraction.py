@@ -183,3 +183,114 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("from").collect()
     assert got and got[0].n == 2 and got[0].mean == 0.5
+
+
+def test_retries():
+    """Passing errors are tried again after longer and longer waits, others are not."""
+
+    class Refused(Exception):
+        def __init__(self, status):
+            self.status_code = status
+
+    def run(errors, retries=4):
+        left, waits = list(errors), []
+
+        def call(target, text):
+            if left:
+                raise left.pop(0)
+            return "{}"
+
+        try:
+            return pipelines.with_retries(call, retries, waits.append)("facts", "x"), waits
+        except Exception as e:
+            return type(e), waits
+
+    assert run([ConnectionError(), TimeoutError(), Refused(429)]) == ("{}", [0.5, 1.0, 2.0])
+    assert run([Refused(503)] * 9, 8) == (Refused, [0.5, 1.0, 2.0, 4.0, 8.0, 8.0, 8.0])
+    assert run([Refused(400)]) == (Refused, []) and run([ValueError()]) == (ValueError, [])
+
+
+def test_errors_reach_the_root(spark):
+    rows = [("t", 1, None, None), ("t", 2, 1, None), ("t", 3, 2, None), ("t", 4, 3, "failed"), ("t", 5, 1, None), ("u", 1, None, None), ("u", 4, 1, None)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id int, parent_id int, error string")
+    got = {(r.trace_id, r.span_id): r.status for r in runlog.with_status(spans).collect()}
+    assert got == {("t", 1): "ERROR", ("t", 2): "ERROR", ("t", 3): "ERROR", ("t", 4): "ERROR", ("t", 5): "OK", ("u", 1): "OK", ("u", 4): "OK"}
+
+
+def test_reports_say_what_they_leave_out(spark):
+    text = sinks.markdown_table(spark.range(7), most=5)
+    assert text.count("\n| ") == 5 and text.endswith("Only the first 5 of 7 rows are shown.")
+    assert "Only" not in sinks.markdown_table(spark.range(5), most=5)
+
+
+def test_many_items_keep_their_own_numbers(spark):
+    items = json.dumps({"items": [{"trigger_type": f"t{k}", "threshold": "1%"} for k in range(1500)]})
+    asked = spark.createDataFrame([("d", "triggers", c, [0], items) for c in (0, 1)], "doc_id string, target string, seq int, block_indices array<int>, answer string")
+    raw, _ = pipelines.parse_answers(asked)
+    assert [r.seq for r in raw["triggers"].orderBy("seq").collect()] == list(range(3000))
+
+
+def test_html_blocks(spark):
+    page = "<head><title>t</title></head><body>loose<div>in a div &#8364;5 &#x41;&amp;lt;<h2>Head</h2><blockquote>said</blockquote></div><pre>a\n b</pre><script>x<y</script><ul><li>one<li>two &rsquo;s</ul><figcaption>cap</figcaption>tail</body>"
+    b = readers.blocks_from_html(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("idx").collect()
+    assert [(r.kind, r.text, r.level) for r in b] == [
+        ("text", "loose", None), ("text", "in a div €5 A&lt;", None), ("heading", "Head", 2), ("text", "said", None), ("text", "a b", None), ("list_item", "one", None), ("list_item", "two ’s", None), ("caption", "cap", None), ("text", "tail", None),
+    ]
+
+
+def test_packing_against_brute_force(spark):
+    """Greedy packing of random groups, the length of each context worked out anew from its whole text."""
+    import random
+
+    from foliant.operators import retrieval, structure
+
+    rng = random.Random(3)
+    rows = [("d", k, rng.choice(["text", "heading"]), "w" * rng.choice([1, 30, 90, 200]), rng.randint(1, 3), rng.choice([None, "i"]), None, rng.choice([None, "(1)"]), None) for k in range(120)]
+    groups = [("d", (g, 0), k) for g, k in enumerate(sorted(rng.sample(range(40), 12))) for k in range(3 * k, 3 * k + rng.randint(1, 5))]
+    b = spark.createDataFrame(rows, structure.BLOCKS)
+    g = spark.createDataFrame(groups, "doc_id string, grp struct<rank:int,at:int>, idx int")
+    got = [(list(r.block_indices), r.text) for r in retrieval.pack(g, b, 300).orderBy("seq").collect()]
+
+    def shown(some):
+        out, page = [], None
+        for k in some:
+            _, _, kind, text, number, label, _, marker, _ = rows[k]
+            own = label or f"pdf {number}"
+            line = ("## " if kind == "heading" else "") + (f"{marker} " if marker else "") + text
+            out.append(line if own == page else f"[page {own}]\n{line}")
+            page = own
+        return "\n".join(out)
+
+    want, seen = [[]], set()
+    for _, members in {n: [k for _, (m, _), k in groups if m == n] for n in dict.fromkeys(m for _, (m, _), _ in groups)}.items():
+        fresh = [k for k in sorted(members) if k not in seen]
+        seen |= set(fresh)
+        if not fresh:
+            continue
+        whole = len(shown(want[-1] + fresh)) <= 300
+        if not whole:
+            want.append([])
+        for unit in [fresh] if whole else [[k] for k in fresh]:
+            if want[-1] and len(shown(want[-1] + unit)) > 300:
+                want.append([])
+            want[-1] += unit
+    cut_ = lambda t: t if len(t) <= 300 else t[:294] + "\n[...]"
+    assert got == [(some, cut_(shown(some))) for some in want if some]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from foliant.__main__ import main
+
+    assert main(["version"]) == 0 and capsys.readouterr().out.strip()
+    monkeypatch.setenv("FOLIANT_MODEL", "m")
+    assert main(["config"]) == 0 and json.loads(capsys.readouterr().out)
+    text = "HARBOR AUTO TRUST 2026-1\nAsset Backed Notes of Harbor Auto Trust 2026-1\nThe closing date will be September 16, 2025, $320,400,000.\nPRIORITY OF PAYMENTS\nFunds are applied in the following order of priority: (1) to A; (2) to B; (3) to C."
+    spark.createDataFrame([("harbor", text)], "doc_id string, text string").write.parquet(f"{tmp_path}/docs")
+    rows = [("harbor", t, 0, [0], json.dumps(a)) for t, a in ANSWERS.items()]
+    spark.createDataFrame(rows, "doc_id string, target string, seq int, block_indices array<int>, answer string").write.parquet(f"{tmp_path}/answers")
+    assert main(["extract", f"{tmp_path}/docs", f"{tmp_path}/answers", f"{tmp_path}/terms", "--today", "2026-01-01"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/terms/steps").count() == 3
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold" / "harbor.json").write_text(json.dumps(GOLD))
+    assert main(["eval", f"{tmp_path}/docs", f"{tmp_path}/answers", f"{tmp_path}/report", "--today", "2026-01-01", "--gold", f"{tmp_path}/gold"]) == 1
+    assert "Scores by field" in "\n".join(r.value for r in spark.read.text(f"{tmp_path}/report").collect())
