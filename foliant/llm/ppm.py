@@ -32,7 +32,7 @@ BLOCK_BYTES = 16_000_000
 #: Bytes of text for each group of windows, and for each group of words.
 GROUP_BYTES = 8_000_000
 #: What a worker counts or codes at once.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 END = b"\n"
 #: What stands before a text, so that its first bytes have whole contexts too.
 START = END * ORDER
@@ -68,9 +68,19 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], np.add.reduceat(n, new) if len(new) else n
 
 
+def merged(key: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of distinct keys in order, with their numbers, as one."""
+    at = np.searchsorted(key, more)
+    hit = np.r_[key, np.uint64(0)][at] == more
+    hit &= at < len(key)
+    n[at[hit]] += m[hit]
+    new = ~hit
+    return np.insert(key, at[new], more[new]), np.insert(n, at[new], m[new])
+
+
 def distinct_windows(texts: tuple[list[bytes], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct windows of texts in order, with how often they occur in the second list, the training texts."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for on, some in enumerate(texts):
         at = 0
         while at < len(some):
@@ -78,10 +88,9 @@ def distinct_windows(texts: tuple[list[bytes], list[bytes]]) -> tuple[np.ndarray
             while at < len(some) and size < PIECE_BYTES:
                 size += len(some[at]) + ORDER
                 at += 1
-            key, n = np.unique(windows(some[first:at]), return_counts=True)
-            keys.append(key)
-            counts.append(n * on)
-    return summed(np.concatenate(keys), np.concatenate(counts))
+            more, m = np.unique(windows(some[first:at]), return_counts=True)
+            key, n = merged(key, n, more, m * on)
+    return key, n
 
 
 def group_of(key: np.ndarray, groups: int) -> np.ndarray:
@@ -242,20 +251,20 @@ def _scorer(groups: int, n_all: int, unit: float, id_col: str):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         answer = dict(zip(answers.column("grp").to_pylist(), answers.column("data"), strict=True))
         got, texts = [], []
-        toks_of = [tokens(t.as_py() or "") for t in rows.column("t")]
         train = rows.column("train").to_pylist()
-        named = (toks for on in (True, False) for toks, is_train in zip(toks_of, train, strict=True) if is_train == on)
+        named = (tokens(t.as_py() or "") for on in (True, False) for t, is_train in zip(rows.column("t"), train, strict=True) if is_train == on)
         names = dict.fromkeys(chain.from_iterable(named))  # the order in which the block sent them
         names = dict(zip(names, range(len(names)), strict=True))
         n = np.empty(len(names), np.int64)
         for g, at in _parts(_word_group(list(names), groups)):
             n[at] = unpacked(answer[-1 - g].as_py(), len(at), np.int64)
         base = np.log10(n + 0.1) - unit
-        for toks in toks_of:
+        for t in rows.column("t"):
+            toks = tokens(t.as_py() or "")
             at = np.fromiter(map(names.__getitem__, toks), np.int64, len(toks))
             got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
             texts.append(coded(toks))
-        toks_of.clear()
+        del names, named
         key, _ = distinct_windows((texts, []))
         bits = np.empty(len(key), np.float32)
         for g, at in _parts(group_of(key, groups)):
