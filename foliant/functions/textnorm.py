@@ -21,22 +21,20 @@ def citation_key(c: Column) -> Column:
     return F.lower(collapse(F.regexp_replace(folded, r"(?U)\s+%", "%")))
 
 
-#: Section names by title, checked in this order; all patterns of a rule must match.
-SECTION_RULES: list[tuple[str, list[str]]] = [
-    ("post_acceleration_priority_of_payments", [r"post[- ]?acceleration|after (an )?(acceleration|event of default)", r"priority|payments|distributions"]),
+#: Section names by title, checked in this order.
+SECTION_RULES: list[tuple[str, str]] = [
+    ("post_acceleration_priority_of_payments", r"^(?=.*(post[- ]?acceleration|after (an )?(acceleration|event of default)))(?=.*(priority|payments|distributions))"),
     (
         "priority_of_payments",
-        [
-            r"priority of (payments|distributions)|order of (priority|distributions)"
-            r"|application of (available funds|collections|available collections)"
-            r"|application of .*\b(amounts|funds|collections)$"
-            r"|distributions? of available funds|payments? and distributions|^distributions?$"
-        ],
+        r"priority of (payments|distributions)|order of (priority|distributions)"
+        r"|application of (available funds|collections|available collections)"
+        r"|application of .*\b(amounts|funds|collections)$"
+        r"|distributions? of available funds|payments? and distributions|^distributions?$",
     ),
-    ("trigger_events", [r"trigger|(early )?amortization events?|pay ?out events?|early redemption events?"]),
-    ("events_of_default", [r"events? of default"]),
-    ("description_of_notes", [r"description of the (offered )?(notes|certificates|securities)"]),
-    ("credit_enhancement", [r"credit enhancement"]),
+    ("trigger_events", r"trigger|(early )?amortization events?|pay ?out events?|early redemption events?"),
+    ("events_of_default", r"events? of default"),
+    ("description_of_notes", r"description of the (offered )?(notes|certificates|securities)"),
+    ("credit_enhancement", r"credit enhancement"),
 ]
 
 
@@ -44,11 +42,8 @@ def section_name(title: Column) -> Column:
     """The known section that a heading opens, or null."""
     plain = F.btrim(F.regexp_replace(title, WS, " "), F.lit(" .:—-"))
     out = F.lit(None).cast("string")
-    for name, patterns in reversed(SECTION_RULES):
-        every = F.lit(True)
-        for p in patterns:
-            every = every & plain.rlike("(?i)" + p)
-        out = F.when(every, F.lit(name)).otherwise(out)
+    for name, pattern in reversed(SECTION_RULES):
+        out = F.when(plain.rlike("(?i)" + pattern), F.lit(name)).otherwise(out)
     return out
 
 
