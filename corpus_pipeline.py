@@ -1,7 +1,11 @@
 """A training-corpus pipeline: quality, repeated lines, near copies, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's result as
-Parquet and hands what it reads back to the next one.
+Parquet and hands what it reads back to the next one. All stages but the last return the columns of
+documents; other columns, whatever their names, are left out. Tables without rows give tables without
+rows. A null text counts as empty wherever it is read. Rows that repeat an id are judged each by its own
+text, but for near copies, where they are one document and stay or go together; a null id is no
+document's id, so its row is nobody's near copy.
 """
 
 from __future__ import annotations
