@@ -37,13 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
+#: Rows that a written file has where their number is known beforehand.
+FILE_ROWS = 250_000
+
+
+def materialise(df: DataFrame, name: str, written: list[str] | None = None, *, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. ``written`` gets the path.
 
-    Nothing reads the shuffle files of a written table again, so they are dropped with the write.
+    ``rows``, at least as many as df has, keeps small tables in few files and tasks. Nothing reads the shuffle files of a written table again, so they are dropped with the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     before = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

@@ -241,19 +241,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, c): the smallest id of each id's connected component, for all ids on (a, b) edges. Labels spread along edges and then jump to their own label."""
+def connected(edges: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """(id, c): the smallest id of each id's connected component, for all ids on (a, b) edges, ``rows`` of them at most. Labels spread along edges and then jump to their own label."""
+    rows = None if rows is None else 2 * rows
     spark = edges.sparkSession
     given: list[str] = []
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", given)
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", given, rows=rows)
     past: list[str] = []
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "labels", past)
+    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("c")), "labels", past, rows=rows)
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("c").alias("near"))
         spread = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("c", "near").alias("c"), F.col("c").alias("old"))
         own = labels.select(F.col("id").alias("c"), F.col("c").alias("beyond"))
         now: list[str] = []
-        fresh = materialise(spread.join(own, "c", "left").select("id", F.least("c", "beyond").alias("c"), "old"), "labels", now)
+        fresh = materialise(spread.join(own, "c", "left").select("id", F.least("c", "beyond").alias("c"), "old"), "labels", now, rows=rows)
         discard(spark, past)
         past = now
         labels = fresh.select("id", "c")
@@ -262,15 +263,16 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabelled(labels: DataFrame, edges: DataFrame, written: list[str]) -> DataFrame:
-    """Labels (id, c) after components are merged along edges between ids; ``written`` has the path of the old ones and gets the new one's."""
-    if not edges.limit(1).count():
+def _relabelled(labels: DataFrame, edges: DataFrame, written: list[str], rows: int) -> DataFrame:
+    """Labels (id, c), ``rows`` of them, after components are merged along edges between ids; ``written`` has the path of the old ones and gets the new one's."""
+    n_edges = edges.count()
+    if not n_edges:
         return labels
     a, b = (labels.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     between = edges.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = connected(between).select(F.col("id").alias("c"), F.col("c").alias("to"))
+    merged = connected(between, rows=n_edges).select(F.col("id").alias("c"), F.col("c").alias("to"))
     now: list[str] = []
-    out = materialise(labels.join(merged, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "components", now)
+    out = materialise(labels.join(merged, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "components", now, rows=rows)
     discard(labels.sparkSession, written)
     written += now
     return out
@@ -324,7 +326,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     given = twins.filter("texts > 1").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     ids = members.select("id").unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id"))).distinct()
     ids = materialise(ids, "ids", big)
-    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    n_ids = ids.count()
+    picked = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
     texts = materialise(slim.join(picked, "id", "left_semi"), "texts", big)
     fine = materialise(own.filter(F.size("fine") > 0).join(picked, "id", "left_semi").select("id", "n", "fine"), "fine-sketches", big)
     sketches = materialise(own.join(picked, "id", "left_semi").select("id", "n", "sketch"), "sketches", big)
@@ -333,27 +336,28 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     x, y = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch")) for c in "ab")
     first = first.join(x, "a").join(y, "b").filter(_may_link("a", "b", num, den)).select("a", "b").distinct()
     now: list[str] = []
-    first = materialise(_refined(first, fine, num, den), "pairs", now)
+    first = materialise(_refined(first, fine, num, den), "pairs", now, rows=n_ids)
     kept: list[str] = []
-    labels = materialise(ids.select("id", F.col("id").alias("c")), "components", kept)
-    labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links", now).unionByName(given), kept)
+    labels = materialise(ids.select("id", F.col("id").alias("c")), "components", kept, rows=n_ids)
+    labels = _relabelled(labels, materialise(_verify(first, texts, width, num, den), "links", now).unionByName(given), kept, n_ids)
     discard(spark, now)
     members, past = members.select("sig", "id"), []
     while True:
-        left = materialise(_open(members, labels), "members", now)
-        if left.limit(1).count() == 0:
+        left = materialise(_open(members, labels), "members", now, rows=members.count())
+        n_left = left.count()
+        if not n_left:
             break
-        ranked = materialise(left.join(sketches, "id"), "ranked", now)
+        ranked = materialise(left.join(sketches, "id"), "ranked", now, rows=n_left)
         # Members of the smallest components lead: what is left soon belongs to one component.
         seat = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
         lead = ranked.groupBy("sig", seat.alias("seat")).agg(F.min(F.struct("w", "id", "c", "n", "sketch")).alias("x"))
-        lead = materialise(lead.select("sig", F.col("x.id").alias("x"), F.col("x.c").alias("cx"), F.col("x.n").alias("xn"), F.col("x.sketch").alias("xsketch")), "leaders", now)
+        lead = materialise(lead.select("sig", F.col("x.id").alias("x"), F.col("x.c").alias("cx"), F.col("x.n").alias("xn"), F.col("x.sketch").alias("xsketch")), "leaders", now, rows=n_left)
         pairs = ranked.join(lead, "sig").filter((F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
         pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
         pairs = materialise(_refined(pairs, fine, num, den), "pairs", now)
-        labels = _relabelled(labels, materialise(_verify(pairs, texts, width, num, den), "links", now), kept)
+        labels = _relabelled(labels, materialise(_verify(pairs, texts, width, num, den), "links", now), kept, n_ids)
         led: list[str] = []
-        members = materialise(left.select("sig", "id").join(lead.select("sig", F.col("x").alias("id")), ["sig", "id"], "left_anti"), "members", led)
+        members = materialise(left.select("sig", "id").join(lead.select("sig", F.col("x").alias("id")), ["sig", "id"], "left_anti"), "members", led, rows=n_left)
         discard(spark, now + past)
         now, past = [], led
     rep = sizes.select("id", "n").join(copy_of, "id", "left").withColumn("node", F.coalesce("rep", "id"))
