@@ -568,10 +568,11 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id AS trace_id, event_id AS span_id, CASE WHEN event_type = 'error' OR EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'error' AND c.event_id - 1 = e.event_id) THEN 'ERROR' ELSE 'OK' END AS status FROM events e"""
+    """WITH RECURSIVE f(t, s) AS (SELECT user_id, event_id - 1 FROM events WHERE event_type = 'error' UNION SELECT e.user_id, e.event_id - 1 FROM events e JOIN f ON e.user_id = f.t AND e.event_id = f.s)
+    SELECT user_id AS trace_id, event_id AS span_id, CASE WHEN event_type = 'error' OR EXISTS (SELECT 1 FROM f WHERE f.t = e.user_id AND f.s = e.event_id) THEN 'ERROR' ELSE 'OK' END AS status FROM events e"""
 )
 def span_status(spark: SparkSession, d: str) -> DataFrame:
-    """Spans with an error, and those whose child has one (O-102, O-105)."""
+    """Spans with an error, and all spans above them (O-102, O-105)."""
     e = read(spark, d, "events")
     spans = e.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), (F.col("event_id") - 1).alias("parent_id"), F.when(F.col("event_type") == "error", "failed").alias("error"))
     return runlog.with_status(spans).select("trace_id", "span_id", "status")
