@@ -47,13 +47,13 @@ def test_every_sql_has_its_query():
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not here")
 def test_citation_keys_of_all_documents(spark, sql):
-    got = queries.QUERIES["citation_keys_all"](spark, DATA).toPandas()
+    got = queries.QUERIES["citation_keys"](spark, DATA).toPandas()
     assert len(got) == sql.execute("SELECT count(*) FROM documents").fetchone()[0]
-    assert rows(got) == rows(sql.execute(queries.ORACLE_SQL["citation_keys_all"]).fetchdf())
+    assert rows(got) == rows(sql.execute(queries.ORACLE_SQL["citation_keys"]).fetchdf())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not here")
 def test_payment_lists_of_all_parts(spark, sql):
-    got = queries.QUERIES["payment_lists_all"](spark, DATA).toPandas()
+    got = queries.QUERIES["payment_lists"](spark, DATA).toPandas()
     assert got.n_steps.sum() == sql.execute("SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)").fetchone()[0]
-    assert rows(got) == rows(sql.execute(queries.ORACLE_SQL["payment_lists_all"]).fetchdf())
+    assert rows(got) == rows(sql.execute(queries.ORACLE_SQL["payment_lists"]).fetchdf())
