@@ -37,8 +37,9 @@ KNOWN_WORDS = 50_000
 BATCH_SIGNATURES = 50_000
 #: Bands whose sets have no more shingles than this take each shingle for a cell.
 FINEST = 100
-#: Leaders that a signature's members are compared with at a time, after the first one.
+#: Leaders that a signature's members are compared with at a time, after the first one; more where all comparisons of a round stay below this number.
 LEADERS = 64
+ROUND_ROWS = 20_000_000
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -349,7 +350,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
         ranked = materialise(left.join(sketches, "id"), "ranked", now, rows=n_left)
         # Members of the smallest components lead: what is left soon belongs to one component.
-        seat = F.pmod(F.xxhash64("id"), F.lit(LEADERS))
+        seat = F.pmod(F.xxhash64("id"), F.lit(max(LEADERS, ROUND_ROWS // n_left)))
         lead = ranked.groupBy("sig", seat.alias("seat")).agg(F.min(F.struct("w", "id", "c", "n", "sketch")).alias("x"))
         lead = materialise(lead.select("sig", F.col("x.id").alias("x"), F.col("x.c").alias("cx"), F.col("x.n").alias("xn"), F.col("x.sketch").alias("xsketch")), "leaders", now, rows=n_left)
         pairs = ranked.join(lead, "sig").filter((F.col("c") != F.col("cx")) & _may_link("", "x", num, den))
