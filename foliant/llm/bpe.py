@@ -341,6 +341,11 @@ def worker_encoder(shared: Shared) -> Encoder:
     return _encoders[shared.id]
 
 
+def forget_encoder() -> None:
+    """Free this worker's encoder, in a stage that needs none."""
+    _encoders.clear()
+
+
 class Shared:
     """An encoder for the workers: the tokenizer's tables as a broadcast, the lexicon as a file that Spark hands out."""
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.bpe import Shared, build_encoder, runs, worker_encoder
+from foliant.llm.bpe import Shared, build_encoder, forget_encoder, runs, worker_encoder
 from foliant.llm.common import materialise, table
 
 MAGIC = 0x314B5446
@@ -191,6 +191,7 @@ def build_index(files: DataFrame) -> tuple[DataFrame, int]:
     each = each.select("shard", "block", F.col("e.keys").alias("key"), F.col("e.nth").alias("nth"), F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("length"))
 
     def build(rows: pa.Table) -> pa.Table:
+        forget_encoder()  # the worker has encoded before and stays for the stages to come
         places = {name: rows.column(name).to_numpy() for name in PLACE}
         data = pack(rows.column("key").to_pylist(), rows.column("nth").to_pylist(), places)
         return pa.table([pa.array([rows.column("bucket")[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
