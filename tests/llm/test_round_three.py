@@ -7,9 +7,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from foliant.llm import conversations
+from foliant.llm import bpe, conversations, ids, packing
 
 
 def cheapest(rows):
@@ -160,3 +164,55 @@ def test_op13_against_brute_force(spark, tmp_path):
     nothing = (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
     assert got == {c: report(x) if x else nothing for c, x in want.items()}
     assert not want[gone]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_library_ids(library):
+    """Ids of the fast encoder on all code points in context, random texts, long words, long white space and special tokens."""
+    enc = ids.TextIds(bpe.Merges(bpe.read_spec(None)))
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "²", "é", "<|endoftext|>", "\xa0", "\x1c", "\x85", "!", "aaa", "日本", "🎉", "'", "_", "ʰ", "Ⅷ", "'ll", " the", "ing", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{p} {p}b{p}{p} " for p in points[k : k + 500]) for k in range(0, len(points), 500)]
+    texts += ["", "x" * 40_000, " " * 20_000 + "x", "\n\t " * 4000, "a" + " " * 5001, "日本" * 900, "".join(rng.choice("etaoinshr") for _ in range(100_000))]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_piece_lengths():
+    for most in (1, 8, 2048):
+        for n in [*range(1, 300), 5000, 2047, 2048, 2049]:
+            got = packing.piece_lengths(n, most)
+            assert sum(got) == n and max(got) <= most and all(x & x - 1 == 0 for x in got) and got == sorted(got, reverse=True)
+            assert len({x for x in got if x < most}) == sum(x < most for x in got)
+
+
+def test_packing(spark, docs, library):
+    rng = random.Random(2)
+    texts = [None, "", "one", "<|endoftext|>", "very long " * 30_000] + ["".join(rng.choice("ab cdé.\n") for _ in range(rng.randrange(3000))) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id"), (3, "again"), (3, "again")]
+    shared = ids.Shared(spark.sparkContext)
+    made = packing.sequences(packing.write_pieces(docs(rows).repartition(5).withColumn("length", F.lit("clash")), shared)).collect()
+    want = defaultdict(int)
+    for k, t in rows:
+        want[k, tuple(library.encode(t or "", add_special_tokens=False).ids) + (1,)] += 1
+    assert sorted(r.sequence_id for r in made) == list(range(len(made))) and {r.offset for r in made} == {0}
+    by_length = [r.length for r in sorted(made, key=lambda r: r.sequence_id)]
+    assert by_length == sorted(by_length, reverse=True) and all(n & n - 1 == 0 and n <= 2048 for n in by_length)
+    per = defaultdict(list)
+    for r in made:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        per[r.doc_id, r.doc_tokens].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for (k, whole), n in want.items():
+        got = per[k, len(whole)]
+        for start, piece in got:
+            assert tuple(piece) == whole[start : start + len(piece)] or sum(len(w) == len(whole) and i == k for i, w in want) > 1
+        assert sorted(x for s, p in got for x in range(s, s + len(p))) == sorted(list(range(len(whole))) * sum(m for (i, w), m in want.items() if i == k and len(w) == len(whole)))
+    assert packing.sequences(packing.write_pieces(docs([]), shared)).count() == 0
+    with pytest.raises(ValueError):
+        packing.write_pieces(docs([]), shared, most=100)
