@@ -18,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.bpe import Shared, build_encoder, forget_encoder, runs, worker_encoder
+from foliant.llm.bpe import runs
 from foliant.llm.common import materialise, table
+from foliant.llm.ids import Shared, forget_ids, worker_ids
 
 MAGIC = 0x314B5446
 LEVELS = 40
@@ -133,8 +134,8 @@ FILES = "shard int, block int, before long, n_ids long, keys array<long>, nth ar
 def write_token_files(docs: DataFrame, encoder: Shared, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = 24_000_000) -> DataFrame:
     """Encode whole texts and write them in ascending id order to the shared folder; the files, one row a block.
 
-    data has the block's count and ids as little-endian integers, before counts the ids of the shard's
-    earlier blocks. Null and empty texts have the end id alone. Rows that repeat an id keep all their
+    data has the block's count, the width of an id in bytes (2 where the tokenizer's ids allow it, or 4) and
+    the ids as little-endian integers; before counts the ids of the shard's earlier blocks. Null and empty texts have the end id alone. Rows that repeat an id keep all their
     entries, told apart by their number of occurrence (ordered by text); a null id sorts first. Other
     columns are left out. An empty table gives no block.
     """
@@ -142,11 +143,12 @@ def write_token_files(docs: DataFrame, encoder: Shared, *, id_col: str = "doc_id
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     ordered = slim.repartitionByRange(max(1, -(-total // shard_bytes)), "id").sortWithinPartitions("id", F.col("t"))
     end = np.array([end_id], "<u4").tobytes()
+    width = 2 if max(encoder.n_ids, end_id + 1) <= 1 << 16 else 4
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = [x.split()[0] for x in FILES.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, block, before = worker_encoder(encoder), TaskContext.get().partitionId(), 0, 0
+        enc, shard, block, before = worker_ids(encoder), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         nth: list[int] = []
         ids: list[bytes] = []
@@ -154,7 +156,7 @@ def write_token_files(docs: DataFrame, encoder: Shared, *, id_col: str = "doc_id
 
         def flush() -> pa.RecordBatch:
             length = np.array([len(x) // 4 for x in ids], np.int64)
-            data = np.array([MAGIC, size], "<i8").tobytes() + b"".join(ids)
+            data = np.array([MAGIC, size, width], "<i8").tobytes() + np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
             row = [shard, block, before, size, keys, nth, np.cumsum(length) - length, length, data]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
@@ -191,7 +193,7 @@ def build_index(files: DataFrame) -> tuple[DataFrame, int]:
     each = each.select("shard", "block", F.col("e.keys").alias("key"), F.col("e.nth").alias("nth"), F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("length"))
 
     def build(rows: pa.Table) -> pa.Table:
-        forget_encoder()  # the worker has encoded before and stays for the stages to come
+        forget_ids()  # the worker has encoded before and stays for the stages to come
         places = {name: rows.column(name).to_numpy() for name in PLACE}
         data = pack(rows.column("key").to_pylist(), rows.column("nth").to_pylist(), places)
         return pa.table([pa.array([rows.column("bucket")[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
@@ -240,14 +242,17 @@ def lookup(files: DataFrame, index: tuple[DataFrame, int], keys: DataFrame, *, i
     rows = files.select("shard", "block", "before", "data").join(wanted, ["shard", "block"]).join(shard_starts(files), "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_ids()
         for batch in batches:
             for at, data, some in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 raw = memoryview(data.as_buffer())
-                if np.frombuffer(raw, "<i8", 1)[0] != MAGIC:
+                magic, _, width = np.frombuffer(raw, "<i8", 3).tolist()
+                if magic != MAGIC:
                     raise ValueError("not a block of token ids")
+                whole = np.frombuffer(raw, f"<u{width}", offset=24)
                 key, nth, offset, length = some.values.flatten()
                 a, n = offset.to_numpy(), length.to_numpy()
-                ids = [raw[16 + 4 * i : 16 + 4 * (i + k)] for i, k in zip(a.tolist(), n.tolist(), strict=True)]
+                ids = [whole[i : i + k].astype("<u4").tobytes() for i, k in zip(a.tolist(), n.tolist(), strict=True)]
                 yield pa.record_batch([key, nth, pa.array(at.as_py() + a), length, pa.array(ids, pa.binary())], ["doc_id", "nth", "start", "n_tokens", "ids"])
 
     return rows.select((F.col("base") + F.col("before")).alias("at"), "data", "wanted").mapInArrow(read, FOUND)
@@ -261,6 +266,6 @@ def occurrences(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = write_token_files(docs, build_encoder(docs, lexicon_size=0))
+    files = write_token_files(docs, Shared(spark.sparkContext))
     found = lookup(files, build_index(files), occurrences(docs), nth_col="nth")
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliant.llm import bpe, ngram_join, token_files
+from foliant.llm.ids import Shared
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +90,7 @@ def test_token_files(spark, docs, library):
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choice(["alpha", "beta", "γ"]) for _ in range(rng.randrange(9)))) for k in rng.sample(range(-50, 200), 60)] + [(7, "again"), (7, "again"), (None, "x"), (None, None), (300, "word " * 70_000)]
     d = docs(rows).withColumn("start", F.lit(0))
-    files = token_files.write_token_files(d, bpe.build_encoder(d, lexicon_size=0), shard_bytes=150)
+    files = token_files.write_token_files(d, Shared(spark.sparkContext), shard_bytes=150)
     assert files.select("shard").distinct().count() > 3
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want, at = [], 0
@@ -103,7 +104,7 @@ def test_token_files(spark, docs, library):
     asked = spark.createDataFrame([(7,), (7,), (None,), (1000,), (rows[0][0],)], "doc_id long")
     found = {(r.doc_id, r.nth): ids(r.ids) for r in token_files.lookup(files, index, asked).collect()}
     assert set(found) == {(7, 0), (None, 0), (rows[0][0], 0)} and found[rows[0][0], 0][-1] == 2
-    none = token_files.write_token_files(docs([]), bpe.build_encoder(d, lexicon_size=0))
+    none = token_files.write_token_files(docs([]), Shared(spark.sparkContext))
     assert token_files.lookup(none, token_files.build_index(none), asked).count() == 0
 
 
