@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, conversations, decontaminate, fingerprints, html_text, language, line_dedup, ngram_join, packing, ppm, quality, token_files
+from foliant.llm import bpe, conversations, decontaminate, divergence, fingerprints, html_text, language, line_dedup, ngram_join, packing, ppm, quality, token_files
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_token_files": token_files.op10_token_files,
+    "op11_source_audit": divergence.op11_source_audit,
     "op12_packing": packing.op12_packing,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }

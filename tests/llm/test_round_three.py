@@ -5,7 +5,7 @@ import heapq
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, conversations, ids, packing
+from foliant.llm import bpe, conversations, divergence, ids, packing
 
 
 def cheapest(rows):
@@ -216,3 +216,80 @@ def test_packing(spark, docs, library):
     assert packing.sequences(packing.write_pieces(docs([]), shared)).count() == 0
     with pytest.raises(ValueError):
         packing.write_pieces(docs([]), shared, most=100)
+
+
+def audit(rows, least=3, top=200):
+    """What the audit of (lang, source, text) must be."""
+    rows = [tuple(v or "" for v in r) for r in rows]
+    find = lambda t: ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+    out = set()
+    for lang in {r[0] for r in rows}:
+        here = [(s, find(t)) for la, s, t in rows if la == lang]
+        df, counts, whole = defaultdict(int), {s: defaultdict(int) for s, _ in here}, defaultdict(int)
+        for s, words in here:
+            for w in set(words):
+                df[w] += 1
+        kept = {w for w in df if df[w] >= least}
+        for s, words in here:
+            for w in words:
+                if w in kept:
+                    counts[s][w] += 1
+                    whole[w] += 1
+        share = lambda c, w: 1 + 10**9 * (c[w] + 1) // (sum(c[x] for x in kept) + len(kept))
+        p = {s: {w: share(c, w) for w in kept} for s, c in counts.items()}
+        q = {w: share(whole, w) for w in kept}
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in counts:
+            pairs = [(-sum(f(p[s][w], p[t][w]) for w in kept), t.encode(), t) for t in counts if t != s]
+            found = [(-f(p[s][w], q[w]), w.encode(), w) for w in kept if counts[s][w] and p[s][w] > q[w]]
+            for part, some in (("pair", sorted(pairs)), ("term", sorted(found)[:top])):
+                out |= {(lang, s, part, x, -v, k) for k, (v, _, x) in enumerate(some, 1)}
+    return out
+
+
+def test_source_audit(spark, monkeypatch):
+    for name, n in (("HELD", 90), ("BLOCK_LEAVES", 7), ("RANGE_LEAVES", 40), ("TABLE", 5)):
+        monkeypatch.setattr(divergence, name, n)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abé日") for _ in range(rng.randrange(1, 5))) for _ in range(150)] + ["x" * 300, "x" * 300 + "y", "x" * 301, "Ünder", "THE", "don"]
+    rows = [(rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", "", None, "ß"]), " ".join(rng.choices(words, k=rng.randrange(40))) + "'t_9 the") for _ in range(150)]
+    rows += [("xx", "a", "lone words"), ("xx", "b", None), ("yy", "only", ""), ("de", "bare", "123"), rows[0], rows[0]]
+    # Settings of this process do not reach the workers' modules, so the parts are put together here as well.
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "lang string, source string, text string, value string").repartition(3)
+    got = divergence.source_audit(frame)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(map(tuple, got.collect())) == sorted(audit(rows))
+    assert {tuple(r) for r in divergence.source_audit(frame, least=1, top=3).collect()} == audit(rows, 1, 3)
+    assert divergence.source_audit(frame.filter("false")).count() == 0
+    assert divergence.merged_tries(frame).count() > 3
+
+
+def test_tries(monkeypatch):
+    """Tries cut, packed, merged in any number of parts equal one whole; sums of pairs do not depend on the size of tables."""
+    rng = random.Random(10)
+    words = sorted({bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randrange(1, 90))) for _ in range(400)})
+    docs = [(rng.randrange(4), rng.choices(words, k=30)) for _ in range(120)]
+
+    def trie(some):
+        df, counts = Counter(), [Counter() for _ in range(4)]
+        for s, w in some:
+            counts[s].update(w)
+            df.update(set(w))
+        return divergence.Trie.of(df, counts)
+
+    same = lambda a, b: a.leaves == b.leaves and all((getattr(a, x) == getattr(b, x)).all() for x in ("docs", "leaf", "source", "count"))
+    whole = trie(docs)
+    assert same(divergence.Trie.unpack(whole.pack()), whole) and (np.diff(whole.heads()) >= 0).all()
+    blocks = [divergence.Trie.unpack(t.cut(k, k + 9).pack()) for a in range(0, 120, 40) for t in [trie(docs[a : a + 40])] for k in range(0, len(t.leaves), 9)]
+    rng.shuffle(blocks)
+    assert same(divergence.Trie.merged(blocks, [np.arange(4)] * len(blocks), 1), whole)
+    few = divergence.Trie.merged(blocks, [np.arange(4)] * len(blocks), 9)
+    assert few.leaves == [w for w, n in zip(whole.leaves, whole.docs, strict=True) if n >= 9]
+    totals = np.array([100, 5, 10**15, 7]) + len(whole.leaves)
+    dense = np.zeros((len(whole.leaves), 4), np.int64)
+    dense[whole.leaf, whole.source] = whole.count
+    p = [[1 + 10**9 * (int(c) + 1) // int(t) for c, t in zip(row, totals, strict=True)] for row in dense]
+    want = [[sum((x[s] - x[t]) ** 2 // x[t] for x in p) for t in range(4)] for s in range(4)]
+    for size in (4, 11, 10**6):
+        monkeypatch.setattr(divergence, "TABLE", size)
+        assert np.concatenate([b for _, b in divergence.pair_sums(whole, totals)]).tolist() == want
