@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import answered, extended, table, without
 
-_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_STOP = re.compile(r">|=\s*[\"']")
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_STOP = re.compile(r"[<>]|=\s*[\"']")
 _BARE = re.compile(r"(?<![^\s/])[^\s/>=\"'<]+(?=[\s/]|\Z)(?!\s*=)")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Fixed values of HTML: elements without an end, elements whose inside is text up to their own end tag, elements that show nothing, choices of a form, inline elements, what a start tag closes and how far up, other elements, attributes without a value.
+#: Fixed values of HTML: elements without an end, elements whose inside is text up to their own end tag, elements that show nothing, choices of a form, inline elements, what a start tag closes and how far up, other elements, attributes without a value, others that often stand without one.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 HIDDEN = {"template", "svg", "math", "noscript"}
@@ -38,6 +38,7 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 OTHERS = {"acronym", "address", "applet", "article", "aside", "audio", "big", "blockquote", "body", "button", "canvas", "caption", "center", "colgroup", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "main", "map", "marquee", "menu", "meter", "nav", "nobr", "object", "ol", "output", "p", "param", "picture", "pre", "progress", "rp", "rt", "ruby", "search", "section", "slot", "strike", "summary", "table", "tbody", "tfoot", "thead", "ul", "video"}
 ELEMENTS = VOID | RAW | HIDDEN | CHOICES | INLINE | OTHERS | set(CLOSES)
 VALUELESS = {"allowfullscreen", "async", "autofocus", "autoplay", "checked", "compact", "controls", "default", "defer", "disabled", "download", "formnovalidate", "hidden", "inert", "ismap", "itemscope", "loop", "multiple", "muted", "nomodule", "noshade", "novalidate", "nowrap", "open", "playsinline", "readonly", "required", "reversed", "selected"}
+OFTEN_BARE = {"alt", "charset", "class", "content", "contenteditable", "data", "dir", "draggable", "height", "href", "id", "lang", "media", "name", "preload", "rel", "role", "src", "srcset", "style", "tabindex", "target", "title", "type", "value", "width"}
 
 TAGS = ["html", "head", "body", "main", "article", "section", "div", "p", "h", "ul", "li", "table", "quote", "nav", "header", "footer", "aside", "form", "figure", "button", "text", "other"]
 _ALIASES = {f"h{k}": "h" for k in range(1, 7)} | {"ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "input": "form", "select": "form", "datalist": "form", "optgroup": "form", "option": "form", "dialog": "aside"}
@@ -75,34 +76,56 @@ class Node:
             self.features += sorted(1 + len(TAGS) + h for h in hints)
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag ends whose attributes begin at ``at``; -1 if it never does. A quoted value that no quote ends in its place ends with the tag."""
-    while True:
-        m = _STOP.search(page, at)
-        if not m:
-            return -1
-        if m.group() == ">":
-            return m.end()
-        shut, gt = page.find(m.group()[-1], m.end()), page.find(">", m.end())
-        if gt < 0:
-            return -1
-        if shut < 0 or (gt < shut and page[shut + 1 : shut + 2] not in {"", " ", "\t", "\n", "\r", "\f", "/", ">", '"', "'"}):
-            return gt + 1
-        at = shut + 1
-
-
-def _is_tag(page: str, lt: int, name: str, attributes: str) -> bool:
-    """Whether what looks like a tag is one: not where a sign in running text (i<n, a<b and c>d) stands before a word."""
-    if name not in ELEMENTS and "-" not in name and ":" not in name:
+class Tags:
+    """Where the tags of a page end. Each place is looked at a few times, whatever stands there."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gt = page, -1
+
+    def _next_gt(self, at: int) -> int:
+        """The next > from ``at`` on, which never falls; the page's length if there is none."""
+        if self.gt < at:
+            found = self.page.find(">", at)
+            self.gt = found if found >= 0 else len(self.page)
+        return self.gt
+
+    def end(self, at: int) -> tuple[int, bool]:
+        """Behind the tag whose attributes begin at ``at``, and True; or where the next < comes before it ends, and False; -1 if the page ends first.
+
+        A quoted value that no quote ends in its place ends with the tag.
+        """
+        page = self.page
+        while True:
+            m = _STOP.search(page, at)
+            if not m:
+                return -1, False
+            if m.group() in "<>":
+                return (m.end(), True) if m.group() == ">" else (m.start(), False)
+            gt = self._next_gt(m.end())
+            if gt == len(page):
+                return -1, False
+            shut = page.find(m.group()[-1], m.end())
+            if shut < 0 or (gt < shut and page[shut + 1 : shut + 2] not in {"", " ", "\t", "\n", "\r", "\f", "/", ">", '"', "'"}):
+                return gt + 1, True
+            at = shut + 1
+
+
+def _is_sign(page: str, lt: int, name: str, attributes: str) -> bool:
+    """Whether what looks like a tag is a sign between values (a<b and c>d): behind a letter or digit, a name of one letter, then words that are no attributes."""
+    if len(name) > 1 or "=" in attributes or not (lt and page[lt - 1].isalnum()):
         return False
-    if lt and page[lt - 1].isalnum():
-        return all(x.lower() in VALUELESS or "-" in x for x in _BARE.findall(attributes))
-    return True
+    return not all(x in VALUELESS or x in OFTEN_BARE or "-" in x for x in map(str.lower, _BARE.findall(attributes)))
+
+
+def inline(tag: str) -> bool:
+    """Inline elements, and unknown ones but those of components, whose names have a hyphen or colon."""
+    return tag in INLINE or (tag not in ELEMENTS and "-" not in tag and ":" not in tag)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) in page order: text, start tags with their attributes, end tags. Comments and the inside of raw elements are left out."""
     at, text = 0, 0  # text: where the text before this place begins
+    tags = Tags(page)
     while (lt := page.find("<", at)) >= 0:
         ahead = page[lt + 1 : lt + 2]
         if ahead in ("!", "?"):
@@ -118,12 +141,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = lt + 1
             continue
         name = m.group().lower()
-        end = _tag_end(page, m.end())
+        end, whole = tags.end(m.end())
         if end < 0:  # an unfinished tag ends the page
             break
+        if not whole:  # another < comes before this one's tag would end: it is a sign in running text
+            at = end
+            continue
         attributes = page[m.end() : end - 1]
-        if not _is_tag(page, lt, name, "" if ends else attributes):
-            at = lt + 1
+        if not ends and _is_sign(page, lt, name, attributes):
+            at = end
             continue
         if lt > text:
             yield "text", "", page[text:lt]
@@ -148,7 +174,7 @@ class Open:
 
     def push(self, tag: str, node: int) -> None:
         self.where.setdefault(tag, []).append(len(self.stack))
-        if tag not in INLINE:
+        if not inline(tag):
             self.blocks.append(len(self.stack))
         self.stack.append((tag, node))
 
@@ -158,7 +184,7 @@ class Open:
         while len(self.stack) > at:
             tag, _ = self.stack.pop()
             self.where[tag].pop()
-            if tag not in INLINE:
+            if not inline(tag):
                 self.blocks.pop()
         return len(self.blocks) < deep
 
@@ -212,7 +238,7 @@ def parse(page: str) -> list[Node]:
         elif tag in HIDDEN:
             if not rest.rstrip().endswith("/"):
                 up.push(tag, -1)
-        elif tag in INLINE or holder < 0:
+        elif inline(tag) or holder < 0:
             up.push(tag, holder)
         else:
             leaf = -1

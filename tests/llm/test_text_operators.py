@@ -143,6 +143,10 @@ def test_html_signs_in_text_and_unclosed_quotes(page_model):
     assert one('<p class="x>one two three</p><p class="y">four</p>') == "Title\none two three\nfour\nlast words here"
     assert one("<p title='x>one two three</p>") == "Title\none two three\nlast words here"
     assert one('<p title="a > b" data-x=\'<p>no</p>\'>one two</p>') == "Title\none two\nlast words here"
+    assert one("<p>word<a rel href='/x'>link</a> text<video src=x preload></video> total<span data contenteditable>s</span></p>") == "Title\nwordlink text\ntotals\nlast words here"
+    assert one("<p>an <blink>old</blink> one<foo bar>x</foo><a rel>y</a></p>") == "Title\nan old onexy\nlast words here"
+    assert one("<p>one</p><div data contenteditable>two</div>three<div data>four</div>") == "Title\none\ntwo\nthree\nfour\nlast words here"
+    assert one("<p>i<n <b>x</b> 1<2</p>") == "Title\ni<n x 1<2\nlast words here"
     assert one("<p>one</p><p class='x") == "Title\none\nlast words here"
 
 
@@ -155,6 +159,18 @@ def test_html_is_linear_in_depth(page_model):
         assert time.process_time() - began < 20, page[:9]
 
 
+def test_html_is_linear_in_signs():
+    import time
+
+    for part in ("<a", "<n ", '<a b="', "<a b='\"", '<x" c="', "x<y z=\"<b>", "</a", "<!"):
+        page = part * (1_000_000 // len(part))
+        for p in (page, page + ">", page + "'\">", '<a b="<x" ' + 'c="<x" ' * 100_000 + "<"):
+            began = time.process_time()
+            for _ in html_text.tokens(p):
+                pass
+            assert time.process_time() - began < 2, part
+
+
 def test_html_marginals_are_exact(page_model):
     """Sum-product against enumeration of all labellings of a small tree."""
     from itertools import product
