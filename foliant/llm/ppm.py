@@ -166,7 +166,7 @@ def code_lengths(key: np.ndarray, n: np.ndarray, short: list[Level]) -> np.ndarr
 
 #: A block's windows (grp from 0 on) or words (below 0) for one group: how many, themselves, their counts.
 SENT = "block int, grp int, size int, data binary, n binary"
-#: What a group answers, in the order in which the block sent: code lengths or counts; and how many words of the group training texts have, distinct and in all.
+#: What a group answers, in the order in which the block sent, which is that of the sorted windows or words: code lengths or counts; and how many words of the group training texts have, distinct and in all.
 ANSWERED = "block int, grp int, data binary, known long, words long"
 
 
@@ -195,8 +195,8 @@ def _gatherer(groups: int):
             texts[on].append(coded(toks))
         key, n = distinct_windows(texts)
         out = [(g, len(at), packed(key[at]), packed(n[at].astype(np.uint32))) for g, at in _parts(group_of(key, groups))]
-        other, seen = words
-        names = [*seen, *(w for w in other if w not in seen)]
+        seen = words[1]
+        names = sorted(words[0].keys() | seen.keys())  # rows come in another order when they are scored
         count = np.array([seen[w] for w in names], np.uint32)
         for g, at in _parts(_word_group(names, groups)):
             some = b"\n".join([b"" if names[k] == END else names[k] for k in at.tolist()])
@@ -251,12 +251,10 @@ def _scorer(groups: int, n_all: int, unit: float, id_col: str):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         answer = dict(zip(answers.column("grp").to_pylist(), answers.column("data"), strict=True))
         got, texts = [], []
-        train = rows.column("train").to_pylist()
-        named = (tokens(t.as_py() or "") for on in (True, False) for t, is_train in zip(rows.column("t"), train, strict=True) if is_train == on)
-        names = dict.fromkeys(chain.from_iterable(named))  # the order in which the block sent them
-        names = dict(zip(names, range(len(names)), strict=True))
+        ordered = sorted(set(chain.from_iterable(tokens(t.as_py() or "") for t in rows.column("t"))))  # as the block sent them
+        names = dict(zip(ordered, range(len(ordered)), strict=True))
         n = np.empty(len(names), np.int64)
-        for g, at in _parts(_word_group(list(names), groups)):
+        for g, at in _parts(_word_group(ordered, groups)):
             n[at] = unpacked(answer[-1 - g].as_py(), len(at), np.int64)
         base = np.log10(n + 0.1) - unit
         for t in rows.column("t"):
@@ -264,7 +262,7 @@ def _scorer(groups: int, n_all: int, unit: float, id_col: str):
             at = np.fromiter(map(names.__getitem__, toks), np.int64, len(toks))
             got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
             texts.append(coded(toks))
-        del names, named
+        del names, ordered
         key, _ = distinct_windows((texts, []))
         bits = np.empty(len(key), np.float32)
         for g, at in _parts(group_of(key, groups)):

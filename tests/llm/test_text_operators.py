@@ -5,6 +5,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,32 @@ def brute_ppm(texts, train):
     return [sum(symbol(s, i) for i in range(ppm.ORDER, len(s))) for s in map(line, texts)]
 
 
+def test_ppm_whatever_the_order_of_rows():
+    """A block's rows come in another order when they are scored than when they were counted; every score stays."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["ab", "abc", "Ä", "b", "zz" * rng.randrange(1, 5)]) for _ in range(rng.randrange(30))), k % 3 > 0) for k in range(60)]
+    made = lambda rows: pa.table([pa.array([0] * len(rows), pa.int32()), *map(pa.array, zip(*rows, strict=True))], ["block", "id", "t", "train"])
+    groups = 4
+    sent = ppm._gatherer(groups)(made(rows))
+    grams = pa.Table.from_batches(ppm._short_counts(sent.filter(pc.greater_equal(sent["grp"], 0)).select(["size", "data", "n"]).to_batches()))
+
+    class Short:
+        value = ppm.levels_of(grams["gram"].to_numpy().astype(np.uint64), grams["n"].to_numpy(), ppm.SHARED - 1, [])
+
+    answers = pa.concat_tables([ppm._answers(Short)(sent.filter(pc.equal(sent["grp"], g))) for g in set(sent["grp"].to_pylist())])
+    n, v = sum(answers["words"].to_pylist()), sum(answers["known"].to_pylist())
+    score = ppm._scorer(groups, n, math.log10(n + 0.1 * (v + 1)), "doc_id")
+    got = []
+    for _ in range(3):
+        out = score(made(rows), answers).to_pylist()
+        got.append(sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in out))
+        rng.shuffle(rows)
+    counts = Counter(w for _, t, on in rows if on for w in ppm.tokens(t))
+    assert got[0] == got[1] == got[2] and n == sum(counts.values()) and v == len(counts)
+    base = {k: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ppm.tokens(t)) for k, t, _ in rows}
+    assert all(abs(b - base[k]) < 1e-5 for k, _, b, _ in got[0])
+
+
 def test_ppm(docs):
     rows = [(1, "the cat sat"), (2, "The CAT ran\tback"), (3, None), (4, ""), (None, "the dog ö sat"), (2, "the the the")]
     train = [i is None or i < 3 for i, _ in rows]
