@@ -31,13 +31,14 @@ def clean_rows(rows: Column) -> Column:
     return F.when(F.exists(cells, lambda r: F.exists(r, lambda x: x != "")), cells)
 
 
-def blocks_from_items(items: DataFrame) -> DataFrame:
+def blocks_from_items(items: DataFrame, *, part: str | None = None) -> DataFrame:
     """Blocks from a converter's items (doc_id, seq, label, text, page, level, marker, table_index, rows).
 
     Footers that are page numbers label their page (the last one wins). On a page without such a footer,
     body text that looks like one labels it, and is dropped, if nothing that gives a block comes after it.
     Contents lists, headers, footers, empty items and empty tables give no block. Indices are numbered
-    anew per document.
+    anew per document. ``part`` names a column of parts (ranges of pages) by which items are numbered side by
+    side; tables are then numbered too, in place of the converter's numbers, and ``part`` and seq stay.
     """
     label = F.col("label")
     text = F.when(label == "table", table_text(clean_rows(F.col("rows")))).otherwise(collapse(F.col("text")))
@@ -59,9 +60,11 @@ def blocks_from_items(items: DataFrame) -> DataFrame:
     )
     level = F.when(F.col("label") == "title", 1).when(F.col("label") == "section_header", heading_level(F.col("text"), F.col("level")))
     order = Window.partitionBy("doc_id").orderBy("page", "seq")
+    if part:
+        body = continued(body, "doc_id", part, ["page", "seq"], {"_idx": "true", "table_index": "label = 'table'"})
     return body.select(
         "doc_id",
-        (F.row_number().over(order) - 1).alias("idx"),
+        (F.col("_idx") if part else F.row_number().over(order) - 1).alias("idx"),
         kind.alias("kind"),
         "text",
         "page",
@@ -69,9 +72,25 @@ def blocks_from_items(items: DataFrame) -> DataFrame:
         level.cast("int").alias("level"),
         F.when(F.col("label") == "list_item", list_marker(F.col("marker"))).alias("marker"),
         "table_index",
+        *([part, "seq"] if part else []),
     )
 
 
+def continued(df: DataFrame, group: str, part: str, order: list[str], counts: dict[str, str]) -> DataFrame:
+    """df plus, for each name in ``counts``, the number of the row among its group's rows that meet the condition, from 0; null for others.
+
+    Parts are numbered side by side; what stands before a part comes from a sum over the parts' sizes.
+    """
+    here = Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    one = {name: F.expr(condition).cast("int") for name, condition in counts.items()}
+    sizes = df.groupBy(group, part).agg(*[F.sum(c).alias(f"_n{k}") for k, c in enumerate(one.values())])
+    bases = sizes.select(group, part, *[F.coalesce(F.sum(f"_n{k}").over(before), F.lit(0)).alias(f"_n{k}") for k in range(len(one))])
+    numbered = df.withColumns({f"_at{k}": F.sum(c).over(here) for k, c in enumerate(one.values())}).join(bases, [group, part])
+    out = {name: F.when(c == 1, (F.col(f"_n{k}") + F.col(f"_at{k}") - 1).cast("int")) for k, (name, c) in enumerate(one.items())}
+    return numbered.withColumns(out).drop(*[f"_{x}{k}" for k in range(len(one)) for x in ("n", "at")])
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Tables with the rows of a second reading where the first one found none; source tells which. Tables without any text go."""
     other = fallback.select("doc_id", "table_index", clean_rows(F.col("rows")).alias("_rows"), F.col("source").alias("_source"))
