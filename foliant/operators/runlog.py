@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.masking import mask_attributes
+from foliant.sources.cache import written
 
 PREFIX = "foliant.metadata."
 BOOLEAN_SCORES = ["validation_pass", "needs_review", "schema_valid"]
@@ -30,17 +31,32 @@ def masked_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("attributes", mask_attributes(F.col("attributes"), prefix=PREFIX))
 
 
+def ancestors_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of nodes and of all spans above them, by links (trace_id, span_id, parent_id).
+
+    Pointers double: after k rounds each span's pointer is the one 2^k levels up, and every span less than 2^k
+    levels above a node is known, so a chain of a thousand spans takes ten rounds. A round's two tables are written.
+    Rings end when a round finds nothing new. Of several parents of a span the least one counts; null ids are no spans.
+    """
+    keys = ["trace_id", "span_id"]
+    up = links.filter("span_id IS NOT NULL AND parent_id IS NOT NULL").groupBy(*keys).agg(F.min("parent_id").alias("up"))
+    found = nodes.filter("span_id IS NOT NULL").select(*keys).distinct()
+    up, found = written(up, "parents"), written(found, "ancestors")
+    while True:
+        above = found.join(up, keys).select("trace_id", F.col("up").alias("span_id")).distinct()
+        new = written(above.join(found, keys, "left_anti"), "above")
+        if new.isEmpty():
+            return found
+        found = written(found.unionByName(new), "ancestors")
+        far = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("far"))
+        up = written(up.join(far, ["trace_id", "up"]).select(*keys, F.col("far").alias("up")), "parents")
+
+
 def with_status(spans: DataFrame) -> DataFrame:
-    """spans plus status: ERROR where an error is recorded, there or in any span below, up to the root. One join for each level that errors climb."""
-    up = spans.select("trace_id", "span_id", "parent_id")
-    climbing = spans.filter("error IS NOT NULL").select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct()
-    failed = climbing
-    while climbing.limit(1).count():
-        above = up.join(climbing, ["trace_id", "span_id"]).select("trace_id", F.col("parent_id").alias("span_id")).filter("span_id IS NOT NULL").distinct()
-        climbing = above.join(failed, ["trace_id", "span_id"], "left_anti")
-        failed = failed.unionByName(climbing)
-    out = spans.join(failed.withColumn("child_failed", F.lit(True)), ["trace_id", "span_id"], "left")
-    return out.withColumn("status", F.when(F.col("error").isNotNull() | F.coalesce("child_failed", F.lit(False)), "ERROR").otherwise("OK")).drop("child_failed")
+    """spans plus status: ERROR where an error is recorded, there or in any span below, however deep, else OK."""
+    failed = ancestors_of(spans.filter("error IS NOT NULL"), spans.select("trace_id", "span_id", "parent_id"))
+    out = spans.join(failed.withColumn("_failed", F.lit(True)), ["trace_id", "span_id"], "left")
+    return out.withColumn("status", F.when(F.col("error").isNotNull() | F.coalesce("_failed", F.lit(False)), "ERROR").otherwise("OK")).drop("_failed")
 
 
 def score_kind(name: Column, value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.operators import regions, structure
+from foliant.operators import regions, runlog, structure
 from foliant.queries import query, read
 from foliant.sources import pages
 
@@ -61,3 +61,14 @@ def region_tables(spark: SparkSession, d: str) -> DataFrame:
     sizes = line.select("doc_id", F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(20000.0).alias("height")).distinct()
     got = regions.reread(items, words, sizes)
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("rows").alias("n_rows"), structure.table_text(F.col("rows")).alias("text"))
+
+
+@query(
+    """SELECT user_id AS trace_id, event_id AS span_id, CASE WHEN max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) = 1 THEN 'ERROR' ELSE 'OK' END AS status FROM events"""
+)
+def span_chains(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as one chain of spans, each below the one before: an error reaches the first (O-102, O-105)."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), "event_type")
+    parent = F.lag("span_id").over(Window.partitionBy("trace_id").orderBy("span_id"))
+    spans = e.select("trace_id", "span_id", parent.alias("parent_id"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return runlog.with_status(spans).select("trace_id", "span_id", "status")
