@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import masking
-from foliant.operators import assembly, checks, citations, scoring, structure, waterfalls
+from foliant.operators import assembly, checks, citations, quotes, scoring, structure, waterfalls
 from foliant.queries import query, read
 
 
@@ -332,7 +332,7 @@ def page_numbers(spark: SparkSession, d: str) -> DataFrame:
 def quoted_items(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items quoted in documents, by the library's search for quotes in all documents (O-68)."""
     items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    found = citations.quoted_in(items, read(spark, d, "documents"), "item_id")
+    found = quotes.quoted_in(items, read(spark, d, "documents"), "item_id")
     hits = found.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import masking, textnorm, typed
-from foliant.operators import checks, citations, retrieval, runlog, scoring, structure, waterfalls
+from foliant.operators import checks, citations, quotes, retrieval, runlog, scoring, structure, waterfalls
 from foliant.sources import cache, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,21 +205,10 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
        ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY b.item_id""".replace("\\\\s", "\\s")
 )
 def citation_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items quoted in documents, found by a shared word window and then by containment (O-68 across documents).
-
-    An item's rarest-looking word of its first twelve, the longest, keys the join, so no pair is compared without a common word.
-    """
-    key = lambda c: F.lower(F.btrim(F.regexp_replace(c, r"\s+", " ")))
-    items = read(spark, d, "benchmark").select("item_id", key("text").alias("q"))
-    inner = F.slice(F.split("q", " "), 2, 12)
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    items = items.withColumn("w", longest)
-    docs = read(spark, d, "documents").select("doc_id", key("text").alias("t"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    near = words.join(items.select("item_id", "w"), "w").select("item_id", "doc_id").distinct()
-    hits = near.join(items.select("item_id", "q"), "item_id").join(docs, "doc_id").filter(F.contains("t", "q"))
-    found = hits.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    """Benchmark items quoted in documents: the first document that quotes each, and how many do (O-68 across documents)."""
+    items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    hits = quotes.quoted_in(items, read(spark, d, "documents"), "item_id").groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
+    return items.select("item_id").join(hits, "item_id", "left").select("item_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 @query(

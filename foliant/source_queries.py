@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.operators import regions, runlog, structure
+from foliant.operators import quotes, regions, runlog, structure
 from foliant.queries import query, read
 from foliant.sources import pages
 
@@ -72,3 +72,22 @@ def span_chains(spark: SparkSession, d: str) -> DataFrame:
     parent = F.lag("span_id").over(Window.partitionBy("trace_id").orderBy("span_id"))
     spans = e.select("trace_id", "span_id", parent.alias("parent_id"), F.when(F.col("event_type") == "error", "failed").alias("error"))
     return runlog.with_status(spans).select("trace_id", "span_id", "status")
+
+
+_PLAIN = r"lower(trim(regexp_replace({}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, string_split({_PLAIN.format("text")}, ' ') AS w FROM benchmark),
+    q AS (SELECT item_id * 2 AS quote_id, w[3] AS q FROM w UNION ALL SELECT item_id * 2 + 1, right(w[3], 3) || ' ' || left(w[4], 2) FROM w),
+    d AS (SELECT doc_id, {_PLAIN.format("text")} AS t FROM documents)
+    SELECT quote_id, min(doc_id) AS first_doc, count(doc_id) AS n_docs FROM q LEFT JOIN d ON q <> '' AND contains(t, q) GROUP BY 1"""
+)
+def quoted_words(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of one word, and of the end of one with the beginning of the next, in all documents (O-68)."""
+    w = read(spark, d, "benchmark").select("item_id", F.split(quotes.plain(F.col("text")), " ").alias("w"))
+    third, fourth = F.get("w", F.lit(2)), F.get("w", F.lit(3))
+    two = F.concat(F.substring(third, -3, 3), F.lit(" "), F.substring(fourth, 1, 2))
+    q = w.select((F.col("item_id") * 2).alias("quote_id"), third.alias("quote")).unionByName(w.select((F.col("item_id") * 2 + 1).alias("quote_id"), two.alias("quote")))
+    hits = quotes.quoted_in(q, read(spark, d, "documents"), "quote_id").groupBy("quote_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
+    return q.select("quote_id").join(hits, "quote_id", "left").select("quote_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

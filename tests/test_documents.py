@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import citations, retrieval, structure, waterfalls
+from foliant.operators import citations, quotes, retrieval, structure, waterfalls
 from tests import deal
 
 
@@ -149,7 +149,7 @@ def test_citations(spark, doc):
     assert citations.cite(strip, doc[0]).first().citation.quote == "4.057 %"
     texts = spark.createDataFrame([(1, "x Alpha  beta\ngamma. y"), (2, "alphabet beta gamma"), (3, None)], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "alpha beta gamma"), (2, "pha"), (3, "alpha beta"), (4, ""), (5, None), (6, "beta gam"), (7, "a b"), (8, "a c")], "k int, quote string")
-    assert sorted(tuple(r) for r in citations.quoted_in(asked, texts, "k").collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (6, 1), (6, 2), (7, 1)]
+    assert sorted(tuple(r) for r in quotes.quoted_in(asked, texts, "k").collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (6, 1), (6, 2), (7, 1)]
     assert got["absent words"] is None and got["x"] is None and got["Harbor  auto trust"].page == 1
     t = spark.createDataFrame([("harbor", "Delinquency Trigger", [15]), ("harbor", "Tiny", [15]), ("harbor", "Holders", [15])], "doc_id string, trigger_type string, prefer array<int>")
     got = {r.trigger_type: r.recovered for r in citations.recover_thresholds(t, doc[0]).collect()}
@@ -179,3 +179,28 @@ def test_gap_free(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 4), (2, 1, 2)], "g int, o int, v int")
     assert sorted(tuple(r) for r in structure.gap_free(df, ["g"], "v", ["o"]).collect()) == [(1, 1, 1), (1, 2, 2)]
     assert structure.repeated(df, "g").select(F.sum("n")).first()[0] == 3
+
+
+def test_quotes_against_every_text(spark):
+    """Quotes cut anywhere out of texts, and changed ones, of one word and more, against a search of every text."""
+    import random
+
+    rng = random.Random(7)
+    vocab = ["a", "of", "the", "Éa", "zinc", "zincs", "ab", "abc", "x" * 400, "日本", "d.e", "(f"]
+    texts = [(k, "  ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40)))) for k in range(40)] + [(90, None), (91, " "), (None, "lone zinc plated"), (5, "second of five"), (5, "x y z " * 30_000 + "needle tail")]
+    plain = lambda t: " ".join((t or "").lower().split())
+    asked = []
+    for n in range(160):
+        t = plain(rng.choice(texts[:40])[1])
+        at = rng.randrange(len(t))
+        q = t[at : at + rng.choice([1, 2, 3, 5, 9, 20, 60])]
+        asked.append((n, q if rng.random() < 0.8 else q[::-1]))
+    asked += [(200, None), (201, "  "), (202, "z needle  TAIL"), (203, "needle tail"), (204, "eedle ta"), (205, "no such words"), (206, "lone ZINC"), (207, "y"), (207, "zinc")]
+    want = {(k, i) for k, q in asked for i, t in texts if plain(q) and plain(q) in plain(t)}
+    frame = spark.createDataFrame(asked, "k int, quote string")
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    got = [tuple(r) for r in quotes.quoted_in(frame, docs, "k").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = quotes.quoted_in(frame.filter("k <> 201"), docs, "k")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert quotes.quoted_in(frame.filter("false"), docs, "k").count() == 0 and quotes.quoted_in(frame, docs.filter("false"), "k").count() == 0
