@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import assembly, checks, retrieval, scoring, structure, waterfalls
+from foliant.plans.answers import checked
 
 
 Hold = Callable[[str, DataFrame], DataFrame]
@@ -123,9 +124,12 @@ def parse_answers(answers: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
 
 
 def extract(parsed: dict[str, DataFrame], answers: DataFrame, *, today: str, hold: Hold = lazy) -> dict[str, DataFrame]:
-    """Typed terms of all documents with issues, fields (cited or not) and routing, from a model's answers."""
+    """Typed terms of all documents with issues, fields (cited or not) and routing, from a model's answers; an answer that breaks a rule is an issue as a whole."""
     docs = hold("docs", parsed["blocks"].select("doc_id").distinct())
+    answers, refused = checked(answers)
     raw, failed = parse_answers(answers)
+    said = F.concat_ws(" ", "place", "rule", F.coalesce("got", F.lit("")))
+    failed = failed.unionByName(assembly.issue(refused, "llm_schema_error", F.col("target"), F.substring(said, 1, 300)))
     raw = {k: hold("raw_" + k, v) for k, v in raw.items()}
     terms = assembly.assemble(docs, parsed["blocks"], waterfalls.main_waterfall(parsed["waterfalls"]), raw)
     terms["issues"] = terms["issues"].unionByName(failed)
