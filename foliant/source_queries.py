@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import quotes, regions, runlog, structure
+from foliant.plans import answers, calls
 from foliant.queries import query, read
 from foliant.sources import pages
+from foliant.sources.cache import content_key, shared_dir, written
 
 
 class TextLines:
@@ -91,3 +95,51 @@ def quoted_words(spark: SparkSession, d: str) -> DataFrame:
     q = w.select((F.col("item_id") * 2).alias("quote_id"), third.alias("quote")).unionByName(w.select((F.col("item_id") * 2 + 1).alias("quote_id"), two.alias("quote")))
     hits = quotes.quoted_in(q, read(spark, d, "documents"), "quote_id").groupBy("quote_id").agg(F.min("doc_id").alias("first_doc"), F.count("doc_id").alias("n_docs"))
     return q.select("quote_id").join(hits, "quote_id", "left").select("quote_id", "first_doc", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, o_orderkey % 9 AS k FROM orders)
+    SELECT o_orderkey, place, rule FROM (SELECT o_orderkey, CASE k WHEN 1 THEN '$.items[0].threshold' WHEN 2 THEN '$.items[1].threshold' WHEN 3 THEN '$.items[1].test_type' WHEN 4 THEN '$.items' WHEN 5 THEN '$.items' WHEN 6 THEN '$' WHEN 7 THEN '$' WHEN 8 THEN '$.items[0]' END AS place,
+      CASE k WHEN 1 THEN 'required' WHEN 2 THEN 'type' WHEN 3 THEN 'enum' WHEN 4 THEN 'max_items' WHEN 5 THEN 'type' WHEN 6 THEN 'json' WHEN 7 THEN 'empty' WHEN 8 THEN 'type' END AS rule FROM k) WHERE place IS NOT NULL
+    UNION ALL SELECT o_orderkey, '$.items[0].tranche', 'required' FROM k WHERE k = 1"""
+)
+def answer_violations(spark: SparkSession, d: str) -> DataFrame:
+    """An answer an order, a ninth of them right, the others each with a fault of another kind, held against the rules (O-48)."""
+    item = lambda tranche, test, threshold: F.concat(F.lit('{"tranche": "'), tranche, F.lit(f'", "test_type": "{test}", "threshold": {threshold}}}'))
+    good = item(F.col("o_orderpriority"), "interest_coverage", '"125.0%"')
+    items = lambda *x: F.concat(F.lit('{"items": ['), F.array_join(F.array(*x), ","), F.lit("]}"))
+    k = F.col("o_orderkey") % 9
+    answer = (
+        F.when(k == 0, items(good, good)).when(k == 1, items(F.lit('{"test_type": "overcollateralization"}'), good)).when(k == 2, items(good, item(F.lit("A"), "interest_coverage", "125"))).when(k == 3, items(good, item(F.lit("A"), "none", '"1%"')))
+        .when(k == 4, F.concat(F.lit('{"items": ['), F.array_join(F.array_repeat(good, 31), ","), F.lit("]}"))).when(k == 5, F.lit('{"items": "none"}')).when(k == 6, F.concat(F.lit("Here: "), good)).when(k == 7, F.lit(" ")).when(k == 8, items(F.lit("null"), good))
+    )
+    asked = read(spark, d, "orders").select("o_orderkey", F.lit("coverage").alias("target"), answer.alias("answer"))
+    return answers.violations(asked, keys=("o_orderkey", "target")).select("o_orderkey", "place", "rule")
+
+
+class Echo:
+    """A stand-in for a model: the text's length, or an error for a text that ends in a question mark."""
+
+    def __call__(self, target: str, text: str) -> str:
+        if text.endswith("?"):
+            raise ValueError("no questions")
+        return str(len(text))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT role, coalesce(text, '') AS text FROM conversations),
+    first AS (SELECT DISTINCT role, coalesce(text, '') AS text FROM conversations WHERE turn < 2)
+    SELECT role, count(*) AS texts, count(*) FILTER (text LIKE '%?') AS refused, CAST(coalesce(sum(length(text)) FILTER (text NOT LIKE '%?'), 0) AS BIGINT) AS answered, count(*) FILTER (text NOT LIKE '%?' AND (role, text) IN (SELECT (role, text) FROM first)) AS kept
+    FROM c GROUP BY role"""
+)
+def kept_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls for the first turns of conversations, then for all: answers kept from the first run are not asked again (O-13, O-46, O-47)."""
+    turns = read(spark, d, "conversations").select("turn", F.col("role").alias("target"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("key", content_key(F.col("target"), F.col("text"), length=32))
+    path = f"{shared_dir(spark)}/foliant/answers-{uuid.uuid4().hex}"
+    ask = lambda df: written(calls.answered(df, Echo, path, buckets=16, keep_every=500), "calls")
+    ask(turns.filter("turn < 2"))
+    found = ask(turns)
+    texts = turns.select("key", "target").distinct()
+    out = texts.join(found, "key").groupBy(F.col("target").alias("role"))
+    return out.agg(F.count(F.lit(1)).alias("texts"), F.sum((F.col("error_kind") == "other").cast("long")).alias("refused"), F.coalesce(F.sum(F.col("answer").cast("long")), F.lit(0)).alias("answered"), F.sum(F.col("cached").cast("long")).alias("kept")).na.fill(0)
