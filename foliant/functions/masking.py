@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -147,3 +148,58 @@ def mask_attributes(c: Column, *, token: str = TOKEN, prefix: str = "") -> Colum
 def drop_keys(c: Column, keys: list[str]) -> Column:
     """A map without the given keys."""
     return F.map_filter(c, lambda k, v: ~k.isin(keys))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _json_text(c: Column) -> Column:
+    """A text as a JSON string."""
+    return F.get(F.transform(F.array(F.to_json(F.array(c))), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), F.lit(0))
+
+
+def _masked_json(v: Column, token: str, names: frozenset[str], prefix: str, depth: int) -> Column:
+    """The JSON text of a VARIANT, masked. Objects and lists are both lists of (key, value), so a level is one lambda whatever lies below, and the plan grows with the depth alone."""
+    quoted = F.lit(json.dumps(token, ensure_ascii=False))
+    if depth > MAX_DEPTH:
+        return quoted
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+
+    def one(kid: Column) -> Column:
+        hit = F.coalesce(sensitive_key(kid["key"], names=names, prefix=prefix), F.lit(False))
+        name = F.when(kid["key"].isNotNull(), F.concat(_json_text(kid["key"]), F.lit(":"))).otherwise(F.lit(""))
+        return F.concat(name, F.when(hit, quoted).otherwise(_masked_json(kid["value"], token, names, prefix, depth + 1)))
+
+    def whole(x: Column) -> Column:
+        none = x["entries"].isNull() & x["items"].isNull()
+        leaf = F.when(F.schema_of_variant(v) == "STRING", _json_text(mask_text(F.try_variant_get(v, "$", "string"), token))).otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+        body = F.when(none, leaf).otherwise(F.array_join(F.transform(F.coalesce(x["entries"], x["items"]), one), ","))
+        around = lambda both: F.when(none, F.lit("")).when(x["entries"].isNotNull(), F.lit(both[0])).otherwise(F.lit(both[1]))
+        return F.concat(around("{["), body, around("}]"))
+
+    return _bound(F.struct(entries.alias("entries"), items.alias("items")), whole)
+
+
+def mask_json(c: Column, *, token: str = TOKEN, names: frozenset[str] = frozenset(), prefix: str = "") -> Column:
+    """JSON text of any shape, masked as mask_columns() masks columns: values under sensitive keys become the token, whatever they
+    are, texts are masked by pattern, and what lies deeper than MAX_DEPTH levels becomes the token whole.
+
+    Keys are judged at each level of each row; no schema is needed. Objects come back with their keys in order of name and no
+    white space. Text that is no JSON, or repeats a key in an object, is masked as text; null stays null.
+    """
+    parsed = F.try_parse_json(c)
+    return F.when(parsed.isNull(), mask_text(c, token)).otherwise(_bound(parsed, lambda v: _masked_json(v, token, names, prefix, 0)))
+
+
+def mask_variant(c: Column, *, token: str = TOKEN, names: frozenset[str] = frozenset(), prefix: str = "") -> Column:
+    """A VARIANT, masked as mask_json() masks text."""
+    return F.when(c.isNotNull(), F.try_parse_json(_bound(c, lambda v: _masked_json(v, token, names, prefix, 0))))
+
+
+def mask_json_attributes(c: Column, *, token: str = TOKEN, prefix: str = "") -> Column:
+    """A map of attributes without its sensitive keys, its values masked as JSON where they are JSON, as text where not."""
+    kept = F.map_filter(c, lambda k, v: ~sensitive_key(k, prefix=prefix))
+    return F.transform_values(kept, lambda k, v: F.when(v.rlike(r"^\s*[\[{]"), mask_json(v, token=token, prefix=prefix)).otherwise(mask_text(v, token)))

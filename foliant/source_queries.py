@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import masking
 from foliant.operators import quotes, regions, runlog, structure
 from foliant.plans import answers, calls
 from foliant.queries import query, read
@@ -143,3 +144,17 @@ def kept_calls(spark: SparkSession, d: str) -> DataFrame:
     texts = turns.select("key", "target").distinct()
     out = texts.join(found, "key").groupBy(F.col("target").alias("role"))
     return out.agg(F.count(F.lit(1)).alias("texts"), F.sum((F.col("error_kind") == "other").cast("long")).alias("refused"), F.coalesce(F.sum(F.col("answer").cast("long")), F.lit(0)).alias("answered"), F.sum(F.col("cached").cast("long")).alias("kept")).na.fill(0)
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, user_id, replace(props, ' ', '') AS p FROM events)
+    SELECT event_id, '{"borrower_id":"[REDACTED]","kind":"' || event_type || '","list":[{"deep":' || coalesce(p, 'null') || ',"home_address":"[REDACTED]"},null,' || user_id || '],"note":"from [REDACTED] on"}' AS masked,
+      repeat('{"n":', 20) || '[' || '"[REDACTED]","[REDACTED]"' || ']' || repeat('}', 20) AS deep FROM e"""
+)
+def mask_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """JSON payloads whose shape is known row by row alone, masked at every level, and one twenty-one levels deep (O-98, O-99)."""
+    e = read(spark, d, "events")
+    props = F.coalesce("props", F.lit("null"))
+    payload = F.concat(F.lit('{"note": "from '), "event_type", F.lit('@x.org on", "kind": "'), "event_type", F.lit('", "borrower_id": {"a": ['), "user_id", F.lit(']}, "list": [{"home_address": null, "deep": '), props, F.lit("}, null, "), "user_id", F.lit("]}"))
+    deep = F.concat(F.lit('{"n": ' * 20), F.lit("["), "user_id", F.lit(', {"x": '), props, F.lit("}]"), F.lit("}" * 20))
+    return e.select("event_id", masking.mask_json(payload).alias("masked"), masking.mask_json(deep).alias("deep"))

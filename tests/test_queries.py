@@ -31,7 +31,7 @@ def rows(frame):
     return cols, sorted("|".join(map(show, r)) for r in frame[cols].astype(object).values.tolist())
 
 
-QUICK = ["mask_profile", "money_roundtrip", "percent_roundtrip", "date_roundtrip", "class_names", "running_lines", "total_reconcile", "field_scores", "bag_overlap", "ordinal_prefix", "work_list", "span_status", "top_tables", "item_blocks", "mask_map_values", "nested_pii", "main_list", "stated_facts", "cited_facts", "tranche_terms", "unparsed_tranches", "trigger_terms", "coverage_terms", "uncited_facts", "score_gate", "styled_lists", "lists_and_tables", "page_numbers", "quoted_items", "masked_texts", "page_ranges", "region_tables", "span_chains", "quoted_words", "citation_lookup", "answer_violations", "kept_calls"]
+QUICK = ["mask_profile", "money_roundtrip", "percent_roundtrip", "date_roundtrip", "class_names", "running_lines", "total_reconcile", "field_scores", "bag_overlap", "ordinal_prefix", "work_list", "span_status", "top_tables", "item_blocks", "mask_map_values", "nested_pii", "main_list", "stated_facts", "cited_facts", "tranche_terms", "unparsed_tranches", "trigger_terms", "coverage_terms", "uncited_facts", "score_gate", "styled_lists", "lists_and_tables", "page_numbers", "quoted_items", "masked_texts", "page_ranges", "region_tables", "span_chains", "quoted_words", "citation_lookup", "answer_violations", "kept_calls", "mask_payloads"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the shared tables are not here")
