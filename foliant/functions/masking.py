@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.textnorm import once
+
 TOKEN = "[REDACTED]"
 MAX_DEPTH = 20
 #: What is masked in text, in this order, and parts of names that mark a field as personal.
@@ -150,14 +152,9 @@ def drop_keys(c: Column, keys: list[str]) -> Column:
     return F.map_filter(c, lambda k, v: ~k.isin(keys))
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), the value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _json_text(c: Column) -> Column:
     """A text as a JSON string."""
-    return F.get(F.transform(F.array(F.to_json(F.array(c))), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), F.lit(0))
+    return once(F.to_json(F.array(c)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
 
 def _masked_json(v: Column, token: str, names: frozenset[str], prefix: str, depth: int) -> Column:
@@ -180,7 +177,7 @@ def _masked_json(v: Column, token: str, names: frozenset[str], prefix: str, dept
         around = lambda both: F.when(none, F.lit("")).when(x["entries"].isNotNull(), F.lit(both[0])).otherwise(F.lit(both[1]))
         return F.concat(around("{["), body, around("}]"))
 
-    return _bound(F.struct(entries.alias("entries"), items.alias("items")), whole)
+    return once(F.struct(entries.alias("entries"), items.alias("items")), whole)
 
 
 def mask_json(c: Column, *, token: str = TOKEN, names: frozenset[str] = frozenset(), prefix: str = "") -> Column:
@@ -191,12 +188,12 @@ def mask_json(c: Column, *, token: str = TOKEN, names: frozenset[str] = frozense
     white space. Text that is no JSON, or repeats a key in an object, is masked as text; null stays null.
     """
     parsed = F.try_parse_json(c)
-    return F.when(parsed.isNull(), mask_text(c, token)).otherwise(_bound(parsed, lambda v: _masked_json(v, token, names, prefix, 0)))
+    return F.when(parsed.isNull(), mask_text(c, token)).otherwise(once(parsed, lambda v: _masked_json(v, token, names, prefix, 0)))
 
 
 def mask_variant(c: Column, *, token: str = TOKEN, names: frozenset[str] = frozenset(), prefix: str = "") -> Column:
     """A VARIANT, masked as mask_json() masks text."""
-    return F.when(c.isNotNull(), F.try_parse_json(_bound(c, lambda v: _masked_json(v, token, names, prefix, 0))))
+    return F.when(c.isNotNull(), F.try_parse_json(once(c, lambda v: _masked_json(v, token, names, prefix, 0))))
 
 
 def mask_json_attributes(c: Column, *, token: str = TOKEN, prefix: str = "") -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s+"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of Unicode white space become one space; both ends are stripped."""
     return F.btrim(F.regexp_replace(c, WS, " "))

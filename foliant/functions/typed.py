@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.textnorm import WS
+from foliant.functions.textnorm import WS, once
 
 #: Unit words, what a percentage is, index names of floating rates, and how dates are printed.
 UNITS = {"thousand": 1_000, "million": 1_000_000, "mm": 1_000_000, "billion": 1_000_000_000, "bn": 1_000_000_000}
@@ -39,9 +39,8 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def to_decimal(c: Column, kind: str = "decimal(20,6)") -> Column:
     """A number printed with or without thousands separators; null if it is none or has more places than the type."""
-    plain = F.regexp_replace(c, ",", "")
     places = int(kind.rstrip(")").split(",")[1])
-    return F.when(F.length(F.regexp_extract(plain, r"\.(\d*?)0*$", 1)) <= places, plain.try_cast(kind))
+    return once(F.regexp_replace(c, ",", ""), lambda plain: F.when(F.length(F.regexp_extract(plain, r"\.(\d*?)0*$", 1)) <= places, plain.try_cast(kind)))
 
 
 def parse_money(c: Column) -> Column:
@@ -50,12 +49,15 @@ def parse_money(c: Column) -> Column:
     units = F.regexp_extract_all(c, F.lit(MONEY), F.lit(2))
     pairs = F.arrays_zip(numbers.alias("number"), units.alias("unit"))
     first = F.get(F.filter(pairs, lambda p: F.contains(p["number"], F.lit(",")) | (p["unit"] != "")), F.lit(0))
-    scale = F.lit(1)
-    for word, by in UNITS.items():
-        scale = F.when(F.lower(first["unit"]) == word, F.lit(by)).otherwise(scale)
-    exact = to_decimal(first["number"], "decimal(27,10)") * scale.cast("decimal(10,0)")
-    amount = exact.try_cast("decimal(31,4)")
-    return F.when(amount == exact, amount)
+
+    def scaled(p: Column) -> Column:
+        scale = F.lit(1)
+        for word, by in UNITS.items():
+            scale = F.when(F.lower(p["unit"]) == word, F.lit(by)).otherwise(scale)
+        exact = to_decimal(p["number"], "decimal(27,10)") * scale.cast("decimal(10,0)")
+        return once(exact, lambda x: once(x.try_cast("decimal(31,4)"), lambda amount: F.when(amount == x, amount)))
+
+    return once(first, scaled)
 
 
 def parse_percent(c: Column) -> Column:
@@ -84,8 +86,8 @@ def parse_coupon(c: Column) -> Column:
         F.nullif(F.btrim(parts[0], F.lit(" ,;")), F.lit("")).alias("index_name"),
         F.when(F.size(parts) == 2, parse_percent(F.get(parts, F.lit(1)))).alias("margin_pct"),
     )
-    fixed = F.struct(F.lit("fixed").alias("kind"), parse_percent(c).alias("fixed_rate_pct"), F.lit(None).cast("string").alias("index_name"), none.alias("margin_pct"))
-    return F.when(c.rlike(FLOATING), floating).when(parse_percent(c).isNotNull(), fixed)
+    fixed = lambda p: F.when(p.isNotNull(), F.struct(F.lit("fixed").alias("kind"), p.alias("fixed_rate_pct"), F.lit(None).cast("string").alias("index_name"), none.alias("margin_pct")))
+    return F.when(c.rlike(FLOATING), floating).otherwise(once(parse_percent(c), fixed))
 
 
 def parse_date(c: Column) -> Column:
@@ -121,5 +123,4 @@ def clean_class_name(c: Column) -> Column:
 
 def class_key(c: Column) -> Column:
     """A comparable key: what follows "class", else the first word, in upper case; empty for an empty name."""
-    plain = clean_class_name(c)
-    return F.upper(F.coalesce(found(plain, CLASS), F.split(plain, " ")[0]))
+    return once(clean_class_name(c), lambda plain: F.upper(F.coalesce(found(plain, CLASS), F.split(plain, " ")[0])))

@@ -50,9 +50,13 @@ def merge_facts(facts: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFra
     return out, issue(unread, "unparsed", F.lit("closing_date"), F.col("closing_date"))
 
 
-def _cited(df: DataFrame, blocks: DataFrame, key: str, quotes: dict[str, str]) -> DataFrame:
-    """df plus citations map<field, citation>: one search for all the quoted fields of all rows."""
-    asked = df.select("doc_id", key, "prefer", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).cast("string").alias("quote")) for n, c in quotes.items()])).alias("q"))
+def _cited(df: DataFrame, blocks: DataFrame, key: str, quotes: dict[str, str], *, rows: DataFrame | None = None) -> DataFrame:
+    """df plus citations map<field, citation>: one search for all the quoted fields of the rows whose documents have blocks.
+
+    ``rows`` are those of df before they were parsed and filtered, so that the search does not parse them again.
+    """
+    there = (df if rows is None else rows).join(blocks.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = there.select("doc_id", key, "prefer", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).cast("string").alias("quote")) for n, c in quotes.items()])).alias("q"))
     asked = asked.select("doc_id", key, "prefer", "q.field", "q.quote").filter("quote <> ''")
     found = cite(asked, blocks).filter("citation IS NOT NULL").groupBy("doc_id", key).agg(F.map_from_entries(F.collect_list(F.struct("field", "citation"))).alias("citations"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<quote:string,page:int,page_label:string>>"))
@@ -62,13 +66,16 @@ def _cited(df: DataFrame, blocks: DataFrame, key: str, quotes: dict[str, str]) -
 def type_tranches(tranches: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tranches, issues): classes with principal, their balance and coupon typed and cited. A margin without its index is no coupon."""
     rate = F.col("interest_rate")
-    t = tranches.withColumn("class_name", typed.clean_class_name(F.col("class_name"))).withColumn("class_key", typed.class_key(F.col("class_name")))
+    coupon = F.when(~rate.rlike(r"(?i)^\s*(\+|plus\b)"), typed.parse_coupon(rate))
+    name = typed.clean_class_name(F.col("class_name"))
+    read = F.struct(name.alias("class_name"), typed.class_key(F.col("class_name")).alias("class_key"), typed.parse_money(F.col("original_balance")).alias("balance"), coupon.alias("coupon"))
+    # Behind a generator, so that the filters on what is parsed do not parse again.
+    t = tranches.select(*[c for c in tranches.columns if c != "class_name"], F.inline(F.array(read)))
     t = t.filter(~F.col("class_key").rlike(r"^(X(-|$)|R$)"))
-    t = t.withColumn("balance", typed.parse_money(F.col("original_balance"))).withColumn("coupon", F.when(~rate.rlike(r"(?i)^\s*(\+|plus\b)"), typed.parse_coupon(rate)))
     good = F.col("balance").isNotNull() & F.col("coupon").isNotNull()
     message = F.concat(F.lit("balance="), F.coalesce("original_balance", F.lit("null")), F.lit(" rate="), F.coalesce("interest_rate", F.lit("null")))
     bad = issue(t.filter(~good), "unparsed", F.concat(F.lit("tranche "), F.col("class_name")), message)
-    cited = _cited(t.filter(good), blocks, "seq", {"original_balance": "original_balance", "coupon": "interest_rate", "rating": "rating", "wal_years": "weighted_average_life"})
+    cited = _cited(t.filter(good), blocks, "seq", {"original_balance": "original_balance", "coupon": "interest_rate", "rating": "rating", "wal_years": "weighted_average_life"}, rows=tranches)
     out = cited.select(
         "doc_id", "seq", "class_name", "class_key", F.col("balance").alias("original_balance"), "coupon.*", "rating",
         typed.parse_years(F.col("weighted_average_life")).alias("wal_years"), "citations",
