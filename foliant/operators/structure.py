@@ -118,36 +118,37 @@ def drop_running_headers(blocks: DataFrame, *, min_pages: int = 3, share: float
 
 
 def sections(blocks: DataFrame) -> DataFrame:
-    """One row per heading: title, name (of a known section), level, heading_idx, start_idx, end_idx (exclusive), pages, path of titles above it.
+    """One row per heading: title, name (of a known section), level, heading_idx, start_idx, end_idx (exclusive), pages, path of titles above it, around.
 
     A section ends at the next heading of its level or above. Its path holds the sections around it,
-    outermost first. A document's headings pass once through a stack of open sections.
+    outermost first, and around their headings' indices. A document's headings pass once through a stack of open sections.
     """
     ends = blocks.groupBy("doc_id").agg((F.max("idx") + 1).alias("n"))
     heads = blocks.filter("kind = 'heading'").select("doc_id", F.col("idx").alias("heading_idx"), F.col("text").alias("title"), F.coalesce("level", F.lit(1)).alias("level"), F.col("page").alias("start_page"))
-    schema = T.StructType([*heads.schema.fields, T.StructField("next_idx", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*heads.schema.fields, T.StructField("next_idx", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("around", T.ArrayType(T.IntegerType()))])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
-        still: list[tuple] = []  # open sections, outermost first, each with its path
+        still: list[tuple] = []  # open sections, outermost first, each with its path and what is around it
 
         def table(done: list[tuple]) -> pa.RecordBatch:
             cols = zip(*done, strict=True)
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.name for f in schema.fields])
 
         for batch in batches:
-            kinds = [*batch.schema.types, pa.int32(), pa.list_(pa.string())]
+            kinds = [*batch.schema.types, pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
             done: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, idx, title, level = row[:4]
                 while still and (still[-1][0] != doc or still[-1][3] >= level):
-                    *own, path = still.pop()
-                    done.append((*own, idx if own[0] == doc else None, path))
-                still.append((*row, [*still[-1][-1], still[-1][2]] if still else []))
+                    *own, path, around = still.pop()
+                    done.append((*own, idx if own[0] == doc else None, path, around))
+                *_, path, around = still[-1] if still else ([], [])
+                still.append((*row, [*path, still[-1][2]] if still else [], [*around, still[-1][1]] if still else []))
             if done:
                 yield table(done)
         if still:
-            yield table([(*own, None, path) for *own, path in still])
+            yield table([(*own, None, path, around) for *own, path, around in still])
 
     closed = heads.repartition("doc_id").sortWithinPartitions("doc_id", "heading_idx").mapInArrow(close, schema)
     bounded = closed.join(ends, "doc_id").withColumn("end_idx", F.coalesce("next_idx", "n")).drop("next_idx", "n")
@@ -157,30 +158,48 @@ def sections(blocks: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "title", section_name(F.col("title")).alias("name"), "level", "heading_idx", start.alias("start_idx"), "end_idx", "start_page",
         F.when(F.col("end_idx") > start, F.col("last_page")).otherwise(F.col("start_page")).alias("end_page"),
-        "path",
+        "path", "around",
     )
 
 
 def section_texts(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """parts (sections) plus the text below each heading, blocks joined by newline."""
-    b = blocks.select(F.col("doc_id").alias("b_doc"), F.col("idx").alias("b_idx"), F.col("text").alias("b_text"))
-    on = (F.col("doc_id") == F.col("b_doc")) & (F.col("b_idx") >= F.col("start_idx")) & (F.col("b_idx") < F.col("end_idx"))
-    texts = parts.join(b, on).groupBy("doc_id", "heading_idx").agg(F.array_sort(F.collect_list(F.struct("b_idx", "b_text"))).alias("t"))
-    texts = texts.select("doc_id", "heading_idx", F.array_join(F.col("t.b_text"), "\n").alias("text"))
+    """parts (sections) plus the text below each heading, blocks joined by newline; null texts are left out.
+
+    A document's texts travel once, as one list; where its sections begin and end in that list is counted on indices
+    alone, and each section's text is cut out where both meet.
+    """
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    places = blocks.select("doc_id", "idx", F.row_number().over(order).alias("place"))
+    starts = parts.select("doc_id", "heading_idx", "end_idx").join(places.withColumnsRenamed({"idx": "heading_idx", "place": "at"}), ["doc_id", "heading_idx"])
+    spans = starts.join(places.withColumnsRenamed({"idx": "end_idx", "place": "end"}), ["doc_id", "end_idx"], "left")
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("heading_idx", "at", "end")).alias("spans"))
+    whole = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("texts"))
+    inner = lambda s: F.slice("texts", s["at"] + 1, F.coalesce(s["end"] - 1, F.size("texts")) - s["at"])
+    cut = F.transform("spans", lambda s: F.struct(s["heading_idx"].alias("heading_idx"), F.array_join(inner(s), "\n").alias("text")))
+    texts = whole.join(spans, "doc_id").select("doc_id", F.inline(cut))
     return parts.join(texts, ["doc_id", "heading_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _held(points: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, idx, heading_idx) of every section that holds a point. The last heading before a point names all that can: itself and what is around it."""
+    of = parts.select("doc_id", F.col("heading_idx").alias("idx"), F.lit(0).alias("point"), F.concat("around", F.array("heading_idx")).alias("chain"))
+    asked = points.select("doc_id", "idx").distinct().select("doc_id", "idx", F.lit(1).alias("point"), F.lit(None).cast("array<int>").alias("chain"))
+    before = Window.partitionBy("doc_id").orderBy("idx", "point").rowsBetween(Window.unboundedPreceding, 0)
+    near = of.unionByName(asked).withColumn("chain", F.last("chain", ignorenulls=True).over(before)).filter("point = 1")
+    return near.select("doc_id", "idx", F.explode("chain").alias("heading_idx"))
+
+
 def enclosing(points: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, idx) points with each section that holds them: heading included, end excluded."""
-    s = parts.select(F.col("doc_id").alias("s_doc"), "title", "name", "level", "heading_idx", "end_idx", "path")
-    on = (F.col("doc_id") == F.col("s_doc")) & (F.col("heading_idx") <= F.col("idx")) & (F.col("idx") < F.col("end_idx"))
-    return points.join(s, on).drop("s_doc")
+    """(doc_id, idx) points with each section that holds them: heading included, end excluded. Joins have equal keys alone."""
+    s = parts.select("doc_id", "heading_idx", "title", "name", "level", "end_idx", "path")
+    held = _held(points, parts).join(s, ["doc_id", "heading_idx"]).filter("idx < end_idx")
+    return points.join(held, ["doc_id", "idx"]).select(*points.columns, "title", "name", "level", "heading_idx", "end_idx", "path")
 
 
 def innermost(points: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, idx) points with the deepest section that holds them; points outside every section are left out."""
     held = enclosing(points, parts)
-    best = F.max_by(F.struct("title", "name", "level", "heading_idx", "end_idx", "path"), F.struct(F.col("level"), -F.col("heading_idx")))
+    best = F.max_by(F.struct("title", "name", "level", "heading_idx", "end_idx", "path"), "heading_idx")
     return held.groupBy("doc_id", "idx").agg(best.alias("s")).select("doc_id", "idx", "s.*")
 
 

@@ -204,3 +204,97 @@ def test_quotes_against_every_text(spark):
     plan = quotes.quoted_in(frame.filter("k <> 201"), docs, "k")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert quotes.quoted_in(frame.filter("false"), docs, "k").count() == 0 and quotes.quoted_in(frame, docs.filter("false"), "k").count() == 0
+
+
+def test_sections_against_loops(spark):
+    """Random outlines with gaps in their indices: ends, paths, texts and the sections around every block, of all sections and of some."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for d in range(30):
+        idx = sorted(rng.sample(range(90), rng.randrange(1, 40)))
+        rows += [(f"d{d}", k, *(("heading", f"h{k}", 1, None, rng.randrange(1, 5)) if rng.random() < 0.4 else ("text", rng.choice([f"t{k}", "", None]), 1, None, None)), None, None) for k in idx]
+    b = spark.createDataFrame(rows, structure.BLOCKS)
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[1])
+        for n, r in enumerate(own):
+            if r[2] == "heading":
+                end = next((x[1] for x in own[n + 1 :] if x[2] == "heading" and x[6] <= r[6]), own[-1][1] + 1)
+                want[d, r[1]] = (end, "\n".join(x[3] for x in own if r[1] < x[1] < end and x[3] is not None))
+    s = structure.sections(b)
+    got = {(r.doc_id, r.heading_idx): r for r in structure.section_texts(b, s).collect()}
+    assert {k: (r.end_idx, r.text) for k, r in got.items()} == want
+    around = lambda d, i, some: sorted(h for (x, h), (end, _) in want.items() if x == d and h <= i < end and h % some != 1)
+    assert all(r.around == around(*k, 1000)[:-1] and r.path == [f"h{h}" for h in r.around] for k, r in got.items() if k[1] != 1)
+    points = b.select("doc_id", "idx")
+    for some in (1000, 2):
+        parts = s.filter(F.col("heading_idx") % some != 1)
+        held = {}
+        for r in structure.enclosing(points, parts).collect():
+            held.setdefault((r.doc_id, r.idx), []).append(r.heading_idx)
+        assert {k: sorted(v) for k, v in held.items()} == {(r[0], r[1]): x for r in rows if (x := around(r[0], r[1], some))}
+        assert {(r.doc_id, r.idx): r.heading_idx for r in structure.innermost(points, parts).collect()} == {k: max(v) for k, v in held.items()}
+
+
+def test_pages_as_blocks_and_sections(spark):
+    """html_sections over the shared pages, against the standard library's parser and a loop over headings."""
+    import html.parser
+    import os
+    import re
+
+    import pyarrow.parquet as pq
+
+    from foliant import queries
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("the shared tables are not here")
+    named = re.compile(r"h[1-6]|p|li|td|th|tr|table|thead|tbody|tfoot|ul|ol|dl|dt|dd|div|article|section|main|nav|aside|footer|header|body|html|caption|figcaption|figure|blockquote|pre|address|form|fieldset|details|summary|hr")
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.tag, self.text, self.hidden = [], "body", "", None
+
+        def turn(self, tag):
+            text = " ".join(self.text.split())
+            if text:
+                self.blocks.append((self.tag, text))
+            self.tag, self.text = tag, ""
+
+        def handle_starttag(self, tag, attrs):
+            if self.hidden is None and tag in ("script", "style", "head"):
+                self.hidden = tag
+            elif self.hidden is None and named.fullmatch(tag):
+                self.turn(tag)
+            else:
+                self.text += " "
+
+        def handle_endtag(self, tag):
+            if tag == self.hidden:
+                self.hidden, self.text = None, self.text + " "
+            elif self.hidden is None and named.fullmatch(tag):
+                self.turn("/" + tag)
+            else:
+                self.text += " "
+
+        def handle_data(self, data):
+            self.text += "" if self.hidden else data
+
+        def handle_comment(self, data):
+            self.text += " "
+
+    want = set()
+    for p in pq.read_table(f"{path}/pages.parquet").to_pylist():
+        reader = Reader()
+        reader.feed(p["html"] or "")
+        reader.close()
+        reader.turn("")
+        heads = [(k, tag, text) for k, (tag, text) in enumerate(reader.blocks) if re.fullmatch("h[1-6]", tag)]
+        for n, (k, tag, text) in enumerate(heads):
+            end = next((j for j, other, _ in heads[n + 1 :] if other <= tag), len(reader.blocks))
+            want.add((str(p["page_id"]), text, k, end, "\n".join(t for _, t in reader.blocks[k + 1 : end])))
+    got = {(r.doc_id, r.title, r.heading_idx, r.end_idx, r.text) for r in queries.QUERIES["html_sections"](spark, path).collect()}
+    assert got == want and len(got) >= 50
