@@ -388,24 +388,33 @@ def frequent_pieces(docs: DataFrame, size: int, *, text_col: str = "text") -> li
     """The ``size`` most frequent pieces of whole texts of all documents that occur once in RARE bytes at least, ties by bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+        after: Counter[str] = Counter()  # chunks that follow a space
 
         def flush() -> pa.RecordBatch:
             total: dict[str, int] = {}
-            for chunk, n in seen.items():
-                for p in PIECES.findall(chunk):
-                    total[p] = total.get(p, 0) + n
-            seen.clear()
+            for seen, space in ((first, ""), (after, " ")):
+                for chunk, n in seen.items():
+                    if chunk.isalpha():  # letters only: one piece with the space before it
+                        some = (space + chunk,)
+                    elif chunk[-1:] in MARKS and chunk[:-1].isalpha():  # such a piece and one mark
+                        some = (space + chunk[:-1], chunk[-1])
+                    else:
+                        some = PIECES.findall(space + chunk)
+                    for p in some:
+                        total[p] = total.get(p, 0) + n
+                seen.clear()
             return pa.record_batch([pa.array([p.encode() for p in total], pa.binary()), pa.array(total.values(), pa.int64())], ["piece", "n"])
 
         size = 0
         for batch in batches:
             for t in batch.column(0):
-                head, *rest = (t.as_py() or "").split(" ")
-                seen[head] += 1
-                seen.update([" " + c for c in rest])
-                size += len(head) + sum(map(len, rest))
-                if size > COUNTED // 8 and ENTRY * len(seen) + size > COUNTED:
+                t = t.as_py() or ""
+                head, *rest = t.split(" ")
+                first[head] += 1
+                after.update(rest)
+                size += len(t)
+                if size > COUNTED // 8 and ENTRY * (len(first) + len(after)) + size > COUNTED:
                     yield flush()
                     size = 0
         yield flush()
