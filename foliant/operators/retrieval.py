@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from itertools import groupby
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.structure import by_document
+
 CHARS_PER_TOKEN, SAFETY, LEAST_TOKENS = 2.6, 150, 500
 CUT = "\n[...]"
 MAX_TITLE, MAX_HEADLINE = 100, 250
@@ -108,6 +110,7 @@ def groups_for(target: str, blocks: DataFrame, tables: DataFrame, parts: DataFra
 
 
 CONTEXTS = "doc_id string, seq int, text string, block_indices array<int>"
+_CONTEXTS = pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("block_indices", pa.list_(pa.int32()))])
 
 
 class Context:
@@ -149,18 +152,20 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
     """(doc_id, seq, text, block_indices): contexts of at most ``limit`` characters filled with whole groups, one block at a time where a group alone is too large.
 
     A block is used once, with the first group that has it. A single block over the limit is cut. Which
-    context a block joins depends on all before it, so a document's blocks are folded in one pass; the
-    length is kept as they are added.
+    context a block joins depends on all before it, so blocks are sorted and folded in one pass, many documents
+    a task; the length is kept as they are added. A document id is not null.
     """
     once = groups.groupBy("doc_id", "idx").agg(F.min("grp").alias("grp"))
     rows = once.join(blocks.select("doc_id", "idx", "kind", "text", "page", "page_label", "marker"), ["doc_id", "idx"])
 
-    def fold(some: pa.Table) -> pa.Table:
-        columns = [some.column(c).to_pylist() for c in ("idx", "kind", "text", "page", "page_label", "marker")]
-        ranked = sorted((((g["rank"], g["at"]), r) for g, r in zip(some.column("grp").to_pylist(), zip(*columns, strict=True), strict=True)), key=lambda x: (x[0], x[1][0]))
-        made = [Context(limit)]
-        for _, group in groupby(ranked, key=lambda x: x[0]):
-            items = [r for _, r in group]
+    ordered = by_document(rows, "grp.rank", "grp.at", "idx")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, group, items, made = None, None, [], [Context(limit)]
+        out: list[dict] = []
+
+        def place() -> None:
+            """Put the group's blocks where they fit."""
             units = [items]
             if not made[-1].has_room(items):
                 made.append(Context(limit))
@@ -169,11 +174,31 @@ def pack(groups: DataFrame, blocks: DataFrame, limit: int, *, most: int | None =
                 if made[-1].used and not made[-1].has_room(unit):
                     made.append(Context(limit))
                 made[-1].add(unit)
-        doc = some.column("doc_id")[0].as_py()
-        out = [{"doc_id": doc, "seq": k, "text": c.text(), "block_indices": c.used} for k, c in enumerate(c for c in made if c.used)]
-        return pa.Table.from_pylist(out[:most], schema=pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("block_indices", pa.list_(pa.int32()))]))
 
-    return rows.groupBy("doc_id").applyInArrow(fold, CONTEXTS)
+        def close() -> None:
+            if items:
+                place()
+            whole = [c for c in made if c.used][:most]
+            out.extend({"doc_id": doc, "seq": k, "text": c.text(), "block_indices": c.used} for k, c in enumerate(whole))
+
+        for batch in batches:
+            for d, grp, *item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != doc:
+                    close()
+                    doc, group, items, made = d, None, [], [Context(limit)]
+                if grp != group:
+                    if items:
+                        place()
+                    group, items = grp, []
+                items.append(tuple(item))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_CONTEXTS)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_CONTEXTS)
+
+    return ordered.select("doc_id", "grp", "idx", "kind", "text", "page", "page_label", "marker").mapInArrow(fold, CONTEXTS)
 
 
 def build_contexts(target: str, blocks: DataFrame, tables: DataFrame, parts: DataFrame, limit: int) -> DataFrame:

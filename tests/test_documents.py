@@ -59,7 +59,7 @@ def test_waterfall(doc):
 
 
 def block(text, kind="text", marker=None, page=1):
-    return {"kind": kind, "text": text, "page": page, "page_label": None, "marker": marker}
+    return waterfalls.Block(0, kind, text, page, None, marker)
 
 
 @pytest.mark.parametrize(
