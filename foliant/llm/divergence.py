@@ -361,3 +361,25 @@ def source_audit(docs: DataFrame, *, least: int = 3, top: int = TOP) -> DataFram
 
 def op11_source_audit(spark, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+')) AS raw FROM d),
+w AS (SELECT r, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM t),
+kept AS (SELECT lang, w FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, w, count(*) AS n FROM w JOIN kept USING (lang, w) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+p AS (SELECT n.lang, n.source, kept.w, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (n.n + v.v) AS BIGINT) AS p
+  FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.w = kept.w),
+whole AS (SELECT lang, sum(n) AS n FROM n GROUP BY 1),
+q AS (SELECT p.lang, p.w, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(p.n) + 1) // (any_value(whole.n) + any_value(v.v)) AS BIGINT) AS q FROM p JOIN whole USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sums.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+words AS (SELECT lang, source, 'term' AS part, w AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, w) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -23,4 +23,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_source_audit": divergence.ORACLE,
 }

@@ -293,3 +293,19 @@ def test_tries(monkeypatch):
     for size in (4, 11, 10**6):
         monkeypatch.setattr(divergence, "TABLE", size)
         assert np.concatenate([b for _, b in divergence.pair_sums(whole, totals)]).tolist() == want
+
+
+def test_source_audit_equals_its_sql(spark):
+    """The query against its SQL on the smallest shared tables."""
+    import os
+
+    import duckdb
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("the shared tables are not here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    found = con.execute(divergence.ORACLE)
+    assert [c[0] for c in found.description] == ["lang", "source", "part", "item", "value", "rank"]
+    assert sorted(found.fetchall()) == sorted(map(tuple, divergence.op11_source_audit(spark, path).collect()))
