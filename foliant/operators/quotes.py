@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.textnorm import collapse
+from foliant.functions.textnorm import collapse, once
 from foliant.sources.cache import written
 
 GRAM = 3
+#: Up to so many distinct quotes every text is searched for each where it lies: no word, place or text is shuffled. The index pays beyond.
+SCANNED = 512
 
 
 def plain(c: Column) -> Column:
@@ -67,6 +69,12 @@ def quoted_in(quotes: DataFrame, docs: DataFrame, key: str, *, id_col: str = "do
     """
     asked = quotes.select(F.col(f"`{key}`").alias("key"), plain(F.col("quote")).alias("q")).filter("q <> ''")
     each = written(asked.select("q").distinct().withColumn("ws", F.split("q", " ")), "quotes")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), plain(F.col(f"`{text_col}`")).alias("t"))
+    few = [r["q"] for r in each.select("q").limit(SCANNED + 1).collect()]  # a bounded list
+    if len(few) <= SCANNED:
+        listed = F.array(*map(F.lit, few)).cast("array<string>")
+        hits = texts.select("id", F.explode(once(F.col("t"), lambda t: F.filter(listed, lambda q: F.contains(t, q)))).alias("q")).distinct()
+        return asked.join(hits, "q").select(F.col("key").alias(key), F.col("id").alias(id_col)).distinct()
     places = word_places(docs, id_col=id_col, text_col=text_col)
     long, short = each.filter(F.size("ws") > 2), each.filter(F.size("ws") <= 2)
     anchors = inner_anchors(long, places)
@@ -75,7 +83,6 @@ def quoted_in(quotes: DataFrame, docs: DataFrame, key: str, *, id_col: str = "do
     anchors = written(anchors, "anchors")
     found = places.join(anchors, "w").select("id", "q", "n", (F.col("pos") - F.col("place")).alias("at")).filter("at >= 0")
     per_text = found.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("q", "n", "at")).alias("proposed"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), plain(F.col(f"`{text_col}`")).alias("t"))
     read = texts.join(per_text, F.col("id").eqNullSafe(F.col("of")))
     # The words are an array inside an array, so that they are cut once a text and not once a proposal.
     holds = lambda ws: F.filter("proposed", lambda p: F.contains(F.array_join(F.slice(ws, p["at"] + 1, p["n"]), " "), p["q"]))
