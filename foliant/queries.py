@@ -360,6 +360,7 @@ def payment_lists(spark: SparkSession, d: str) -> DataFrame:
     b = items.unionByName(head).unionByName(lead)
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "at")) - 1
     b = b.select("doc_id", idx.alias("idx"), "kind", "text", (1 + 21 * F.col("run") + F.floor(F.col("at") / 5)).cast("int").alias("page"), F.lit(None).cast("string").alias("page_label"), F.when(F.col("kind") == "heading", 1).alias("level"), "marker", F.lit(None).cast("int").alias("table_index"))
+    b = cache.written(b, "payment-blocks")  # read four times
     w = waterfalls.list_waterfalls(b, structure.sections(b))
     return w.select("doc_id", "title", "start_page", "end_page", F.size("steps").alias("n_steps"), F.element_at("steps", -1)["text"].alias("last_step"))
 
