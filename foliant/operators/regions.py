@@ -58,9 +58,10 @@ def _run(keys: list[str], low: str, high: str, gap: float) -> Column:
 
 def grid(words: DataFrame, keys: list[str], *, row_gap: float = ROW_GAP, column_gap: float = COLUMN_GAP) -> DataFrame:
     """(keys, rows) from a region's words: every row has a cell for each column, empty ones included; words of a cell are joined by spaces, left to right."""
-    both = words.withColumn("_r", _run(keys, "y0", "y1", row_gap)).withColumn("_c", _run(keys, "x0", "x1", column_gap))
-    upto = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("_row", F.sum("_r").over(upto("y0", "y1"))).withColumn("_col", F.sum("_c").over(upto("x0", "x1")))
+    placed = words
+    for n, low, high, gap in (("_row", "y0", "y1", row_gap), ("_col", "x0", "x1", column_gap)):  # flags and their sums in one sort an axis
+        upto = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumn("_starts", _run(keys, low, high, gap)).withColumn(n, F.sum("_starts").over(upto)).drop("_starts")
     cells = placed.groupBy(*keys, "_row", "_col").agg(F.array_join(F.array_sort(F.collect_list(F.struct("x0", "y0", "text")))["text"], " ").alias("_cell"))
     whole = cells.groupBy(*keys).agg(F.max("_row").alias("_rows"), F.max("_col").alias("_cols"), F.map_from_entries(F.collect_list(F.struct(F.struct("_row", "_col"), "_cell"))).alias("_at"))
     place = lambda r, c: F.struct(r.cast("long").alias("_row"), c.cast("long").alias("_col"))

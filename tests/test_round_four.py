@@ -5,7 +5,7 @@ import os
 import pytest
 
 from foliant import deal_queries, queries  # noqa: F401
-from foliant.operators import quotes, structure, waterfalls
+from foliant.operators import quotes, regions, structure, waterfalls
 from tests import deal
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +37,9 @@ def test_found_lists_are_not_aggregated(spark):
     b = deal.blocks(spark)
     run = waterfalls.list_waterfalls(b, structure.sections(b))._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in run and "MapInArrow" in run
+
+
+def test_grid_sorts_once_an_axis(spark):
+    words = spark.createDataFrame([("d", 1, "a", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    run = regions.grid(words, ["doc_id", "page"])._jdf.queryExecution().executedPlan().toString()
+    assert run.count(" Sort [") == 2
