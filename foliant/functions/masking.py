@@ -47,7 +47,8 @@ def mask_text(c: Column, token: str = TOKEN) -> Column:
         runs = F.transform(F.regexp_extract_all(text, F.lit(GROUPED), F.lit(0)), lambda r: F.when(is_identifier(r), F.lit(token)).otherwise(r))
         return F.array_join(F.zip_with(F.split(text, GROUPED), runs, lambda gap, r: F.concat(gap, F.coalesce(r, F.lit("")))), "")
 
-    return F.get(F.transform(F.array(out), grouped), F.lit(0))  # the patterns before are worked out once
+    masked = F.get(F.transform(F.array(out), grouped), F.lit(0))  # the patterns before are worked out once
+    return F.when(c.rlike(r"(?U)[@\d]"), masked).otherwise(c)  # each pattern takes one of these signs
 
 
 def contains_pii(c: Column) -> Column:
@@ -68,11 +69,9 @@ def is_sensitive_name(name: str, *, names: frozenset[str] = frozenset(), prefix:
 def sensitive_key(c: Column, *, names: frozenset[str] = frozenset(), prefix: str = "") -> Column:
     """The same for a column of names, such as a map's keys."""
     bare = F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c) if prefix else c
-    plain = F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "_")
-    hit = plain.isin(sorted(names)) if names else F.lit(False)
-    for h in KEY_HINTS:
-        hit = hit | F.contains(plain, F.lit(h))
-    return hit
+    low = F.lower(bare)
+    hit = low.rlike("|".join(h.replace("_", "[^a-z0-9]+") for h in KEY_HINTS))
+    return hit | F.regexp_replace(low, "[^a-z0-9]+", "_").isin(sorted(names)) if names else hit
 
 
 def _is_text(kind: T.DataType) -> bool:
