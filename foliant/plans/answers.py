@@ -6,7 +6,7 @@ where it is. The rules are a table: a path may end in a key (``a.b``) or stand f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = "target string, path string, type string, required boolean, max_items int, allowed array<string>"
@@ -54,40 +54,68 @@ def violations(answers: DataFrame, rules: list[tuple] = SCHEMA, *, keys: tuple[s
     answer, from ``$``, with list positions; got: the offending value's beginning, a list's length, or null. A null counts as absent
     where a field may be, and as a wrong type where it is required. Keys that no rule names may stand. Targets
     without rules need to be JSON objects. Keys need not be unique.
+
+    Answers are read and walked in one pass: each level looks up what rules name below its values, and what broke a
+    rule goes on to the end as it is.
     """
-    spark = answers.sparkSession
-    table = F.broadcast(spark.createDataFrame(rules, RULES).withColumnsRenamed({"target": "_t", "type": "_type"}))
-    open_paths = {p for _, path, *_ in rules for p in _parents(path)} | {path for _, path, *_ in rules}
+    named = {(t, path) for t, path, *_ in rules}
+    between = {(t, p) for t, path, *_ in rules for p in _parents(path)} - named
+    nodes = [*rules, *[(t, p, None, False, None, None) for t, p in sorted(between)]]  # a value's node: the place of its rule here
+    first = {(t, path): k for k, (t, path, *_) in reversed(list(enumerate(nodes)))}
+    below: dict[tuple[str, str], list[int]] = {}
+    for k, (t, path, *_) in enumerate(nodes):
+        below.setdefault((t, _parent(path)), []).append(k)
+    own = [F.col(f"`{k}`") for k in keys]
+    none = F.lit(None).cast("string")
+
+    def found(place: Column, node: Column, v: Column, rule: Column, got: Column) -> Column:
+        return F.struct(place.alias("_place"), node.cast("int").alias("_node"), v.alias("_v"), rule.alias("_rule"), got.alias("_got"))
+
+    def children(some: list[int]) -> Column:
+        """What stands below a value, for each node there."""
+        fields, lists = [], []
+        for k in some:
+            _, path, _, needed, *_ = nodes[k]
+            if path.endswith("[*]"):
+                lists.append(F.transform("_list", lambda x, i: found(F.concat("_place", F.lit("["), i.cast("string"), F.lit("]")), F.lit(k), x, none, none)))
+            else:
+                name = path.rpartition(".")[2]
+                child = F.try_variant_get("_v", f'$["{name}"]', "variant")
+                fields.append(found(F.concat("_place", F.lit(f".{name}")), F.lit(k), child, F.when(child.isNull(), "required") if needed else none, none))
+        out = F.when(F.col("_kind") == "OBJECT", F.array(*fields)) if fields else F.when(F.lit(False), F.array(found(none, F.lit(0), F.col("_v"), none, none)))
+        return F.when(F.col("_kind") == "ARRAY", F.concat(*lists)).otherwise(out) if lists else out
+
     blank = ~F.coalesce(F.col("answer").rlike(r"(?U)\S"), F.lit(False))
-    parsed = answers.select(*keys, "answer", F.when(~blank, F.try_parse_json("answer")).alias("v"))
-    unread = parsed.filter(F.col("v").isNull()).select(*keys, F.lit("$").alias("place"), F.when(blank, "empty").otherwise("json").alias("rule"), F.substring("answer", 1, 300).alias("got"))
-    level = parsed.filter(F.col("v").isNotNull()).select(*keys, F.lit("$").alias("place"), F.lit("").alias("path"), "v")
-    root = level.filter(~F.schema_of_variant("v").startswith("OBJECT")).select(*keys, "place", F.lit("type").alias("rule"), F.substring(F.to_json("v"), 1, 300).alias("got"))
-    out = unread.unionByName(root)
-    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-    for _ in range(max((len(_parents(path)) for _, path, *_ in rules), default=0)):
-        down = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "child"))
-        in_list = F.col("key").isNull()
-        place = F.concat("place", F.when(in_list, F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "key")))
-        path = F.when(in_list, F.concat("path", F.lit("[*]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        below = down.select(*keys, F.col("place").alias("above"), "key", place.alias("place"), path.alias("path"), F.col("child").alias("v")).filter(F.col("path").isin(sorted(open_paths)))
-        held = below.join(table, (F.col("target") == F.col("_t")) & (below["path"] == table["path"])).drop(table["path"])
-        is_type = (kind == F.col("_type")) | ((kind == "VOID") & ~F.col("required"))
-        n = F.when(kind == "ARRAY", F.size(F.try_variant_get("v", "$", "array<variant>")))
-        text = F.try_variant_get("v", "$", "string")
+    parsed = answers.select(*own, "answer", F.when(~blank, F.try_parse_json("answer")).alias("_v"))
+    unread = F.when(blank, "empty").when(F.col("_v").isNull(), "json").when(~F.col("answer").rlike(r"^[ \t\r\n]*\{"), "type")
+    got = F.substring(F.when(F.col("_v").isNull(), F.col("answer")).otherwise(F.to_json("_v")), 1, 300)
+    level = parsed.select(*own, F.lit("$").alias("_place"), F.lit(-1).alias("_node"), "_v", unread.alias("_rule"), F.when(unread.isNotNull(), got).alias("_got"))
+    level = level.withColumns({"_list": F.lit(None).cast("array<variant>"), "_kind": F.when(F.col("_rule").isNull(), "OBJECT")})
+
+    of = lambda values, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("_node"))
+    allowed = F.get(F.array(*[(F.array(*map(F.lit, a)) if a else F.lit(None)).cast("array<string>") for *_, a in nodes]), F.col("_node"))
+    depths = [len(_parents(path)) for _, path, *_ in nodes]
+    for depth in range(max(depths, default=0)):
+        kids = F
+        for (t, path), some in below.items():
+            if depths[some[0]] == depth + 1:
+                kids = kids.when(F.col("_node") == first[t, path] if path else (F.col("_node") == -1) & (F.col("target") == t), children(some))
+        kept = F.when(F.col("_rule").isNotNull(), F.array(found(F.col("_place"), F.lit(None), F.lit(None).cast("variant"), F.col("_rule"), F.col("_got"))))
+        down = level.select(*own, F.explode(F.flatten(F.filter(F.array(kept, kids), lambda x: x.isNotNull()))).alias("_x")).select(*own, "_x.*")
+        kind = F.when(F.col("_list").isNotNull(), "ARRAY").when(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull(), "OBJECT").when(F.col("_v").isNotNull(), F.substring_index(F.schema_of_variant("_v"), "(", 1))
+        seen = down.withColumn("_list", F.try_variant_get("_v", "$", "array<variant>")).withColumn("_kind", kind)
+        is_type = F.col("_type").isNull() | (F.col("_kind") == F.col("_type")) | ((F.col("_kind") == "VOID") & ~of([r[3] for r in nodes], "boolean"))
+        text = F.try_variant_get("_v", "$", "string")
         broken = (
-            F.when(~is_type, F.struct(F.lit("type").alias("rule"), F.substring(F.to_json("v"), 1, 300).alias("got")))
-            .when(n > F.col("max_items"), F.struct(F.lit("max_items").alias("rule"), n.cast("string").alias("got")))
-            .when((kind == "STRING") & ~F.array_contains("allowed", text), F.struct(F.lit("enum").alias("rule"), F.substring(text, 1, 300).alias("got")))
+            F.when(~is_type, F.struct(F.lit("type").alias("rule"), F.substring(F.to_json("_v"), 1, 300).alias("got")))
+            .when(F.size("_list") > of([r[4] for r in nodes], "int"), F.struct(F.lit("max_items").alias("rule"), F.size("_list").cast("string").alias("got")))
+            .when((F.col("_kind") == "STRING") & ~F.array_contains(allowed, text), F.struct(F.lit("enum").alias("rule"), F.substring(text, 1, 300).alias("got")))
         )
-        out = out.unionByName(held.withColumn("b", broken).filter("b IS NOT NULL").select(*keys, "place", "b.rule", "b.got"))
-        # A needed key is looked for in its object itself, so that no join is taken over what is not there.
-        needed = F.broadcast(spark.createDataFrame([(t, _parent(p), p.rpartition(".")[2]) for t, p, _, need, *_ in rules if need and not p.endswith("[*]")], "_t string, _above string, name string"))
-        objects = level.filter(F.schema_of_variant("v").startswith("OBJECT")).join(needed, (F.col("target") == F.col("_t")) & (F.col("path") == F.col("_above")))
-        there = F.array_contains(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")), F.col("name"))
-        out = out.unionByName(objects.filter(~there).select(*keys, F.concat("place", F.lit("."), "name").alias("place"), F.lit("required").alias("rule"), F.lit(None).cast("string").alias("got")))
-        level = below.select(*keys, "place", "path", "v")
-    return out
+        judged = seen.withColumn("_type", of([r[2] for r in nodes], "string")).withColumn("_b", F.when(F.col("_v").isNotNull(), broken))
+        level = judged.select(*own, "_place", "_node", "_v", F.coalesce("_rule", "_b.rule").alias("_rule"), F.coalesce("_got", "_b.got").alias("_got"), "_list", "_kind")
+    # No filter on what was judged: it would be pushed below and judge everything twice.
+    broke = F.when(F.col("_rule").isNotNull(), F.array(F.struct(F.col("_place").alias("place"), F.col("_rule").alias("rule"), F.col("_got").alias("got"))))
+    return level.select(*own, F.explode(broke).alias("_x")).select(*own, "_x.*")
 
 
 def _parents(path: str) -> list[str]:

@@ -86,3 +86,12 @@ def test_answers_against_every_rule(spark):
     assert {r.seq for r in ok.collect()} == {k for k, x in got.items() if not x}
     assert {(r.seq, (r.place, r.rule), r.raw) for r in bad.collect()} == {(k, min(x), rows[k][1]) for k, x in got.items() if x}
     assert answers.violations(frame.filter("false")).count() == 0
+
+
+def test_answers_are_read_once(spark):
+    frame = spark.createDataFrame([("d", "coverage", 0, '{"items": [{"tranche": 1}, null]}'), ("d", None, 1, "{}"), ("d", "coverage", 2, ' [{"items": []}]')], "doc_id string, target string, seq int, answer string")
+    found = answers.violations(frame)
+    run = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in run and "Join" not in run and run.count("Scan ") == 1
+    want = {("$.items[0].tranche", "type", "1"), ("$.items[0].threshold", "required", None), ("$.items[0].test_type", "required", None), ("$.items[1]", "type", "null"), ("$", "type", '[{"items":[]}]')}
+    assert {(r.place, r.rule, r.got) for r in found.collect()} == want
