@@ -15,12 +15,12 @@ back as counts, which give the base score.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +170,23 @@ SENT = "block int, grp int, size int, data binary, n binary"
 ANSWERED = "block int, grp int, data binary, known long, words long"
 
 
+def encoded(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Coded words one after another, each with the sign behind it: a number for each, and the distinct ones by number."""
+    flat = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero((flat == 32) | (flat == 10)) + 1
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary
+
+
+def sorted_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of coded texts by number, and the distinct ones in order, whatever the order of the texts."""
+    at, names = encoded(b"".join(texts))
+    order = pc.sort_indices(names)
+    place = np.empty(len(names), np.int32)
+    place[order.to_numpy()] = np.arange(len(names), dtype=np.int32)
+    return place[at], names.take(order).to_pylist()
+
+
 def _word_group(words: list[bytes], groups: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) % groups for w in words), np.int64, len(words))
 
@@ -187,20 +204,16 @@ def _gatherer(groups: int):
     """A function from a block's texts to its distinct windows and words, packed by group, with their counts in training texts."""
 
     def run(rows: pa.Table) -> pa.Table:
-        words: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
         texts: tuple[list[bytes], list[bytes]] = [], []
         for text, train in zip(rows.column("t"), rows.column("train"), strict=True):
-            toks, on = tokens(text.as_py() or ""), int(train.as_py())
-            words[on].update(toks)
-            texts[on].append(coded(toks))
+            texts[int(train.as_py())].append(coded(tokens(text.as_py() or "")))
         key, n = distinct_windows(texts)
         out = [(g, len(at), packed(key[at]), packed(n[at].astype(np.uint32))) for g, at in _parts(group_of(key, groups))]
-        seen = words[1]
-        names = sorted(words[0].keys() | seen.keys())  # rows come in another order when they are scored
-        count = np.array([seen[w] for w in names], np.uint32)
+        word, names = sorted_words(texts[0] + texts[1])  # rows come in another order when they are scored
+        n_other = sum(t.count(b" ") + 1 for t in texts[0])
+        count = np.bincount(word[n_other:], minlength=len(names)).astype(np.uint32)
         for g, at in _parts(_word_group(names, groups)):
-            some = b"\n".join([b"" if names[k] == END else names[k] for k in at.tolist()])
-            out.append((-1 - g, len(at), some, packed(count[at])))
+            out.append((-1 - g, len(at), b"".join([names[k] for k in at.tolist()]), packed(count[at])))
         block = rows.column("block")[0].as_py()
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array([block] * len(out), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "grp", "size", "data", "n"])
@@ -234,9 +247,8 @@ def _answers(shared):
             each = code_lengths(key, total, shared.value).astype(np.float32)[at]
             made = [x.tobytes() for x in np.split(each, cuts)]
         else:
-            place: dict[bytes, int] = {}
-            at = np.array([place.setdefault(w, len(place)) for x in rows.column("data") for w in x.as_py().split(b"\n")], np.int64)
-            total = np.bincount(at, n, len(place)).astype(np.int64)
+            at, names = encoded(b"".join([x.as_py() for x in rows.column("data")]))
+            total = np.bincount(at, n, len(names)).astype(np.int64)
             known, all_ = int((total > 0).sum()), int(total.sum())
             made = [packed(x) for x in np.split(total[at], cuts)]
         once = lambda x: pa.array([x] + [0] * (len(blocks) - 1), pa.int64())
@@ -250,19 +262,16 @@ def _scorer(groups: int, n_all: int, unit: float, id_col: str):
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         answer = dict(zip(answers.column("grp").to_pylist(), answers.column("data"), strict=True))
-        got, texts = [], []
-        ordered = sorted(set(chain.from_iterable(tokens(t.as_py() or "") for t in rows.column("t"))))  # as the block sent them
-        names = dict(zip(ordered, range(len(ordered)), strict=True))
+        texts = [coded(tokens(t.as_py() or "")) for t in rows.column("t")]
+        word, names = sorted_words(texts)  # as the block sent them
         n = np.empty(len(names), np.int64)
-        for g, at in _parts(_word_group(ordered, groups)):
+        for g, at in _parts(_word_group(names, groups)):
             n[at] = unpacked(answer[-1 - g].as_py(), len(at), np.int64)
-        base = np.log10(n + 0.1) - unit
-        for t in rows.column("t"):
-            toks = tokens(t.as_py() or "")
-            at = np.fromiter(map(names.__getitem__, toks), np.int64, len(toks))
-            got.append((len(toks), int((n[at] > 0).sum()), float(base[at].sum())))
-            texts.append(coded(toks))
-        del names, ordered
+        base, known = (np.log10(n + 0.1) - unit)[word], (n > 0)[word]
+        n_tokens = np.array([t.count(b" ") + 1 for t in texts])
+        cuts = np.r_[0, np.cumsum(n_tokens)].tolist()
+        got = [(b - a, int(known[a:b].sum()), float(base[a:b].sum())) for a, b in pairwise(cuts)]
+        del names, word, base, known
         key, _ = distinct_windows((texts, []))
         bits = np.empty(len(key), np.float32)
         for g, at in _parts(group_of(key, groups)):

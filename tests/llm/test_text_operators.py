@@ -327,3 +327,13 @@ def test_next_document(docs):
         got = fingerprints.with_next(docs(rows), bucket_bytes=size).collect()
         assert len(got) == len(rows) and all(want[r.doc_id, r.text] == r.next_text for r in got)
     assert fingerprints.with_next(docs([(1, "a")])).first().next_text == "a" and fingerprints.with_next(docs([])).count() == 0
+
+
+def test_words_by_number_are_the_tokens():
+    """The words of texts are numbered in bulk, in one order whatever the order of the texts."""
+    texts = ["", "Two  words\vTWO\n", "\x00 \x1c é日本", "two", " \t"]
+    coded = [ppm.coded(ppm.tokens(t)) for t in texts]
+    at, names = ppm.sorted_words(coded)
+    assert [names[k][:-1] or ppm.END for k in at] == [w for t in texts for w in ppm.tokens(t)]
+    assert names == ppm.sorted_words(coded[::-1])[1] and len(names) == len(set(names))
+    assert [t.count(b" ") + 1 for t in coded] == [len(ppm.tokens(t)) for t in texts]
