@@ -21,8 +21,13 @@ class TextLines:
     def pages(self, content: bytes) -> int:
         return content.count(b"\n") + 1
 
+    def __init__(self) -> None:
+        self.content, self.lines = None, []
+
     def cut(self, content: bytes, first: int, last: int) -> bytes:
-        return b"\n".join(content.split(b"\n")[first - 1 : last])
+        if self.content is not content:  # the ranges of a file come one after another: it is split once
+            self.content, self.lines = content, content.split(b"\n")
+        return b"\n".join(self.lines[first - 1 : last])
 
     def convert(self, part: bytes, first: int, last: int) -> list[dict]:
         return [{"page": first + k, "label": "caption", "text": line.decode()} for k, line in enumerate(part.split(b"\n"))]

@@ -46,30 +46,52 @@ def _columns(ddl: str) -> list[tuple[str, pa.DataType]]:
     return [(c.split()[0], _KINDS[c.split()[1]]) for c in ddl.split(", ")]
 
 
+#: Rows, and bytes of cuts, that go on together.
+BATCH_ROWS = 2000
+BATCH_BYTES = 1 << 20
+
+
 def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(columns)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, columns, strict=True)], [n for n, _ in columns])
 
 
+def _batches(rows: Iterable[tuple[tuple, int]], columns: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows, each with its size in bytes, in batches that are full at BATCH_ROWS rows or BATCH_BYTES bytes."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield _batch(held, columns)
+            held, size = [], 0
+    if held:
+        yield _batch(held, columns)
+
+
 def page_ranges(files: DataFrame, form: Callable[[], Format], *, batch_pages: int = BATCH_PAGES) -> DataFrame:
     """Each file's pages (sha256, content) in ranges of ``batch_pages``: doc_id (the sha256), pages of the file, first, last, part (a cut).
 
-    A range leaves the task as soon as it is cut, so that one file and one cut are held. Files without pages give
+    Ranges leave the task in batches of about BATCH_BYTES, so that one file and few cuts are held. Files without pages give
     no range. Rows of equal sha256 are dealt with each; pass distinct ones (cache.distinct_content).
     """
     if batch_pages < 1:
         raise ValueError("a range has at least one page")
     columns = _columns(RANGES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
         f = form()
         for batch in batches:
             for doc, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw = content.as_py()
+                name, raw = doc.as_py(), content.as_py()
                 n = f.pages(raw)
                 for first in range(1, n + 1, batch_pages):
                     last = min(first + batch_pages - 1, n)
-                    yield _batch([(doc.as_py(), n, first, last, f.cut(raw, first, last))], columns)
+                    part = f.cut(raw, first, last)
+                    yield (name, n, first, last, part), len(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(cuts(batches), columns)
 
     return files.select("sha256", "content").mapInArrow(run, RANGES)
 
@@ -80,14 +102,16 @@ def convert_ranges(ranges: DataFrame, form: Callable[[], Format], *, tasks: int
     dealt = ranges.repartition(tasks, *keys) if tasks else ranges.repartition(*keys)
     columns, own = _columns(ITEMS), [n for n, _ in _columns(ITEM)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
         f = form()
         for batch in batches:
             for doc, pages, first, last, part in zip(*(batch.column(k) for k in range(5)), strict=True):
-                made = f.convert(part.as_py(), first.as_py(), last.as_py())
-                rows = [(doc.as_py(), pages.as_py(), first.as_py(), k, *map(x.get, own)) for k, x in enumerate(made)]
-                if rows:
-                    yield _batch(rows, columns)
+                name, n, start, raw = doc.as_py(), pages.as_py(), first.as_py(), part.as_py()
+                for k, x in enumerate(f.convert(raw, start, last.as_py())):
+                    yield (name, n, start, k, *map(x.get, own)), len(x.get("text") or "") + sum(len(cell or "") for row in x.get("rows") or [] for cell in row or [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(made(batches), columns)
 
     return dealt.mapInArrow(run, ITEMS)
 

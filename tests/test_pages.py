@@ -133,3 +133,13 @@ def test_continued_numbers(spark):
         hits = [r for r in own if r[3]]
         assert [got[r[2]][0] for r in own] == list(range(len(own)))
         assert all(got[r[2]][1] == (hits.index(r) if r[3] else None) for r in own)
+
+
+def test_ranges_go_on_in_batches(monkeypatch):
+    rows = [((f"d{k}", 1, 1, 1, b"x" * 400_000 if k == 4 else b"x"), 400_000 if k == 4 else 1) for k in range(10)]
+    columns = pages._columns(pages.RANGES)
+    assert [b.num_rows for b in pages._batches(rows, columns)] == [10] and list(pages._batches([], columns)) == []
+    monkeypatch.setattr(pages, "BATCH_BYTES", 100_000)
+    assert [b.num_rows for b in pages._batches(rows, columns)] == [5, 5]
+    monkeypatch.setattr(pages, "BATCH_ROWS", 2)
+    assert [r for b in pages._batches(rows, columns) for r in b.column(0).to_pylist()] == [f"d{k}" for k in range(10)]
